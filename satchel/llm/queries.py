@@ -19,6 +19,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op03_simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_byte_bpe, op8_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_byte_bpe, op8_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
