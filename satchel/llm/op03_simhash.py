@@ -220,4 +220,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component: that of the smallest id (all rows with that id, if it is repeated)."""
     found = near_duplicates(docs, id_col, text_col, radius, width)
     chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, docs[id_col] == chosen["__id"], "left_semi")
+    return docs.join(chosen, F.col(id_col) == F.col("__id"), "left_semi")

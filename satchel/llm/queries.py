@@ -33,12 +33,28 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_read(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op07_decontaminate import contamination
+
+    out = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op08_token_counts import token_counts
 
     return token_counts(_read(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .op09_line_dedup import deduplicate_lines
+
+    out = deduplicate_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_quality import learn_from, quality_filter
 
@@ -48,5 +64,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_byte_bpe, op8_token_counts, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_byte_bpe, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import op07_decontaminate, op09_line_dedup
+
+    return {"op7_decontamination": op07_decontaminate.ORACLE, "op9_line_dedup": op09_line_dedup.ORACLE}
+
+
+ORACLES = _oracles()
