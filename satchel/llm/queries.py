@@ -19,6 +19,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op02_toxicity import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, train(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op03_simhash import near_duplicates
 
@@ -64,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_byte_bpe, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op5_byte_bpe, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
 
 
 def _oracles() -> dict[str, str]:
