@@ -40,6 +40,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_read(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op06_suffix_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op07_decontaminate import contamination
 
@@ -71,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op5_byte_bpe, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
 
 
 def _oracles() -> dict[str, str]:
