@@ -8,7 +8,9 @@ by white space or the end of the text; texts with such a place are one piece.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,9 @@ import pyarrow.compute as pc
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 _UNSAFE = rf"{_SPACE} (?:{_SPACE}|$)"
 #: Distinct pieces held by one worker before the table starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
+#: Words that the library's model has encoded, held by one worker.
+CACHE_WORDS = 300_000
 
 
 class PieceTable:
@@ -86,9 +90,22 @@ class PieceTable:
         return self.pool[at], np.bincount(rows, lengths, len(texts)).astype(np.int64)
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def tokenizers_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encode pieces with the tokenizers library: pieces that can stand side by side go in runs, whose ids are dealt back
-    by the byte lengths of the tokens; the others, and all if the lengths don't meet, go one by one."""
+    """Encode pieces with the tokenizers library. Plain words go to its model alone, since they are one pre-token; others
+    that can stand side by side go in runs, whose ids are dealt back by the byte lengths of the tokens; the rest, and all if
+    the lengths don't meet, go one by one."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
@@ -98,16 +115,60 @@ def tokenizers_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.
     for token, i in vocabulary.items():
         size[i] = len(token.encode()) if token in special else len(token)
 
-    def alone(pieces: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def alone(pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    model, words, signs = library.model, {}, {}
+
+    def of_word(word: str) -> list[int]:
+        """Ids of one pre-token, from the library's model."""
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":
+            word = "\u0120" + word[1:]  # the blank's character; letters stand for themselves
+        else:
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in model.tokenize(word)]
+
+    def part(piece: str) -> list[int] | None:
+        """Ids of letters, with a blank before them or not, and perhaps ASCII punctuation: the pattern cuts between them."""
+        base = piece.rstrip(_PUNCTUATION)
+        if not (base[1:] if base[:1] == " " else base).isalpha():
+            return None
+        got = words.get(base)
+        if got is None:
+            got = words[base] = of_word(base)
+        if len(base) == len(piece):
+            return got
+        tail = piece[len(base) :]
+        more = signs.get(tail)
+        if more is None:
+            more = signs[tail] = of_word(tail)
+        return got + more
+
+    line_feed = of_word("\n")
+
+    def simple(piece: str) -> list[int] | None:
+        """Ids of a piece of such parts with single line feeds between them, each a pre-token; None for any other piece."""
+        if "\n" not in piece:
+            return part(piece)
+        out: list[int] = []
+        for i, x in enumerate(piece.split("\n")):
+            got = None if i and x[:1] == " " else part(x)
+            if got is None:
+                return None
+            out += line_feed + got if i else got
+        return out
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-        rest = sorted(set(range(len(pieces))) - set(joined))
+        if len(words) > CACHE_WORDS or len(signs) > CACHE_WORDS:
+            words.clear()
+            signs.clear()
+        out = [simple(p) for p in pieces]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        joined = [i for i in rest if (p := pieces[i])[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        rest = sorted(set(rest) - set(joined))
         for a in range(0, len(joined), 2000):
             run = joined[a : a + 2000]
-            ids = np.asarray(library.encode_batch_fast(["".join([pieces[i] for i in run])], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.asarray(alone(["".join([pieces[i] for i in run])])[0], np.int64)
             ends = np.cumsum(size[ids])
             want = np.cumsum([len(pieces[i].encode()) for i in run])
             cut = np.searchsorted(ends, want)
@@ -115,11 +176,12 @@ def tokenizers_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.
                 rest += run
                 continue
             for i, part in zip(run, np.split(ids, cut[:-1] + 1)):
-                out[i] = part
+                out[i] = part.tolist()
         for a in range(0, len(rest), 500):
             part = rest[a : a + 500]
             for i, ids in zip(part, alone([pieces[i] for i in part])):
                 out[i] = ids
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.asarray([len(x) for x in out], np.int64)
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(lengths.sum())), lengths
 
     return encode

@@ -23,13 +23,37 @@ _HEAD = struct.Struct("<4sIQII")
 _SECOND = np.uint64(1 << 59)
 
 
+_SHORT = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
+    if not len(values) or int(values.max()) < 1 << 16:
+        return _SHORT[values]
     out = np.zeros(values.shape, np.uint8)
-    for b in range(int(values.max(initial=0)).bit_length()):
+    for b in range(int(values.max()).bit_length()):
         out += (values >> np.uint64(b)) > 0
     return out
 
 
+def _selectors(bits: np.ndarray, block: int) -> np.ndarray:
+    """For a word that starts at each place, the selector of the most ids that fit; bits is padded with zeros behind the
+    block. A window's widest id comes from two shorter windows that overlap; where a selector fits, so do all with fewer ids."""
+    best = np.zeros((len(bits), block), np.uint8)
+    widest, have = bits, 1
+    for s in range(15, 0, -1):
+        want = int(COUNTS[s])
+        while have < want:
+            move = min(want - have, have)
+            longer = widest.copy()
+            np.maximum(widest[:, :-move], widest[:, move:], out=longer[:, :-move])
+            widest, have = longer, have + move
+        fits = widest[:, :block] <= WIDTHS[s]
+        if not fits.any():
+            break
+        np.copyto(best, np.uint8(s), where=fits)
+    return best
+
+
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
@@ -37,58 +61,41 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     if not n:
         return _HEAD.pack(MAGIC, block, 0, 0, 0) + struct.pack("<II", 0, 0)
     pad = int(COUNTS.max())
-    grid = np.zeros((blocks, block + pad), np.uint64)  # rows stay apart: a word never crosses a block
     full = np.zeros(blocks * block, np.uint64)
     full[:n] = values
-    grid[:, :block] = full.reshape(blocks, block)
     bits = np.zeros((blocks, block + pad), np.uint8)
     bits[:, :block] = _bits(full).reshape(blocks, block)
-    # widest id of each window, built from two shorter windows that overlap
-    best = np.zeros((blocks, block), np.uint8)
-    have, windows = 1, {1: bits}
-    for s in range(15, 0, -1):
-        c = int(COUNTS[s])
-        if c not in windows:
-            a = windows[have]
-            w = a.copy()
-            step = c - have
-            while step > 0:
-                move = min(step, have)
-                w[:, :-move] = np.maximum(w[:, :-move], a[:, move:])
-                have += move
-                step -= move
-                a = w.copy() if step > 0 else a
-            windows = {c: w}
-            have = c
-        best[(windows[c][:, :block] <= WIDTHS[s])] = s
-        if s == 1:
-            break
-    size = np.full(blocks, block, np.int64)
-    size[-1] = n - (blocks - 1) * block
-    at, rows, parts = np.zeros(blocks, np.int64), np.arange(blocks), []
-    order = 0
-    while len(rows):
-        s = best[rows, at[rows]].astype(np.int64)
-        for k in np.unique(s).tolist():
-            own = rows[s == k]
-            start, c, width = at[own], int(COUNTS[k]), int(WIDTHS[k])
-            if k == 0:
-                v = grid[own, start]
-                parts.append((own, np.full(len(own), order), v & np.uint64(0xFFFFFFFF)))
-                parts.append((own, np.full(len(own), order + 1), _SECOND | (v >> np.uint64(32))))
-            else:
-                word = np.full(len(own), k << 60, np.uint64)
-                if width:
-                    for j in range(c):
-                        word |= grid[own, np.minimum(start + j, block + pad - 1)] << np.uint64(j * width)
-                parts.append((own, np.full(len(own), order), word))
-            at[own] += c
-        order += 2
-        rows = rows[at[rows] < size[rows]]
-    owner = np.concatenate([p[0] for p in parts])
-    rank = np.concatenate([p[1] for p in parts])
-    words = np.concatenate([p[2] for p in parts])[np.lexsort((rank, owner))]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))]).astype("<u4")
+    best = _selectors(bits, block).reshape(-1)
+    count = COUNTS[best]
+    # follow the words of all blocks side by side; a word never crosses a block
+    mark = np.zeros(blocks * block, bool)
+    at = np.arange(blocks) * block
+    ends = np.minimum(at + block, n)
+    while len(at):
+        mark[at] = True
+        at = at + count[at]
+        inside = at < ends
+        at, ends = at[inside], ends[inside]
+    first = np.flatnonzero(mark)
+    selector = best[first]
+    end = np.minimum((first // block + 1) * block, n)
+    place = np.cumsum(1 + (selector == 0)) - 1 - (selector == 0)
+    words = np.zeros(int(place[-1]) + 1 + int(selector[-1] == 0), np.uint64)
+    for s in np.unique(selector).tolist():
+        own = np.flatnonzero(selector == s)
+        start = first[own]
+        if s == 0:
+            words[place[own]] = full[start] & np.uint64(0xFFFFFFFF)
+            words[place[own] + 1] = _SECOND | (full[start] >> np.uint64(32))
+            continue
+        word = np.full(len(own), s << 60, np.uint64)
+        width = int(WIDTHS[s])
+        for j in range(int(COUNTS[s]) if width else 0):
+            spot = start + j
+            word |= np.where(spot < end[own], full[np.minimum(spot, n - 1)], np.uint64(0)) << np.uint64(j * width)
+        words[place[own]] = word
+    per_block = np.bincount(first // block, 1 + (selector == 0), blocks).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(per_block)]).astype("<u4")
     index = starts.tobytes() + b"\0" * (-4 * len(starts) % 8)
     return _HEAD.pack(MAGIC, block, n, blocks, 0) + index + words.astype("<u8").tobytes()
 
