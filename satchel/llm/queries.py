@@ -32,6 +32,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op04_lm import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +83,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op4_lm_scoring, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
 
 
 def _oracles() -> dict[str, str]:
