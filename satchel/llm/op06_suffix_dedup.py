@@ -8,8 +8,9 @@ text of each is read again and its windows go to the index.
 
 Index. Each shard holds a logarithmic family of suffix arrays (here: windows in byte order). A new batch of texts gets its
 suffix array, is merge-scanned against the existing levels for matches of `length` bytes, and becomes a level; levels of the
-same rank are merged into one of the next rank. A family ends at an anchor's border once it is large, so memory is bounded by
-FAMILY_WINDOWS or one anchor's windows.
+same rank are merged into one of the next rank. A family ends at a shard's border once it is large. Anchors
+with very many different runs are cut into shards by the windows' distance from the anchor, and beyond that by their bytes,
+so memory is bounded by about FAMILY_WINDOWS windows.
 
 Null and empty texts have no bytes. Matches never cross documents; a string's other start may lie in the same document and
 overlap. Rows with equal doc_id and text are copies of each other.
@@ -77,10 +78,7 @@ class Runs:
         self.length, self.gram, self.p, self.q = length, gram, _Powers(_BASE), _Powers(_OTHER)
 
     def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first start, last start, anchor's hash, run's hash) of the runs of the ascending window starts given."""
-        empty = np.zeros(0, np.int64)
-        if not len(starts):
-            return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        """(first start, last start, anchor, anchor's hash, run's hash) of the runs of the ascending window starts given."""
         n, k = len(data), self.gram
         value = _VALUES[data]
         up, down = self.p.upto(n + 1)
@@ -96,15 +94,15 @@ class Runs:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value * up[:n], dtype=np.uint64)])
         whole = (sums[last + self.length] - sums[first]) * down[first]
         whole = _mix(whole + _mix(((last - first) * 4096 + anchor - first).astype(np.uint64)))
-        return first, last, grams[anchor], whole
+        return first, last, anchor, grams[anchor], whole
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """Runs of all texts: h, g, more (last - first), keys and firsts of the places in this batch with this run."""
+    """Runs of all texts: h, g, more (last - first), ahead (anchor - first), keys and firsts of the places in this batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Runs(length)
-        names = ["h", "g", "more", "keys", "firsts"]
+        names = ["h", "g", "more", "ahead", "keys", "firsts"]
         for whole in batches:
             for batch in slices(whole, "text", SEGMENT):
                 text, keys = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
@@ -119,7 +117,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     if not size.sum():
                         continue
                     starts = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum())) - a
-                    first, last, h, g = finder.find(part, starts)
+                    first, last, anchor, h, g = finder.find(part, starts)
                     doc = np.searchsorted(offsets, first + a, side="right") - 1
                     order = np.lexsort((g, h))
                     new = np.ones(len(order), bool)
@@ -128,11 +126,11 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     cuts = pa.array(np.append(at, len(order)).astype(np.int32))
                     lead = order[at]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(h[lead].view(np.int64)), pa.array(g[lead].view(np.int64)), pa.array((last - first)[lead].astype(np.int32)),
+                        pa.array(h[lead].view(np.int64)), pa.array(g[lead].view(np.int64)), pa.array((last - first)[lead].astype(np.int32)), pa.array((anchor - first)[lead].astype(np.int32)),
                         pa.ListArray.from_arrays(cuts, pa.array(keys[doc[order]])), pa.ListArray.from_arrays(cuts, pa.array((first + a - offsets[doc])[order].astype(np.int32))),
                     ], names=names)
 
-    return docs.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(run, "h long, g long, more int, keys array<long>, firsts array<int>")
+    return docs.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(run, "h long, g long, more int, ahead int, keys array<long>, firsts array<int>")
 
 
 class LogIndex:
@@ -179,8 +177,22 @@ def _ranges(matched: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "first", "last"])
 
 
+def _pieces(wanted: DataFrame, length: int) -> DataFrame:
+    """Runs of one anchor cut by the distance from window to anchor, so that a shard has about FAMILY_WINDOWS windows:
+    equal windows have equal distances. Where one distance alone has more, `parts` asks to split it by the windows' bytes.
+    wanted: key, h, first, more, ahead, need, texts (of the anchor). Adds cut and parts."""
+    span = length - GRAM + 1
+    width = F.greatest(F.lit(1), F.least(F.lit(span), F.floor(F.lit(FAMILY_WINDOWS) / F.col("texts")))).cast("int")
+    out = wanted.withColumns({"width": width, "parts": F.ceil(F.col("texts") / FAMILY_WINDOWS).cast("int")})
+    out = out.withColumn("cut", F.explode(F.sequence(F.floor((F.col("ahead") - F.col("more")) / F.col("width")).cast("int"), F.floor(F.col("ahead") / F.col("width")).cast("int"))))
+    most = F.least(F.col("ahead"), F.col("cut") * F.col("width") + F.col("width") - 1)
+    least = F.greatest(F.col("ahead") - F.col("more"), F.col("cut") * F.col("width"))
+    return out.select("key", "h", "cut", "parts", (F.col("first") + F.col("ahead") - most).alias("first"), (most - least).alias("more"), "need")
+
+
 def _index_shards(texts: DataFrame, length: int) -> DataFrame:
-    """texts: h, key, first, need, body. (key, first, last) of windows that match another; shards stream in order of h."""
+    """texts: h, cut, parts, key, first, need, body. (key, first, last) of windows that match another. A shard is what agrees
+    in h, cut and, where it is large, the hash of the one window left; shards stream one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, doc, start, need, pending, waiting, last = LogIndex(), [], [], [], [], 0, None
@@ -196,8 +208,8 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
             return _ranges(family.matched & np.concatenate(need), np.concatenate(doc), np.concatenate(start))
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("h", "key", "first", "need", "body")]
-            for h, key, first, own, body in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("h", "cut", "part", "key", "first", "need", "body")]
+            for *h, key, first, own, body in zip(*columns):
                 if h != last and len(family.matched) + waiting > FAMILY_WINDOWS:
                     yield end()
                     family, doc, start, need = LogIndex(), [], [], []
@@ -214,26 +226,39 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
             yield end()
 
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return texts.repartition(parts, "h").sortWithinPartitions("h", "key", "first").mapInArrow(run, "key long, first int, last int")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("body"), F.col("parts"))).otherwise(0).cast("int")
+    shards = texts.withColumn("part", part).select("h", "cut", "part", "key", "first", "need", "body")
+    return shards.repartition(parts, "h", "cut", "part").sortWithinPartitions("h", "cut", "part", "key", "first").mapInArrow(run, "key long, first int, last int")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs: h, key, first, need, body."""
+    """The bytes of the wanted pieces: h, cut, parts, key, first, need, body."""
+    names = ["h", "cut", "parts", "key", "first", "need", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                out: list[list] = [[], [], [], [], []]
-                for key, text, runs in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                    data = text.encode()
-                    for r in runs:
-                        for column, x in zip(out, (r["h"], key, r["first"], r["need"], data[r["first"] : r["first"] + r["more"] + length])):
-                            column.append(x)
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["h", "key", "first", "need", "body"])
+        out: list[list] = [[] for _ in names]
+        size = 0
 
-    grouped = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "first", "more", "need")).alias("runs"))
-    return docs.select("key", "text").join(grouped, "key").mapInArrow(run, "h long, key long, first int, need boolean, body binary")
+        def give() -> pa.RecordBatch:
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+        for batch in batches:
+            for key, text, pieces in zip(*(batch.column(c) for c in ("key", "text", "pieces"))):
+                data = text.as_py().encode()
+                for r in pieces.as_py():
+                    body = data[r["first"] : r["first"] + r["more"] + length]
+                    for column, x in zip(out, (r["h"], r["cut"], r["parts"], key.as_py(), r["first"], r["need"], body)):
+                        column.append(x)
+                    size += len(body) + 64
+                    if size > 8 << 20:
+                        yield give()
+                        out, size = [[] for _ in names], 0
+        if out[0]:
+            yield give()
+
+    grouped = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "cut", "parts", "first", "more", "need")).alias("pieces"))
+    return docs.select("key", "text").join(grouped, "key").mapInArrow(run, "h long, cut int, parts int, key long, first int, need boolean, body binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -242,12 +267,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_run, by_anchor = Window.partitionBy("h", "g"), Window.partitionBy("h")
     runs = _runs(docs, length).repartition(parts, "h")
     runs = runs.withColumn("copies", F.sum(F.size("keys")).over(by_run)).withColumn("rank", F.row_number().over(by_run.orderBy(F.element_at("keys", 1), F.element_at("firsts", 1))))
-    runs = runs.withColumn("mixed", F.min("g").over(by_anchor) != F.max("g").over(by_anchor))
+    runs = runs.withColumn("runs", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(by_anchor)).withColumn("mixed", F.col("runs") > 1)
     runs, _ = materialize(runs.where("copies > 1 or mixed"), "runs")
     place = F.explode(F.arrays_zip("keys", "firsts")).alias("p")
     whole = runs.where("copies > 1").select("more", place).select(F.col("p.keys").alias("key"), F.col("p.firsts").alias("first"), (F.col("p.firsts") + F.col("more")).alias("last"))
-    wanted = runs.where("mixed and rank = 1").select(F.element_at("keys", 1).alias("key"), "h", F.element_at("firsts", 1).alias("first"), "more", (F.col("copies") == 1).alias("need"))
-    partly, _ = materialize(_index_shards(_bodies(docs, wanted, length), length), "partly")
+    wanted = runs.where("mixed and rank = 1").select(F.element_at("keys", 1).alias("key"), "h", F.element_at("firsts", 1).alias("first"), "more", "ahead", (F.col("copies") == 1).alias("need"), F.col("runs").alias("texts"))
+    partly, _ = materialize(_index_shards(_bodies(docs, _pieces(wanted, length), length), length), "partly")
     return whole.unionByName(partly)
 
 
