@@ -35,7 +35,7 @@ from .elias_fano import BigramTrie
 
 FOLDS = 10
 #: Bytes of text in a bundle.
-BUNDLE_BYTES = 12 << 20
+BUNDLE_BYTES = 5 << 20
 ALPHA = 0.1
 #: l(v) is FLOOR + (1 - FLOOR) / (1 + c(v)).
 FLOOR = 0.55
