@@ -128,6 +128,13 @@ def header_joined(headers: Column, name: str) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, " "))
 
 
+def header_map(headers: Column) -> Column:
+    """All values of each header by exact name, in order."""
+    names = F.array_distinct(F.transform(headers, lambda h: h["name"]))
+    values = lambda n: F.transform(F.filter(headers, lambda h: h["name"] == n), lambda h: h["value"])
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, values(n))))
+
+
 def header_main(value: Column) -> Column:
     """A structured header's value without its attributes."""
     return F.trim(F.regexp_extract(value, "^[^;]+", 0))

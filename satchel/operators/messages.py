@@ -129,6 +129,19 @@ def to_mime(items: DataFrame, attachments: DataFrame | None = None) -> DataFrame
     return items.select("item_id", F.concat(lines, F.lit("\r\n"), whole).alias("mime"))
 
 
+def summary(items: DataFrame) -> DataFrame:
+    """items with summary: class, sender and subject of each on one line. items: message_class, sender, subject."""
+    shown = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("nil"))
+    return items.withColumn("summary", F.format_string("#<Message message_class=%s from=%s subject=%s>", shown("message_class"), shown("sender"), shown("subject")))
+
+
+def counts(items: DataFrame, recipients: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(item_id, n_recipients, n_attachments) of all items."""
+    one = lambda rows, name: rows.groupBy("item_id").agg(F.count(F.lit(1)).alias(name))
+    out = items.select("item_id").join(one(recipients, "n_recipients"), "item_id", "left").join(one(attachments, "n_attachments"), "item_id", "left")
+    return out.na.fill(0, ["n_recipients", "n_attachments"])
+
+
 def vcard(fields: dict[str, Column]) -> Column:
     """vCard 3.0 text from contact fields by symbol; empty values count as missing, groups without a value are left out."""
     get = lambda name: text.empty_to_null(fields[name]) if name in fields else F.lit(None).cast("string")

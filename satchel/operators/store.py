@@ -82,3 +82,17 @@ def embedded_kind(children: DataFrame) -> DataFrame:
     """Objects with more than two children named as parts of messages. children: object_id, name."""
     like = F.col("name").rlike(r"^__(substg1|properties_version1|nameid_version1|attach_version1|recip_version1)\.0")
     return children.groupBy("object_id").agg((F.count_if(like) > 2).alias("is_message"))
+
+
+def named_columns(columns: DataFrame, names: DataFrame, types: dict[int, str]) -> DataFrame:
+    """Table columns (ref_type, code) with type_name and prop_name from the dictionaries, else hexadecimal."""
+    kinds = columns.sparkSession.createDataFrame([(c, n.split("_", 1)[1].lower()) for c, n in types.items()], "_t int, _type string")
+    props = names.select(F.col("code").alias("_c"), F.col("symbol").alias("_symbol"))
+    out = columns.join(F.broadcast(kinds), F.col("ref_type") == F.col("_t"), "left").join(F.broadcast(props), F.col("code") == F.col("_c"), "left")
+    name = lambda found, code: F.coalesce(F.col(found), F.format_string("0x%04x", F.col(code)))
+    return out.withColumns({"type_name": name("_type", "ref_type"), "prop_name": name("_symbol", "code")}).drop("_t", "_type", "_c", "_symbol")
+
+
+def remaining(all_rows: DataFrame, used: DataFrame) -> DataFrame:
+    """Rows that were not used, counting repeats."""
+    return all_rows.exceptAll(used)

@@ -59,3 +59,8 @@ def reroot(children_of: DataFrame, subtree: int, extras: list[int], root: int) -
 def tree_text(walked: DataFrame, label: str) -> DataFrame:
     """An indented line for each node, with the key that puts lines in order."""
     return walked.select("order_key", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col(label)).alias("line"))
+
+
+def store_name(nodes: DataFrame) -> DataFrame:
+    """The root's display name. nodes: kind, display_name."""
+    return nodes.where("kind = 'root'").select(F.col("display_name").alias("name"))

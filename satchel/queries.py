@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -517,6 +518,64 @@ def subject_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.subject_without_prefix(raw).alias("subject"))
 
 
+@register(f"{_NOTE} SELECT item_id, '#<Message message_class=\"IPM.Note\" from=' || coalesce('\"' || sender || '\"', 'nil') || ' subject=\"' || subject || '\">' AS summary FROM f")
+def message_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sender = text.sender_address(F.col("sender_addrtype"), F.col("sender_name"), F.col("sender_email_address"), text.header_joined(F.col("transport"), "From"))
+    items = _notes(spark, sf_dir).select("item_id", F.lit("IPM.Note").alias("message_class"), sender.alias("sender"), "subject")
+    return messages.summary(items).select("item_id", "summary")
+
+
+@register("SELECT o_orderkey AS item_id, coalesce(r.n, 0) AS n_recipients, coalesce(a.n, 0) AS n_attachments FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) r ON o_orderkey = r.l_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON o_orderkey = a.l_orderkey")
+def item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), "l_returnflag")
+    return messages.counts(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id")), lines, lines.where("l_returnflag = 'R'"))
+
+
+@register(f"SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'a b c|two' END AS seen FROM ({synth.NOTES})")
+def header_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir).select("item_id", F.array_join(F.try_element_at(text.header_map(F.col("transport")), F.lit("X-Seen")), "|").alias("seen"))
+
+
+@register("SELECT 'Root' AS name")
+def store_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.store_name(derive(spark, sf_dir, synth.NODES))
+
+
+@register(f"{_WALK} SELECT repeat('  ', depth) || '- ' || display_name AS line FROM w")
+def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.tree_text(_folders(spark, sf_dir), "display_name").select("line")
+
+
+@register("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'string8' ELSE '0x7777' END AS type_name, CASE p_partkey % 2 WHEN 0 THEN 'subject' ELSE '0x6666' END AS prop_name FROM part")
+def table_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    columns = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 3 == 0, 3).when(k % 3 == 1, 0x1E).otherwise(0x7777).alias("ref_type"), F.when(k % 2 == 0, 0x37).otherwise(0x6666).alias("code"))
+    return store.named_columns(columns, names.dictionary(spark).where(F.col("guid") == names.PS_MAPI), names.TYPES).select("id", "type_name", "prop_name")
+
+
+@register("SELECT l_suppkey FROM lineitem EXCEPT ALL SELECT s_suppkey FROM supplier")
+def remaining_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.remaining(table(spark, sf_dir, "lineitem").select("l_suppkey"), table(spark, sf_dir, "supplier").select("s_suppkey"))
+
+
+@register()
+def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as message files in the shared folder, read back as property rows and converted to vCards."""
+    from .plans import convert
+    from .sources import compound, msg, rows
+
+    def build(name: str, mail: str) -> bytes:
+        stream = lambda code, value: compound.Entry(f"__substg1.0_{code:04X}001F", value.encode("utf-16-le"))
+        return compound.write(compound.Entry("Root Entry", None, [stream(0x001A, "IPM.Contact"), stream(0x0037, name), stream(0x3A51, mail)]))
+
+    @F.pandas_udf("binary")
+    def built(name: pd.Series, mail: pd.Series) -> pd.Series:
+        return pd.Series([build(n, m) for n, m in zip(name, mail)])
+
+    files = table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit(".msg")).alias("path"), built("c_name", "c_mktsegment").alias("content"))
+    return convert.convert(rows.parse_files(files, msg.parse)).select("file", "kind", "subject", "content")
+
+
 @register()
 def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts wrapped as RTF, compressed, decompressed and turned back to text."""

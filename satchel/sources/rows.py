@@ -48,9 +48,15 @@ def typed(value: object) -> dict:
     return {"v_bin": bytes(value)}
 
 
-def scan(spark: SparkSession, path: str, pattern: str, parse: Callable[[str, bytes], Iterator[dict]], batch_rows: int = 500) -> DataFrame:
-    """Rows of all files under path, read by Spark, parsed file by file; a file that can't be parsed gives an error row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+def scan(spark: SparkSession, path: str, pattern: str, parse: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
+    """Rows of all files under path whose names match the pattern, read by Spark."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return parse_files(files, parse)
+
+
+def parse_files(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], batch_rows: int = 500) -> DataFrame:
+    """Rows of files (path, content), parsed file by file; a file that can't be parsed gives an error row."""
+    files = files.select("path", "content")
     fields = SCHEMA.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

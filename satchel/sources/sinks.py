@@ -42,3 +42,17 @@ def write_individual(messages: DataFrame, path: str, append: bool = True) -> Non
     """Write messages (filename, content), one folder with one text for each."""
     rows = messages.select("filename", F.col("content").alias("value"))
     rows.repartition("filename").write.mode("append" if append else "overwrite").partitionBy("filename").text(path)
+
+
+def save_attachments(attachments: DataFrame, path: str, append: bool = True) -> None:
+    """Write attachments (item_id, filename, attach_data) as a table of files; embedded objects, which have no bytes of their
+    own, are refused."""
+    if attachments.where("attach_data is null").limit(1).count():
+        raise ValueError("can only save attachments with bytes")
+    attachments.select("item_id", "filename", "attach_data").write.mode("append" if append else "overwrite").parquet(path)
+
+
+def print_messages(messages: DataFrame, out) -> None:
+    """Write messages (ord, content) to a text stream on the driver in order, one partition at a time."""
+    for row in messages.orderBy("ord").select("content").toLocalIterator():
+        out.write(row.content)
