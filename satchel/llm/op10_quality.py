@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from .common import append_columns, split_words
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_upper", "n_marks", "n_distinct"]
-#: Ratios that rules may test, by name and Spark expression over COUNTS (no division by zero: at least 1 below).
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_upper", "n_marks", "n_echoes"]
+#: Ratios that rules may test, by name and Spark expression over COUNTS (no division by zero: at least 1 below). None of
+#: them falls or grows with a text's length by itself, except the length.
 FEATURES = {
     "words": "double(n_words)",
     "mean_word": "word_chars / greatest(n_words, 1)",
@@ -32,7 +33,7 @@ FEATURES = {
     "words_per_line": "n_words / greatest(n_lines, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "marks_per_word": "n_marks / greatest(n_words, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "echo_share": "n_echoes / greatest(n_words, 1)",
 }
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,10 +76,8 @@ def statistics(texts: pa.Array) -> list[pa.Array]:
     coded = words.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     repeated = repeated_window_words(rows, codes, n)
-    if len(rows):
-        distinct = np.bincount(np.unique(rows * np.int64(len(coded.dictionary)) + codes) // len(coded.dictionary), minlength=n).astype(np.int64)
-    else:
-        distinct = np.zeros(n, np.int64)
+    echo = np.zeros(len(rows), bool)  # words equal to the one before
+    echo[1:] = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])
     count = lambda rx: pc.count_substring_regex(texts, rx).to_numpy(zero_copy_only=False).astype(np.int64)
     upper = np.zeros(n, np.int64)
     if len(rows):
@@ -89,7 +88,7 @@ def statistics(texts: pa.Array) -> list[pa.Array]:
         full = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
         lines[i] = len(full)
         dup[i] = len(full) - len(set(full))
-    found = [n_words, word_chars, count(r"[#*$%&|<>]"), dup, repeated, lines, pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), upper, count(r"[!?]"), distinct]
+    found = [n_words, word_chars, count(r"[#*$%&|<>]"), dup, repeated, lines, pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), upper, count(r"[!?]"), per_row(echo)]
     return [pa.array(x, pa.int64()) for x in found]
 
 
@@ -134,7 +133,7 @@ def _grow(data: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most: int) ->
         base, best, pick = math.log2(p0 / (p0 + n0)), 1e-9, None
         for name, x in data.items():
             values = np.unique(np.quantile(x[inside], np.linspace(0, 1, cuts)))
-            for v in values[:-1] if len(values) > 1 else []:
+            for v in (values[:-1] + values[1:]) / 2:  # half way, so that unseen rows near either side stay there
                 low = inside & (x <= v)
                 for at_most, own in ((True, low), (False, inside & ~low)):
                     p = int(bad[own].sum())
