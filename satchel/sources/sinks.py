@@ -24,9 +24,9 @@ def output_name(kind: Column, path: Column | None = None) -> Column:
     return plain if path is None else F.when(path.isNull(), plain).otherwise(text.combined_filename(path, plain))
 
 
-def mbox_entry(mime: Column, date: Column) -> Column:
-    """A message as an mbox entry: the separator with the message's own date, and mboxrd quoting."""
-    return F.concat(F.lit("From mapitool@localhost "), F.coalesce(text.rfc2822(date), F.lit("Thu, 01 Jan 1970 00:00:00 +0000")), F.lit("\n"), text.mboxrd(mime))
+def mbox_entry(mime: Column, date: Column, sender: str = "MAILER-DAEMON") -> Column:
+    """A message as an mbox entry: the separator with a sender and the message's own date, and mboxrd quoting."""
+    return F.concat(F.lit(f"From {sender} "), F.coalesce(text.rfc2822(date), F.lit("Thu, 01 Jan 1970 00:00:00 +0000")), F.lit("\n"), text.mboxrd(mime))
 
 
 def write_combined(messages: DataFrame, path: str, append: bool = True) -> None:
