@@ -36,6 +36,11 @@ _NAMED = f"{_PROPS}, {_DICT}, named AS (SELECT p.*, coalesce(lower(p.name), d.sy
 _ONE = f"{_NAMED}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, symbol ORDER BY CASE WHEN guid = '{names.PS_MAPI}' THEN 0 ELSE 1 END, CASE WHEN guid = '{names.PS_MAPI}' THEN -ord ELSE ord END) AS k FROM named WHERE symbol IS NOT NULL) WHERE k = 1)"
 
 
+def _or(number: int, column: str):
+    """A number column with a number for null, under its own name."""
+    return F.coalesce(F.col(column), F.lit(number)).alias(column.rpartition(".")[2])
+
+
 def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, synth.PROPERTIES)
 
@@ -63,17 +68,17 @@ def prop_key_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pick(order: str) -> str:
-    return f"{_PROPS} SELECT item_id, code, name, guid, value FROM (SELECT *, row_number() OVER (PARTITION BY item_id, code, name, guid ORDER BY ord {order}) AS k FROM props) WHERE k = 1"
+    return f"{_PROPS} SELECT item_id, coalesce(code, -1) AS code, name, guid, value FROM (SELECT *, row_number() OVER (PARTITION BY item_id, code, name, guid ORDER BY ord {order}) AS k FROM props) WHERE k = 1"
 
 
 @register(_pick("DESC"))
 def prop_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return properties.last_wins(_props(spark, sf_dir)).select("item_id", "code", "name", "guid", "value")
+    return properties.last_wins(_props(spark, sf_dir)).select("item_id", _or(-1, "code"), "name", "guid", "value")
 
 
 @register(_pick("ASC"))
 def prop_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return properties.first_wins(_props(spark, sf_dir)).select("item_id", "code", "name", "guid", "value")
+    return properties.first_wins(_props(spark, sf_dir)).select("item_id", _or(-1, "code"), "name", "guid", "value")
 
 
 @register(f"{_ONE} SELECT item_id, symbol, guid, value FROM one")
@@ -110,10 +115,10 @@ def prop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""{_PROPS}, m AS (SELECT * FROM (VALUES (32773, 33029, NULL, 'g1'), (34952, NULL, 'Custom', 'g2')) t(pseudo, code, name, guid))
- SELECT p.item_id, p.ord, CASE WHEN m.pseudo IS NULL THEN p.code ELSE m.code END AS code, m.name, CASE WHEN m.pseudo IS NULL THEN '{names.PS_MAPI}' ELSE m.guid END AS guid, p.value FROM props p LEFT JOIN m ON p.code >= 32768 AND p.code = m.pseudo""")
+ SELECT p.item_id, p.ord, coalesce(CASE WHEN m.pseudo IS NULL THEN p.code ELSE m.code END, -1) AS code, m.name, CASE WHEN m.pseudo IS NULL THEN '{names.PS_MAPI}' ELSE m.guid END AS guid, p.value FROM props p LEFT JOIN m ON p.code >= 32768 AND p.code = m.pseudo""")
 def named_key_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([(32773, 33029, None, "g1"), (34952, None, "Custom", "g2")], "pseudo int, code int, name string, guid string")
-    return properties.named_keys(_props(spark, sf_dir), known).select("item_id", "ord", "code", "name", "guid", "value")
+    return properties.named_keys(_props(spark, sf_dir), known).select("item_id", "ord", _or(-1, "code"), "name", "guid", "value")
 
 
 @register("SELECT l_orderkey AS item_id, string_agg(coalesce(v, '-'), ',' ORDER BY i) AS joined FROM (SELECT k.l_orderkey, i, l.l_returnflag AS v FROM (SELECT l_orderkey, unnest(range(0, max(l_linenumber) + 1)) AS i FROM lineitem GROUP BY l_orderkey) k LEFT JOIN (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) l ON k.l_orderkey = l.l_orderkey AND k.i = l.l_linenumber) GROUP BY l_orderkey")
@@ -126,10 +131,10 @@ def multi_value_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STREAMS = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '__substg1.0_0037001F' WHEN 1 THEN concat('__substg1.0_8005101E-0000000', p_partkey % 9) WHEN 2 THEN '__substg1.0_8005101E' WHEN 3 THEN '__properties_version1.0' ELSE concat('odd', p_size % 3) END AS name FROM part"
 
 
-@register(f"SELECT id, CASE id % 5 WHEN 0 THEN 55 ELSE 32773 END AS code, CASE id % 5 WHEN 0 THEN 31 WHEN 1 THEN 30 ELSE 4126 END AS type, CASE WHEN id % 5 = 1 THEN CAST(id % 9 AS INT) END AS place, id % 5 <> 0 AS multi, id % 5 = 2 AS header FROM ({_STREAMS}) WHERE id % 5 < 3")
+@register(f"SELECT id, CASE id % 5 WHEN 0 THEN 55 ELSE 32773 END AS code, CASE id % 5 WHEN 0 THEN 31 WHEN 1 THEN 30 ELSE 4126 END AS type, CASE WHEN id % 5 = 1 THEN CAST(id % 9 AS INT) ELSE -1 END AS place, id % 5 <> 0 AS multi, id % 5 = 2 AS header FROM ({_STREAMS}) WHERE id % 5 < 3")
 def substream_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = derive(spark, sf_dir, _STREAMS).withColumn("s", properties.substream(F.col("name"))).where("s is not null")
-    return out.select("id", "s.code", "s.type", "s.place", "s.multi", "s.header")
+    return out.select("id", "s.code", "s.type", _or(-1, "s.place"), "s.multi", "s.header")
 
 
 @register(f"SELECT name, count(*) AS count FROM ({_STREAMS}) WHERE id % 5 = 4 GROUP BY name")
@@ -383,9 +388,9 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANGES = "SELECT l_orderkey AS file_id, CAST(l_linenumber * 200 + l_partkey % 50 AS BIGINT) AS offset_, CAST(l_quantity * 5 AS BIGINT) AS size FROM lineitem"
 
 
-@register(f'SELECT file_id, offset_ AS "offset", size, size + (64 - size % 64) % 64 AS padded, lead(offset_) OVER (PARTITION BY file_id ORDER BY offset_, size) - (offset_ + size + (64 - size % 64) % 64) AS gap FROM ({_RANGES})')
+@register(f'SELECT file_id, offset_ AS "offset", size, size + (64 - size % 64) % 64 AS padded, coalesce(lead(offset_) OVER (PARTITION BY file_id ORDER BY offset_, size) - (offset_ + size + (64 - size % 64) % 64), -9999) AS gap FROM ({_RANGES})')
 def range_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.range_gaps(derive(spark, sf_dir, _RANGES).withColumnRenamed("offset_", "offset"))
+    return store.range_gaps(derive(spark, sf_dir, _RANGES).withColumnRenamed("offset_", "offset")).withColumn("gap", _or(-9999, "gap"))
 
 
 _NODE = "SELECT CAST(o_custkey % 8 AS BIGINT) AS file_id, o_orderkey AS node_id, o_orderkey * 4 AS data_block, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 4 + 2 ELSE 0 END AS sub_block FROM orders"
@@ -398,10 +403,10 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(k % 5 != 0).select((F.col("o_custkey") % 8).alias("file_id"), k, pair).select("file_id", (k * 4 + F.col("x")).alias("block_id"), (k * 1000 + F.col("x")).alias("offset"), (k % 8000).alias("size"))
 
 
-@register(f"WITH n AS ({_NODE}), b AS ({_BLOCK}) SELECT n.node_id, d.offset_ AS data_offset, d.size AS data_size, s.offset_ AS sub_offset, s.size AS sub_size FROM n LEFT JOIN b d ON n.file_id = d.file_id AND n.data_block = d.block_id LEFT JOIN b s ON n.file_id = s.file_id AND n.sub_block = s.block_id")
+@register(f"WITH n AS ({_NODE}), b AS ({_BLOCK}) SELECT n.node_id, coalesce(d.offset_, -1) AS data_offset, coalesce(d.size, -1) AS data_size, coalesce(s.offset_, -1) AS sub_offset, coalesce(s.size, -1) AS sub_size FROM n LEFT JOIN b d ON n.file_id = d.file_id AND n.data_block = d.block_id LEFT JOIN b s ON n.file_id = s.file_id AND n.sub_block = s.block_id")
 def node_block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = store.node_blocks(derive(spark, sf_dir, _NODE), _blocks(spark, sf_dir))
-    return out.select("node_id", "data_offset", "data_size", "sub_offset", "sub_size")
+    return out.select("node_id", *[_or(-1, c) for c in ("data_offset", "data_size", "sub_offset", "sub_size")])
 
 
 _SUB = "SELECT CAST(o_custkey % 8 AS BIGINT) AS file_id, l_orderkey AS owner, CAST(1649 + l_linenumber % 3 AS BIGINT) AS id2, l_orderkey * 4 AS block_id, l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -485,9 +490,9 @@ def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", binary.utf16(F.encode("text", "UTF-16LE")).alias("text"), binary.chomp_nul(F.lit("x\x00")).alias("chomped"), binary.base64_lines(F.encode("source", "UTF-8")).alias("b64"))
 
 
-@register("SELECT o_orderkey AS ref, CASE WHEN o_orderkey = 0 THEN 'none' WHEN o_orderkey % 16 = 15 THEN 'subnode' WHEN o_orderkey % 32 <> 0 THEN 'bad' ELSE 'heap' END AS kind, CASE WHEN o_orderkey % 32 = 0 AND o_orderkey <> 0 THEN CAST(o_orderkey // 65536 AS INT) END AS block, CASE WHEN o_orderkey % 32 = 0 AND o_orderkey <> 0 THEN CAST((o_orderkey // 16 % 4096) // 2 AS INT) END AS slot FROM orders")
+@register("SELECT o_orderkey AS ref, CASE WHEN o_orderkey = 0 THEN 'none' WHEN o_orderkey % 16 = 15 THEN 'subnode' WHEN o_orderkey % 32 <> 0 THEN 'bad' ELSE 'heap' END AS kind, CASE WHEN o_orderkey % 32 = 0 AND o_orderkey <> 0 THEN CAST(o_orderkey // 65536 AS INT) ELSE -1 END AS block, CASE WHEN o_orderkey % 32 = 0 AND o_orderkey <> 0 THEN CAST((o_orderkey // 16 % 4096) // 2 AS INT) ELSE -1 END AS slot FROM orders")
 def heap_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), binary.heap_reference(F.col("o_orderkey")).alias("r")).select("ref", "r.kind", "r.block", "r.slot")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), binary.heap_reference(F.col("o_orderkey")).alias("r")).select("ref", "r.kind", _or(-1, "r.block"), _or(-1, "r.slot"))
 
 
 @register("SELECT c_custkey AS id, c_custkey AS node_id, 'Class' || c_nationkey AS class_name FROM customer")
