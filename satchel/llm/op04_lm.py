@@ -35,7 +35,7 @@ from .elias_fano import BigramTrie
 
 FOLDS = 10
 #: Bytes of text in a bundle.
-BUNDLE_BYTES = 5 << 20
+BUNDLE_BYTES = 4 << 20
 ALPHA = 0.1
 #: l(v) is FLOOR + (1 - FLOOR) / (1 + c(v)).
 FLOOR = 0.55
@@ -220,6 +220,11 @@ def _open(table: pa.Table, shards: int, total: int) -> _Bundle | None:
     return _Bundle(table.column("ids")[i].as_py(), table.column("words")[i].as_py(), table.column("codes")[i].as_py(), answers, shards, total)
 
 
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Numbers in 32 bits where they fit."""
+    return x.astype(np.int32) if not len(x) or int(x.max()) < 1 << 31 else x.astype(np.int64)
+
+
 def context_weight(count: np.ndarray) -> np.ndarray:
     """l(v), the share of the lower order."""
     return FLOOR + (1 - FLOOR) / (1 + count)
@@ -231,13 +236,17 @@ def _look_up(blobs: DataFrame) -> DataFrame:
     def run(key, table):
         parts = []
         for data in table.column("data").to_pylist():
-            gaps, size, context_count, word, count = (x.astype(np.int64) for x in unpack(data))
-            parts.append((np.repeat(np.cumsum(gaps), size), word, count, np.repeat(context_count, size)))
-        context, word, count, context_count = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((word, context))
-        context, word, count, context_count = context[order], word[order], count[order], context_count[order]
+            gaps, size, context_count, word, count = unpack(data)
+            parts.append([_thin(x) for x in (np.repeat(np.cumsum(gaps), size), word, count, np.repeat(context_count, size))])
+        cuts = np.cumsum([0] + [len(p[0]) for p in parts])
+        columns = [np.concatenate([p.pop(0) for p in parts]) for _ in range(4)]
+        order = np.lexsort((columns[1], columns[0]))
+        for i in range(4):
+            columns[i] = columns[i][order]
+        context, word, count, context_count = columns
+        del columns
         first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-        count = np.add.reduceat(count, first)
+        count = np.add.reduceat(count.astype(np.int64), first)
         context, word, context_count = context[first], word[first], context_count[first]
         seen = count > 0
         part = (1 - context_weight(context_count[seen])) * count[seen] / context_count[seen]
@@ -252,7 +261,6 @@ def _look_up(blobs: DataFrame) -> DataFrame:
             del trie
         lookup = np.empty(len(order), np.uint8)
         lookup[order] = np.repeat(answer, np.diff(np.append(first, len(order))))
-        cuts = np.cumsum([0] + [len(p[0]) for p in parts])
         return _rows([(bundle, key[0].as_py(), _CODES, pack(lookup[a:b])) for bundle, a, b in zip(table.column("source").to_pylist(), cuts, cuts[1:])])
 
     return blobs.groupBy("target").applyInArrow(run, _BLOB)
