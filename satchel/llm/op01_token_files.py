@@ -24,7 +24,7 @@ from .common import slices, texts_of
 from .pieces import PieceTable, tokenizers_encoder
 
 #: A chunk closes at the first document's end after so many ids.
-CHUNK_IDS = 1 << 18
+CHUNK_IDS = 1 << 20
 SCHEMA = "shard int, seq long, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["shard", "seq", "first", "n_ids", "doc_ids", "lengths", "payload"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text"):
                 ids, n = table.encode(texts_of(batch, "text"))
                 ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
                 held.append((batch.column("doc_id"), ids, n + 1))
