@@ -9,8 +9,8 @@ by white space or the end of the text; texts with such a place are one piece.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -118,17 +118,20 @@ def tokenizers_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.
     def alone(pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def pack(ids: Iterable[int]) -> bytes:
+        return array("I", ids).tobytes()  # ids are kept as bytes: small, and quick to join
+
     model, words, signs = library.model, {}, {}
 
-    def of_word(word: str) -> list[int]:
+    def of_word(word: str) -> bytes:
         """Ids of one pre-token, from the library's model."""
         if word.isascii() and word[1:].isalpha() and word[0] == " ":
             word = "\u0120" + word[1:]  # the blank's character; letters stand for themselves
         else:
             word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return [t.id for t in model.tokenize(word)]
+        return pack([t.id for t in model.tokenize(word)])
 
-    def part(piece: str) -> list[int] | None:
+    def part(piece: str) -> bytes | None:
         """Ids of letters, with a blank before them or not, and perhaps ASCII punctuation: the pattern cuts between them."""
         base = piece.rstrip(_PUNCTUATION)
         if not (base[1:] if base[:1] == " " else base).isalpha():
@@ -146,11 +149,11 @@ def tokenizers_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.
 
     line_feed = of_word("\n")
 
-    def simple(piece: str) -> list[int] | None:
+    def simple(piece: str) -> bytes | None:
         """Ids of a piece of such parts with single line feeds between them, each a pre-token; None for any other piece."""
         if "\n" not in piece:
             return part(piece)
-        out: list[int] = []
+        out = b""
         for i, x in enumerate(piece.split("\n")):
             got = None if i and x[:1] == " " else part(x)
             if got is None:
@@ -176,12 +179,12 @@ def tokenizers_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.
                 rest += run
                 continue
             for i, part in zip(run, np.split(ids, cut[:-1] + 1)):
-                out[i] = part.tolist()
+                out[i] = pack(part.tolist())
         for a in range(0, len(rest), 500):
             part = rest[a : a + 500]
             for i, ids in zip(part, alone([pieces[i] for i in part])):
-                out[i] = ids
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter(chain.from_iterable(out), np.uint32, int(lengths.sum())), lengths
+                out[i] = pack(ids)
+        lengths = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return np.frombuffer(b"".join(out), np.uint32), lengths
 
     return encode
