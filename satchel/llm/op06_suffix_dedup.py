@@ -309,3 +309,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types))], names=schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS s FROM d WHERE length(x) >= 400)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS copies FROM w) WHERE copies > 1),
+e AS (SELECT doc_id, p, sum(turn) AS turn FROM (SELECT doc_id, s AS p, 1 AS turn FROM r UNION ALL SELECT doc_id, s + 200, -1 FROM r UNION ALL SELECT doc_id, unnest(range(0, length(x) // 2)), 0 FROM d) GROUP BY doc_id, p),
+g AS (SELECT doc_id, p, sum(turn) OVER (PARTITION BY doc_id ORDER BY p) > 0 AS gone FROM e),
+h AS (SELECT doc_id, p, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM g),
+k AS (SELECT h.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(substr(d.x, 2 * p + 1, 2), '' ORDER BY p) FILTER (NOT gone) AS kept FROM h JOIN d ON h.doc_id = d.doc_id WHERE 2 * p < length(d.x) GROUP BY h.doc_id)
+SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

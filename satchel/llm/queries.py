@@ -87,9 +87,9 @@ QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, o
 
 
 def _oracles() -> dict[str, str]:
-    from . import op07_decontaminate, op09_line_dedup
+    from . import op06_suffix_dedup, op07_decontaminate, op09_line_dedup
 
-    return {"op7_decontamination": op07_decontaminate.ORACLE, "op9_line_dedup": op09_line_dedup.ORACLE}
+    return {"op6_suffix_dedup": op06_suffix_dedup.ORACLE, "op7_decontamination": op07_decontaminate.ORACLE, "op9_line_dedup": op09_line_dedup.ORACLE}
 
 
 ORACLES = _oracles()
