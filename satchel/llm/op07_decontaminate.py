@@ -69,8 +69,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows in which a window of an item occurs."""
-    # written first: a filter pushed below the projections would evaluate the words anew for each candidate
-    found, _ = materialize(contamination(docs, items, width, id_col, text_col).select("doc_id", "contaminated"), "contamination")
+    # written first, and with n_words: else the optimiser moves the splitting of texts into the check of each candidate
+    found, _ = materialize(contamination(docs, items, width, id_col, text_col).select("doc_id", "n_words", "n_hit", "contaminated"), "contamination")
     bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
 
