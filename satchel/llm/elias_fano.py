@@ -96,7 +96,7 @@ class EliasFano:
 
 
 class BigramTrie:
-    """Contexts and the words seen after each, with a byte for each pair. Three Elias-Fano sequences: the contexts, the
+    """Contexts and the words seen after each, with a code of one or two bytes for each pair. Three Elias-Fano sequences: the contexts, the
     pointers to their successors, and the successors themselves, which a base for each context makes ascending. A word is
     looked up in relation to its context: as base + word among the context's successors."""
 
@@ -111,7 +111,7 @@ class BigramTrie:
             parts.append(EliasFano(n, bits, data[at : at + 8 * low].view(np.uint64), data[at + 8 * low : at + 8 * (low + high)].view(np.uint64)))
             at += 8 * (low + high)
         self.contexts, self.pointers, self.bases, self.successors = parts
-        self.codes = data[at : at + self.successors.n]
+        self.codes = data[at:].view(np.uint8 if len(data) - at == self.successors.n else np.uint16)
 
     @classmethod
     def build(cls, context: np.ndarray, word: np.ndarray, code: np.ndarray) -> bytes:
@@ -126,10 +126,10 @@ class BigramTrie:
             n, bits, low, high = EliasFano.parts(np.asarray(values, np.uint64))
             head += [n, bits, len(low), len(high)]
             body += [low.tobytes(), high.tobytes()]
-        return np.array(head, np.int64).tobytes() + b"".join(body) + code.astype(np.uint8).tobytes()
+        return np.array(head, np.int64).tobytes() + b"".join(body) + code.astype(np.uint16 if len(code) and int(code.max()) > 255 else np.uint8).tobytes()
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The byte of each pair, -1 where the pair is not there."""
+        """The code of each pair, -1 where the pair is not there."""
         out = np.full(len(context), -1, np.int64)
         if not self.contexts.n or not len(context):
             return out

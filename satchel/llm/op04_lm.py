@@ -2,12 +2,12 @@
 
 p(w | v) = (1 - l(v)) c(v w) / c(v) + l(v) p(w), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and l(v) a fixed function of
 c(v) (Jelinek-Mercer smoothing by the context's count), so the probabilities of all known words and one unknown class sum to
-1. The trie holds the smoothed first part for each seen pair, quantised: a byte is -log10 in steps of 1/STEPS.
+1. The trie holds the smoothed first part for each seen pair, quantised: a code is 1 and -log10 in steps of 1/STEPS, in one byte or, where a shard has smaller probabilities, two.
 
 Nothing is gathered in one place. Texts become bundles of token codes, written once. (1) Each bundle's distinct words go to
 shards by hash, which add up counts and return a number and the count for each word. (2) Each bundle's distinct pairs go to
 shards by context, those of very common contexts by context and word, which build a trie file, map it into memory, look up
-the pairs of every bundle by successor search in relation to the context, and return a byte for each. (3) Bundles score their
+the pairs of every bundle by successor search in relation to the context, and return a code for each. (3) Bundles score their
 texts. What travels is one entry for a distinct word or pair of a bundle, in compressed arrays.
 
 Null and empty texts are the end token alone. Rows with equal doc_id are scored each for itself, and trained on or held out
@@ -230,8 +230,17 @@ def context_weight(count: np.ndarray) -> np.ndarray:
     return FLOOR + (1 - FLOOR) / (1 + count)
 
 
+def quantised(part: np.ndarray) -> np.ndarray:
+    """Codes of probabilities; code 0 is left for pairs that were not seen."""
+    return (np.rint(-np.log10(part) * STEPS) + 1).astype(np.uint16)
+
+
+def unquantised(code: np.ndarray) -> np.ndarray:
+    return np.where(code == 0, 0.0, 10.0 ** ((1 - code) / STEPS))
+
+
 def _look_up(blobs: DataFrame) -> DataFrame:
-    """Shards of pairs: build the trie of all training pairs, and return a byte for each pair of each bundle (255: not seen)."""
+    """Shards of pairs: build the trie of all training pairs, and return a code for each pair of each bundle (0: not seen)."""
 
     def run(key, table):
         parts = []
@@ -250,16 +259,14 @@ def _look_up(blobs: DataFrame) -> DataFrame:
         context, word, context_count = context[first], word[first], context_count[first]
         seen = count > 0
         part = (1 - context_weight(context_count[seen])) * count[seen] / context_count[seen]
-        code = np.clip(np.rint(-np.log10(part) * STEPS), 0, 254).astype(np.uint8)
+        code = quantised(part)
         with tempfile.NamedTemporaryFile(suffix=".trie", dir=os.environ.get("TMPDIR")) as file:
             file.write(BigramTrie.build(context[seen], word[seen], code))
             file.flush()
             trie = BigramTrie(np.memmap(file.name, np.uint8, "r"))
-            answer = np.empty(len(context), np.uint8)
-            found = trie.find(context, word)
-            answer[:] = np.where(found < 0, 255, found)
+            answer = np.maximum(trie.find(context, word), 0).astype(np.uint16)
             del trie
-        lookup = np.empty(len(order), np.uint8)
+        lookup = np.empty(len(order), np.uint16)
         lookup[order] = np.repeat(answer, np.diff(np.append(first, len(order))))
         return _rows([(bundle, key[0].as_py(), _CODES, pack(lookup[a:b])) for bundle, a, b in zip(table.column("source").to_pylist(), cuts, cuts[1:])])
 
@@ -271,12 +278,12 @@ def _score(grouped: DataFrame, shards: int, total: int, distinct: int) -> DataFr
 
     def run(key, table):
         b = _open(table, shards, total)
-        code = np.full(len(b.context), 255, np.int64)
+        code = np.zeros(len(b.context), np.int64)
         for kind, source, data in zip(*(table.column(c).to_pylist() for c in ("kind", "source", "data"))):
             if kind == _CODES:
                 code[b.order[b.cuts[source] : b.cuts[source + 1]]] = unpack(data)[0]
         plain = (b.count + ALPHA) / (total + ALPHA * (distinct + 1))
-        part = np.where(code == 255, 0.0, 10.0 ** (-code / STEPS))
+        part = unquantised(code)
         doc = np.cumsum(b.codes == 0) - (b.codes == 0)
         weight = context_weight(b.count[b.before])
         score = np.log10(np.where(b.count[b.before] > 0, part[b.pair], 0.0) + weight * plain[b.codes])
