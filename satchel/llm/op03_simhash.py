@@ -217,7 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
-    """One document of each component: that of the smallest id (all rows with that id, if it is repeated)."""
-    found = near_duplicates(docs, id_col, text_col, radius, width)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, F.col(id_col) == F.col("__id"), "left_semi")
+    """One document of each component: that of the smallest id (all rows with that id and text, if they are repeated). A null
+    id comes after all others; of a component with null ids alone one row stays."""
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.withColumn("__key", key)
+    chosen = near_duplicates(keyed, "__key", text_col, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = keyed.where(F.col(id_col).isNotNull())
+    nameless = keyed.where(F.col(id_col).isNull()).dropDuplicates(["__key"])
+    return named.unionByName(nameless).join(chosen, F.col("__key") == F.col("__id"), "left_semi").drop("__key")
