@@ -37,6 +37,8 @@ def _run_keys(lines: DataFrame, min_words: int) -> DataFrame:
     """The shortest runs of min_words words from each line on and up to each line: doc_id, h, ord, first, last, n, a, b.
     lines: those that occur twice or more; (n, a, b) names the run's content."""
     by_doc = Window.partitionBy("doc_id", "h").orderBy("ord")
+    # repeated rows are one document: each place counts once
+    lines = lines.withColumn("before", F.lag("ord").over(by_doc)).where("before is null or before <> ord").drop("before")
     # lines that follow one another form a stretch: ord - row_number is the same
     lines = lines.withColumn("stretch", F.col("ord") - F.row_number().over(by_doc))
     own = Window.partitionBy("doc_id", "h", "stretch").orderBy("ord")
