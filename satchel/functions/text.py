@@ -161,9 +161,11 @@ def boundary(item: Column, part: Column) -> Column:
     return F.concat(F.lit("----_=_NextPart_"), F.lpad(part.cast("string"), 3, "0"), F.lit("_"), F.substring(F.sha2(F.concat_ws("/", item.cast("string"), part.cast("string")), 256), 1, 16))
 
 
-def split_multipart(body: Column, mark: Column) -> Column:
-    """preamble, parts and epilogue of a multipart body."""
+def split_multipart(body: Column, mark: Column, built: bool = True) -> Column:
+    """preamble, parts and epilogue of a multipart body, without the line ends that belong to boundaries. Of a null body all are
+    null. built: the body is of joined_parts, which writes two line ends behind a part; else one alone is taken off."""
     pieces = F.split(body, F.concat(F.lit("--\\Q"), mark, F.lit("\\E")))
-    trim = lambda p: F.regexp_replace(p, r"^\r?\n|\r?\n$", "")
+    trim = lambda p: F.regexp_replace(p, r"\A\r?\n|\r?\n\z", "")
     inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
-    return F.struct(trim(F.element_at(pieces, 1)).alias("preamble"), F.transform(inner, trim).alias("parts"), trim(F.regexp_replace(F.element_at(pieces, -1), "^--", "")).alias("epilogue"))
+    own = (lambda p: F.regexp_replace(p, r"\A\r?\n|\r\n\r\n\z|\r?\n\z", "")) if built else trim
+    return F.struct(trim(F.element_at(pieces, 1)).alias("preamble"), F.transform(inner, own).alias("parts"), trim(F.regexp_replace(F.element_at(pieces, -1), "^--", "")).alias("epilogue"))

@@ -306,7 +306,16 @@ def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multipart_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("--==b") & ~F.col("text").rlike(r"\A\n|\n\z"))
     body = F.concat(F.lit("intro\r\n--==b\r\n"), "text", F.lit("\r\n--==b\r\n"), "lang", F.lit("\r\n--==b--\r\nend"))
-    return docs.withColumn("p", text.split_multipart(body, F.lit("==b"))).select("doc_id", "p.preamble", F.element_at("p.parts", 1).alias("first"), F.element_at("p.parts", 2).alias("second"), "p.epilogue")
+    return docs.withColumn("p", text.split_multipart(body, F.lit("==b"), built=False)).select("doc_id", "p.preamble", F.element_at("p.parts", 1).alias("first"), F.element_at("p.parts", 2).alias("second"), "p.epilogue")
+
+
+@register("SELECT doc_id, CASE WHEN text || lang IS NOT NULL THEN 'intro' END AS preamble, CASE WHEN lang IS NOT NULL THEN text END AS first, CASE WHEN text IS NOT NULL THEN lang END AS second, CASE WHEN text || lang IS NOT NULL THEN 'end' END AS epilogue FROM documents")
+def multipart_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with a mark that does not occur in the text. A null text or language makes the whole body null."""
+    docs = table(spark, sf_dir, "documents").withColumn("mark", F.concat(F.lit("==b"), F.sha2("text", 256)))
+    line = F.concat(F.lit("\r\n--"), "mark")
+    body = F.concat(F.lit("intro"), line, F.lit("\r\n"), "text", line, F.lit("\r\n"), "lang", line, F.lit("--\r\nend"))
+    return docs.withColumn("p", text.split_multipart(body, F.col("mark"), built=False)).select("doc_id", "p.preamble", F.element_at("p.parts", 1).alias("first"), F.element_at("p.parts", 2).alias("second"), "p.epilogue")
 
 
 @register("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'from rtf' ELSE text END AS body FROM documents WHERE trim(text) <> ''")
