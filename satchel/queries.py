@@ -328,6 +328,17 @@ def body_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.with_bodies(docs).select("doc_id", F.col("text_body").alias("body"))
 
 
+@register("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'from rtf' ELSE text END AS body FROM documents")
+def body_pick_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: a null, empty or blank text without an RTF stays as it is."""
+    from .functions import rtf
+
+    packed = rtf.compress(rb"{\rtf1\ansi from rtf}")
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumns({"body": F.when(F.col("doc_id") % 4 == 0, F.lit(" \n")).otherwise(F.col("text")), "rtf_compressed": F.when(F.col("doc_id") % 4 == 0, F.lit(packed)), "body_html": F.lit(None).cast("string")})
+    return messages.with_bodies(docs).select("doc_id", F.col("text_body").alias("body"))
+
+
 @register("WITH a AS (SELECT o_orderkey AS k, 1 AS code, o_orderstatus AS v FROM orders), b AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INT) AS code, max(l_returnflag) AS v FROM lineitem GROUP BY 1, 2) SELECT coalesce(a.k, b.k) AS item_id, coalesce(a.code, b.code) AS code, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM a FULL JOIN b ON a.k = b.k AND a.code = b.code")
 def attachment_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(1).alias("code"), F.col("o_orderstatus").alias("value"))
