@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,12 @@ BATCH_BYTES = 6 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, a temporary one (tests, one machine)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a local session (tests, one machine) gets a
+    temporary one; on a cluster each host would have its own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="satchel-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,10 +48,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside are deleted as soon as these end, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -56,6 +75,21 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_KEPT: dict[tuple, Any] = {}
+
+
+def per_worker(kind: str, path: str, make: Callable[[str], Any]) -> Any:
+    """What make(path) gives, made once in a Python worker, which Spark uses for one task after another; a changed file counts
+    as another. A worker keeps few of them."""
+    found = os.stat(path)
+    key = (kind, path, found.st_size, found.st_mtime_ns)
+    if key not in _KEPT:
+        if len(_KEPT) >= 2:
+            _KEPT.clear()
+        _KEPT[key] = make(path)
+    return _KEPT[key]
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -86,7 +120,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
 def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], keep: list[str] | None = None) -> DataFrame:
     """Each row of df with new columns computed from whole texts, in Arrow batches cut by bytes.
 
-    make() runs once per task and returns the function from an Arrow string array to one array per field. Columns of df
+    make() runs once per task (it should take what is costly from per_worker) and returns the function from an Arrow string array to one array per field. Columns of df
     with the name of a new one are replaced. keep: the columns of df to carry (all by default).
     """
     names = [n for n, _ in fields]

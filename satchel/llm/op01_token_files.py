@@ -5,7 +5,10 @@ whole documents of one shard: shard, seq (order in the shard), first (ids of the
 lengths, and payload, a Simple-8b stream (simple8b.py) of all the chunk's ids. Shards are ranges of doc_id in ascending
 order, so the place of a shard in the whole stream is the sum of the shards before it.
 
-Null and empty texts give the end id alone. Rows with equal doc_id are kept, ordered by their text. A null doc_id comes first.
+Texts travel to their shards and are encoded there: compressed, they are no larger than their ids at two bytes each.
+
+Null and empty texts give the end id alone. Rows with equal doc_id are kept, ordered by a hash of their text; a null doc_id
+comes first. Many rows with one doc_id are spread over shards by that hash.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import slices, texts_of
-from .pieces import PieceTable, tokenizers_encoder
+from .pieces import text_encoder
 
 #: A chunk closes at the first document's end after so many ids.
 CHUNK_IDS = 1 << 20
@@ -33,17 +36,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     spark = docs.sparkSession
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    source = source.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    ordered = source.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
-        table = PieceTable(tokenizers_encoder(tokenizer))
+        table = text_encoder(tokenizer)
 
         def chunk() -> pa.RecordBatch:
             ids = np.concatenate([h[1] for h in held])
             doc_ids = pa.concat_arrays([h[0] for h in held])
             lengths = np.concatenate([h[2] for h in held])
-            row = [[shard], [seq], [first], [len(ids)], [doc_ids.to_pylist()], [lengths.tolist()], [simple8b.encode(ids)]]
+            row = [[shard], [seq], [first], [len(ids)], [doc_ids.to_pylist()], [lengths], [simple8b.encode(ids)]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["shard", "seq", "first", "n_ids", "doc_ids", "lengths", "payload"])
 
@@ -59,7 +63,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if held:
             yield chunk()
 
-    ordered.mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def _shard_starts(files: DataFrame) -> DataFrame:

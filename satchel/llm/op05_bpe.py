@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns
-from .pieces import PieceTable
+from .common import append_columns, per_worker
+from .pieces import CUT_PATTERN, PieceTable
 
 #: Pre-tokens whose ids one worker remembers before it starts anew.
 MEMO_PRETOKENS = 200_000
@@ -133,17 +134,24 @@ def pattern_of(pattern: str):
 
 
 class Codec:
-    """Encoding and decoding of Arrow string arrays."""
+    """Encoding and decoding of Arrow string arrays. Texts are cut into pieces where CUT_PATTERN allows; with another pattern each
+    text is taken whole."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.core = Backtracker(read_ranks(ranks_path))
         self.find = pattern_of(pattern).findall
         self.memo: dict[str, list[int]] = {}
-        self.table = PieceTable(self._new)
-        n = max(self.core.bytes) + 1
+        self.table = PieceTable(self._words, self._others) if pattern == CUT_PATTERN else None
+        n = max(self.core.bytes, default=-1) + 1
         self.token = [self.core.bytes.get(i, b"") for i in range(n)]
 
-    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encode = self.core.encode
+        coded = [encode(w.encode()) if w else [] for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
+
+    def _others(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > MEMO_PRETOKENS:
             self.memo.clear()
         memo, encode, ids, lengths = self.memo, self.core.encode, [], []
@@ -160,17 +168,22 @@ class Codec:
         return np.asarray(ids, np.uint32), np.asarray(lengths, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.encode(texts)
+        return self.table.encode(texts) if self.table else self._others(texts.to_pylist())
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
+def codec_of(ranks: str, pattern: str) -> Codec:
+    """A worker makes it once and keeps it."""
+    return per_worker(f"codec {pattern}", ranks, lambda path: Codec(path, pattern))
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """docs with an array of token ids."""
 
     def make():
-        codec = Codec(ranks, pattern)
+        codec = codec_of(ranks, pattern)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             ids, n = codec.encode(texts)
@@ -186,11 +199,11 @@ def decode(docs: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out_
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != out_col), T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
-        table = {r: b for b, r in read_ranks(ranks).items()}
+        decode = codec_of(ranks, pattern).decode
         for batch in batches:
             lists = batch.column(ids_col).to_pylist()
             names = [n for n in batch.schema.names if n != out_col]
-            data = pa.array([b"".join(table[i] for i in x or ()) for x in lists], pa.binary())
+            data = pa.array([decode(np.asarray(x or (), np.int64)) for x in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), data], names=[*names, out_col])
 
     return docs.mapInArrow(run, schema)
@@ -200,7 +213,7 @@ def encode_digests(docs: DataFrame, ranks: str, pattern: str, text_col: str = "t
     """docs with n_tokens, ids_sha256 and decoded_sha256: ids are encoded, decoded again, and only digests leave the batch."""
 
     def make():
-        codec = Codec(ranks, pattern)
+        codec = codec_of(ranks, pattern)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             ids, n = codec.encode(texts)

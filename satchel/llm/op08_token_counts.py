@@ -1,66 +1,30 @@
 """Token counts: Arrow functions that return lengths only.
 
-Batches are cut by bytes; texts are split at boundaries that are safe for the byte-level pattern (see pieces.py), so one
-long text is never one call. Other tokenizers, whose safe boundaries are not known, encode whole texts in runs of bytes.
-Null and empty texts have no tokens. Rows are kept as they are: repeated rows give repeated results.
+Batches are cut by bytes. For byte-level tokenizers texts are split at boundaries that are safe for their pattern (see
+pieces.py), so a long text is many short calls unless it has neither blanks nor line ends. Other tokenizers, whose safe
+boundaries are not known, encode whole texts in runs of bytes.
+
+Null and empty texts have no tokens. Rows are kept as they are: repeated rows give repeated results, null ids stay.
 """
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns
-from .pieces import PieceTable, tokenizers_encoder
-
-
-def _byte_level(path: str) -> bool:
-    """True if the file's tokenizer is byte-level BPE as pieces.py needs it: its pattern, no prefix blank, no normaliser."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    added = spec.get("added_tokens") or []
-    return (
-        pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
-    )
-
-
-def counter(path: str):
-    """A function from Arrow strings to numbers of tokens."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: np.asarray([len(x) for x in model.encode(texts.to_pylist(), num_threads=1)], np.int64)
-    if _byte_level(path):
-        return PieceTable(tokenizers_encoder(path)).counts
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    return lambda texts: np.asarray([len(e.ids) for e in library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], np.int64)
+from .pieces import text_encoder
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 1024, keep: list[str] | None = None) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit). No shuffle; columns of these names are replaced."""
 
     def make():
-        count = counter(tokenizer)
-
-        def run(texts: pa.Array) -> list[pa.Array]:
-            import pyarrow.compute as pc
-
-            return [pc.binary_length(texts).cast(pa.int64()), pa.array(count(texts), pa.int64())]
-
-        return run
+        counts = text_encoder(tokenizer).counts
+        return lambda texts: [pc.binary_length(texts).cast(pa.int64()), pa.array(counts(texts), pa.int64())]
 
     out = append_columns(docs, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType())], make, keep)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

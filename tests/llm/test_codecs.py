@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from satchel.llm import op04_lm, op10_quality, simple8b
 from satchel.llm.elias_fano import BigramTrie, EliasFano
 from satchel.llm.op05_bpe import Codec, read_ranks
-from satchel.llm.pieces import PieceTable, tokenizers_encoder
+from satchel.llm.pieces import library_table
 
 PARTS = ["a", "the", "ing", "Éa", "²", "½", "'", "don't", "'s", ".", ",", '"', "<|endoftext|>", "—", "1", "_", "ʰ", "和", "\U0001f600", " ", "  ", "\n", " \n", "\n\n", "\t", " ", "　", "\x1c", "\x85", "\x0b", "x" * 40]
 TEXTS = st.lists(st.sampled_from(PARTS), max_size=14).map("".join)
@@ -47,7 +47,9 @@ def library():
 
 @pytest.fixture(scope="module")
 def table():
-    return PieceTable(tokenizers_encoder(P.path("byte_bpe_50k.json")), limit=300)
+    table = library_table(P.path("byte_bpe_50k.json"))
+    table.words.limit = table.others.limit = 300  # so that strings are forgotten and learned again
+    return table
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +79,23 @@ def test_backtracking_is_exact(codec, texts):
     assert [codec.decode(np.array(g, np.uint32)).decode() for g in got] == texts
 
 
+def test_marked_blanks(library, table):
+    """The character that marks blanks, in texts with and without runs of blanks."""
+    texts = ["a\x01b  c  ", "\x01", " \x01 ", "x\x01 y", "a  \n  b ", "", "  ", "if x:\n    y = 1\n\n\treturn  y\n"]
+    ids, lengths = table.encode(pa.array(texts))
+    assert _split(ids, lengths) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_indented_texts_are_not_kept_whole():
+    rng = random.Random(5)
+    table = library_table(P.path("byte_bpe_50k.json"))
+    texts = ["".join("    " * rng.randint(1, 5) + f"name{rng.randint(0, 50)} = call({rng.randint(0, 9)})  # {rng.choice('abcdef')}\n" for _ in range(60)) for _ in range(300)]
+    for a in range(0, 300, 50):
+        table.encode(pa.array(texts[a : a + 50]))
+    kept = sum(map(len, table.words.index)) + sum(map(len, table.others.index))
+    assert kept < 0.1 * sum(map(len, texts)) and max(map(len, table.others.index)) <= 120
+
+
 def test_long_pretoken(codec):
     exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     rng = random.Random(3)
