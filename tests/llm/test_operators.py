@@ -149,8 +149,33 @@ def test_simhash(docs, empty):
     assert op03_simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block_rows", [5, 20_000])
-def test_links_reach_all(spark, block_rows):
+def test_pivots_discard():
+    """Most pairs of a block fall to the pivots, before any fingerprint is compared bit by bit; no link does."""
+    rng = np.random.default_rng(6)
+    values = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    values = np.concatenate([values, values[:50] ^ np.uint64(0b1011)])
+    table = op03_simhash.pivot_table(values)
+    order, seen = np.argsort(table[:, 0], kind="stable"), {}
+    op03_simhash.WALK_ROWS, before = 10_000, op03_simhash.WALK_ROWS
+    op03_simhash._block_edges(np.zeros(len(values), np.int64), values[order], table[order], 4, seen)
+    op03_simhash.WALK_ROWS = before
+    n = len(values)
+    assert seen["linked"] >= 50 and seen["verified"] < 0.002 * n * n / 2 < seen["candidates"] < 0.65 * n * n / 2
+    assert [op03_simhash.segments_for(n) for n in (0, 200_000, 15_000_000, 10**9)] == [5, 5, 6, 7]
+
+
+def test_simhash_null_and_repeated_ids(spark):
+    say = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, say), (None, say + " x"), (4, say), (4, "other words that stand alone here"), (9, say), (None, None), (2, "other words that stand alone here"), (None, "lone row without an id at all")]
+    got = sorted(((r.doc_id, r.component_id) for r in op03_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    prints = [brute_print(t) for _, t in rows]
+    roots = brute_components(prints)
+    least = {r: min((i for (i, _), x in zip(rows, roots) if x == r and i is not None), default=None) for r in roots}
+    assert got == sorted(((i, least[r]) for (i, _), r in zip(rows, roots)), key=str) and None in {c for _, c in got}
+
+
+@pytest.mark.parametrize(("block_rows", "segments"), [(5, 5), (20_000, 5), (20_000, 6), (20_000, None)])
+def test_links_reach_all(spark, block_rows, segments, monkeypatch):
     """Planted fingerprints in chains and clusters, with blocks both whole and dealt out in chunks."""
     rng = random.Random(block_rows)
     values = {rng.getrandbits(64) for _ in range(150)}
@@ -160,8 +185,9 @@ def test_links_reach_all(spark, block_rows):
                 v ^= 1 << b
             values.add(v)
     values = sorted(values)
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    edges = op03_simhash.links(df, block_rows=block_rows)
+    df = op03_simhash.with_pivots(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long"))
+    monkeypatch.setattr(op03_simhash, "WALK_ROWS", 3 if block_rows == 5 else 1000)
+    edges = op03_simhash.links(df, segments=segments, block_rows=block_rows)
     found = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in op03_simhash.components(edges).collect()}
     mine = collections.defaultdict(set)
     for v in values:
