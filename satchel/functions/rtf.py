@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from html import escape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -90,90 +93,135 @@ def compress(plain: bytes, stored: bool = False) -> bytes:
     return _HEADER.pack(len(out) + 12, len(plain), PACKED, 0) + bytes(out)
 
 
-_TOKEN = re.compile(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z'])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.S)
-#: Control words that stand for characters.
-_WORDS = {"par": "\n", "line": "\n", "page": "\n", "tab": "\t", "cell": "\t", "endash": "-", "emdash": "-", "emspace": " ", "enspace": " ", "qmspace": " ", "ldblquote": '"'}
-_ENTITIES = str.maketrans({"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;", "'": "&apos;"})
+#: Fixed values, by the RTF specification: destinations whose text is not the document's.
+_HIDDEN = frozenset(
+    "author buptim colortbl comment creatim doccomm factoidname fldinst fonttbl footer footerf footerl footerr footnote ftncn ftnsep ftnsepc generator header headerf headerl headerr "
+    "info keywords latentstyles listoverridetable listtable object operator pict pntext printim private revtbl revtim rsidtbl stylesheet subject tc themedata title txe xe xmlnstbl".split()
+)
+#: Control words that stand for characters, in plain text; dashes, quotes and spaces in their plain form.
+_CHARACTERS = {
+    "par": "\n", "line": "\n", "page": "\n", "sect": "\n", "row": "\n", "tab": "\t", "cell": "\t", "endash": "-", "emdash": "-", "emspace": " ", "enspace": " ", "qmspace": " ",
+    "ldblquote": '"', "rdblquote": '"', "lquote": "'", "rquote": "'", "bullet": "*",
+}
+_SYMBOLS = {"~": " ", "_": "-", "\\": "\\", "{": "{", "}": "}", "\n": "\n", "\r": "\n"}
+_LEXEME = re.compile(r"(?P<open>\{)|(?P<close>\})|\\(?P<word>[A-Za-z]+)(?P<number>-?\d+)? ?|(?P<bytes>(?:\\'[0-9a-fA-F]{2})+)|\\(?P<symbol>[^A-Za-z])|(?P<text>[^\\{}\r\n]+)", re.S)
 
 
-def to_text(rtf: str, html: bool = False) -> str:
-    """Readable text of RTF: that of the outermost groups and of right-to-left runs outside hidden destinations."""
-    out = ["<html>\n<body>"] if html else []
-    first: list[str | None] = [None]  # what each open group begins with
-    bold: list[list[str]] = [[]]
-
-    def put(text: str) -> None:
-        out.append(text.translate(_ENTITIES) if html else text)
-        if html and text == "\n":
-            out.append("<br>")
-
-    for word, number, code, symbol, brace, plain in (m.groups() for m in _TOKEN.finditer(rtf)):
-        if brace == "{":
-            first.append(None)
-            bold.append([])
-        elif brace == "}":
-            if len(first) > 1:
-                out += [f"</{t}>" for t in reversed(bold.pop())]
-                first.pop()
-        elif word:
-            first[-1] = first[-1] or word
-            if word in _WORDS:
-                put(_WORDS[word])
-            elif html and word in ("b", "i"):
-                off = number is not None and int(number) == 0
-                out.append(f"</{word}>" if off else f"<{word}>")
-                if off:
-                    bold[-1] = [t for t in bold[-1] if t != word]
-                else:
-                    bold[-1].append(word)
-        elif symbol and symbol not in "{}\\":
-            first[-1] = first[-1] or symbol
-            if symbol in "~_":
-                put({"~": " ", "_": "-"}[symbol])
-        elif code or symbol or plain:
-            shown = len(first) <= 2 or (first[-1] == "rtlch" and "*" not in first[:-1])
-            if shown:
-                text = bytes.fromhex(code).decode("cp1252", "replace") if code else symbol or plain
-                for piece in [text] if len(text) == 1 else re.split("(\n)", text):
-                    put(piece)
-    return "".join([*out, "</body>\n</html>\n"] if html else out)
+@dataclass(frozen=True)
+class _Format:
+    """What a group hands down to the groups inside it."""
+
+    hidden: bool = False
+    bold: bool = False
+    italic: bool = False
+    fallback: int = 1  # characters that follow a Unicode escape for readers that don't know it
+    rendering: bool = False  # inside \htmlrtf: what stands for HTML that is given elsewhere
+    tag: str | None = None  # of an HTML tag group: m for a replacement, and its number
+
 
+class _Reader:
+    r"""Text of an RTF stream with the format it stands in, by the specification's reading rules: groups save the format, a
+    control word after \* that isn't known hides its group, \u is followed by a fallback, \bin by raw data."""
+
+    def __init__(self, rtf: str):
+        self.rtf, self.page = rtf, "cp1252"
+        self.now, self.outer, self.starred, self.drop = _Format(), [], False, 0
+
+    def __iter__(self) -> Iterator[tuple[str, _Format]]:
+        at = 0
+        while m := _LEXEME.search(self.rtf, at):
+            at, kind, found = m.end(), m.lastgroup, ""
+            if kind == "open":
+                self.outer.append(self.now)
+            elif kind == "close":
+                self.now = self.outer.pop() if self.outer else self.now
+            elif m["word"]:
+                number = int(m["number"]) if m["number"] else None
+                found = self._word(m["word"], number)
+                if m["word"] == "bin" and number:
+                    at += number
+            elif kind == "bytes":
+                raw = bytes.fromhex(m["bytes"].replace("\\'", ""))
+                skipped = min(self.drop, len(raw))
+                self.drop -= skipped
+                found = raw[skipped:].decode(self.page, "replace")
+            elif kind == "symbol":
+                self.starred = m["symbol"] == "*"
+                found = _SYMBOLS.get(m["symbol"], "")
+            else:
+                found = m["text"][self.drop :]
+                self.drop = max(0, self.drop - len(m["text"]))
+            if kind in ("open", "close"):
+                self.drop, self.starred = 0, False
+            if found:
+                yield found, self.now
 
-_HTML_TOKEN = re.compile(r"\{|\}|\\\*\\(m?)htmltag(\d*) ?|\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z'])|[\r\n]+|([^\\{}\r\n]+)", re.S)
+    def _word(self, word: str, number: int | None) -> str:
+        starred, self.starred = self.starred, False
+        on = number != 0
+        if word in ("htmltag", "mhtmltag"):
+            self.now = replace(self.now, tag=f"{word[:-7]}{'' if number is None else number}", hidden=False)
+        elif starred or word in _HIDDEN:
+            self.now = replace(self.now, hidden=True)
+        elif word == "b":
+            self.now = replace(self.now, bold=on)
+        elif word == "i":
+            self.now = replace(self.now, italic=on)
+        elif word == "plain":
+            self.now = replace(self.now, bold=False, italic=False)
+        elif word == "htmlrtf":
+            self.now = replace(self.now, rendering=on)
+        elif word == "uc" and number is not None:
+            self.now = replace(self.now, fallback=max(number, 0))
+        elif word == "ansicpg" and number:
+            self.page = _code_page(number)
+        elif word == "u" and number is not None:
+            self.drop = self.now.fallback
+            code = number % 65536
+            return "�" if 0xD800 <= code < 0xE000 else chr(code)
+        return _CHARACTERS.get(word, "")
+
+
+def _code_page(number: int) -> str:
+    try:
+        return codecs.lookup(f"cp{number}").name
+    except LookupError:
+        return "cp1252"
+
+
+def to_text(rtf: str, html: bool = False) -> str:
+    """Readable text of RTF: all text but that of hidden destinations and HTML tags; as HTML with line breaks, bold and italic."""
+    body = ((found, f) for found, f in _Reader(rtf) if not f.hidden and f.tag is None)
+    if not html:
+        return "".join(found for found, _ in body)
+    out, tags = ["<html>\n<body>"], ""
+    for found, f in body:
+        wanted = "b" * f.bold + "i" * f.italic
+        if wanted != tags:
+            out += [f"</{t}>" for t in reversed(tags)] + [f"<{t}>" for t in wanted]
+            tags = wanted
+        out.append(escape(found, quote=False).replace('"', "&quot;").replace("'", "&apos;").replace("\n", "\n<br>"))
+    return "".join([*out, *(f"</{t}>" for t in reversed(tags)), "</body>\n</html>\n"])
 
 
 def embedded_html(rtf: str) -> str | None:
-    """The HTML that RTF made from HTML carries in its tags; null if it carries none."""
-    if "\\fromhtml" not in rtf or (begin := rtf.find("{\\*\\htmltag")) < 0:
+    """The HTML that RTF made from HTML carries: its tag groups, and the text between them that is not for rendering as RTF.
+    A replacement tag stands in for the next tag of its number. Null if there is none."""
+    if not re.search(r"\\fromhtml(?![A-Za-z])", rtf):
         return None
-    out, skip, at = [], None, begin
-    while at < len(rtf):
-        m = _HTML_TOKEN.match(rtf, at)
-        if not m:
-            at += 1
+    out, replaced, dropped, begun = [], set(), None, False
+    for found, f in _Reader(rtf):
+        if f.hidden or f.rendering:
             continue
-        at = m.end()
-        multipart, tag, word, number, code, symbol, plain = m.groups()
-        if tag is not None:
-            if multipart:
-                skip = tag
-            elif skip == tag:
-                at, skip = rtf.find("}", at) + 1 or len(rtf), None
-        elif word == "par":
-            out.append("\r\n")
-        elif word == "tab":
-            out.append("\t")
-        elif word == "pntext":
-            at = rtf.find("}", at) + 1 or len(rtf)
-        elif word == "htmlrtf" and number != "0":
-            end = re.compile(r"\\htmlrtf0 ?").search(rtf, at)
-            at = end.end() if end else len(rtf)
-        elif code:
-            out.append(bytes.fromhex(code).decode("cp1252", "replace"))
-        elif symbol in ("{", "}", "\\"):
-            out.append(symbol)
-        elif plain:
-            out.append(plain)
+        begun = begun or f.tag is not None
+        if f.tag is not None and f.tag.startswith("m"):
+            replaced.add(f.tag[1:])
+            out.append(found)
+        elif f.tag in replaced:  # the first text of a tag group whose replacement has been given
+            replaced.discard(f.tag)
+            dropped = f
+        elif begun and f is not dropped:
+            out.append(found.replace("\n", "\r\n"))
     text = "".join(out)
     return text if text.strip() else None
 

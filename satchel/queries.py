@@ -601,7 +601,10 @@ def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert(rows.parse_files(files, msg.parse)).select("file", "kind", "subject", "content")
 
 
-@register()
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@register(f"SELECT doc_id, text, concat('<html>', chr(10), '<body>', replace({_ESCAPED}, chr(10), concat(chr(10), '<br>')), '</body>', chr(10), '</html>', chr(10)) AS html FROM documents")
 def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts wrapped as RTF, compressed, decompressed and turned back to text."""
     from .functions import rtf

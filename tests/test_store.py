@@ -68,6 +68,28 @@ def test_rtf_text():
     assert rtf.embedded_html(tagged) == "<p>hi<a m>é\r\n</p>"
 
 
+def test_rtf_reading_rules():
+    """Groups, destinations, Unicode escapes with their fallback, code pages, raw data."""
+    assert rtf.to_text(r"{\rtf1{\b in {\i group}} out{\*\unknown gone{\b too}}{\info{\title gone}}{\pict\bin3 }}}x}!") == "in group out!"
+    assert rtf.to_text(r"{\rtf1\uc1 @8364?@-10179?{\uc2@228\'e4\'e4}@960 ?z\~\_\-}".replace("@", "\\u")) == "€�äπz -"
+    assert rtf.to_text(r"{\rtf1\ansicpg1251 \'cf\'f0{\lquote a\rquote\ldblquote b\rdblquote\endash}}") == "Пр'a'\"b\"-"
+    assert rtf.to_text(r"{\rtf1 a}} b", html=True) == "<html>\n<body>a b</body>\n</html>\n" and rtf.to_text("") == ""
+    assert rtf.to_text(r"{\rtf1 {\rtlch\fcs1 \af0 {\b x<{\i y}}}}", html=True) == "<html>\n<body><b>x&lt;</b><b><i>y</i></b></body>\n</html>\n"
+    assert rtf.embedded_html(r"{\rtf1\fromhtml1{\*\htmltag19 <html>}{\pntext\f0 1.}\htmlrtf\par\htmlrtf0 a\line{\*\htmltag241 <b>}{\b c\htmlrtf d\htmlrtf0}}") == "<html>a\r\n<b>c"
+    assert rtf.embedded_html(r"{\rtf1\fromhtml1{\*\htmltag19  }}") is None
+
+
+def test_rtf_golden():
+    """The expected texts of an out-of-office message, from packed and from stored RTF."""
+    lines = ["I will be out of the office starting  15.02.2007 and will not return until", "27.02.2007.", "", "I will respond to your message when I return."]
+    head = [r"{\rtf1\ansi\ansicpg1252\fromtext \deff0{\fonttbl", r"{\f0\fswiss Arial;}", r"{\f2\fnil\fcharset2 Symbol;}}", r"{\colortbl\red0\green0\blue0;\red0\green0\blue255;}", r"\uc1\pard\plain\deftab360 \f0\fs20 \par"]
+    source = "\n\r".join([*head, *(x + r"\par" for x in lines), "}"])
+    for stored in (False, True):
+        back = rtf.body_rtf(rtf.compress(source.encode(), stored))
+        assert back == source and rtf.to_text(back) == "\n" + "".join(x + "\n" for x in lines)
+        assert rtf.body_html(back) == "<html>\n<body>\n" + "".join("<br>" + x + "\n" for x in lines) + "<br></body>\n</html>\n"
+
+
 def test_compressed_rtf():
     for plain in (b"", b"{\\rtf1 x}", b"abc" * 3000, bytes(range(1, 256)) * 40):
         assert rtf.decompress(rtf.compress(plain)) == plain and rtf.decompress(rtf.compress(plain, stored=True)) == plain
