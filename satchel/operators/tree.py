@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels below the top that the walk goes down; deeper or circular trees are reported by too_deep().
-MAX_DEPTH = 100
+#: Levels below the top that the walk goes down; nodes deeper than that, or on circles, are what unreached() gives.
+MAX_DEPTH = 90
 
 
 def orphans(nodes: DataFrame) -> DataFrame:
@@ -27,20 +27,28 @@ def children(nodes: DataFrame) -> DataFrame:
 
 def walk(nodes: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Nodes reached from the roots: node_id, depth, path (names of the ancestors below the root, joined by slashes) and
-    order_key, by which the rows stand in pre-order. nodes: node_id, parent_id, ord, display_name; roots: node_id."""
+    order_key, by which the rows stand in pre-order. nodes: node_id, parent_id, ord, display_name; roots: node_id. A node that
+    is its own ancestor is not entered again, and levels end at max_depth; the number of rows is not bounded."""
     spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a large tree is no mistake; max_depth ends every walk
     nodes.createOrReplaceTempView("_walk_nodes")
     roots.select("node_id").createOrReplaceTempView("_walk_roots")
+    step = "named_struct('ord', CAST(n.ord AS BIGINT), 'id', n.node_id)"
     return spark.sql(f"""
-        WITH RECURSIVE reached (node_id, depth, names, order_key) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT n.node_id, 0, CAST(array() AS ARRAY<STRING>), array(CAST(n.ord AS BIGINT), n.node_id) FROM _walk_nodes n JOIN _walk_roots r ON n.node_id = r.node_id
+        WITH RECURSIVE reached (node_id, depth, names, order_key) MAX RECURSION LEVEL {max_depth + 5} AS (
+          SELECT n.node_id, 0, CAST(array() AS ARRAY<STRING>), array({step}) FROM _walk_nodes n JOIN _walk_roots r ON n.node_id = r.node_id
           UNION ALL
-          SELECT n.node_id, p.depth + 1, CASE WHEN p.depth = 0 THEN p.names ELSE array_append(p.names, q.display_name) END,
-            concat(p.order_key, array(CAST(n.ord AS BIGINT), n.node_id))
-          FROM reached p JOIN _walk_nodes n ON n.parent_id = p.node_id AND n.node_id <> n.parent_id JOIN _walk_nodes q ON q.node_id = p.node_id)
+          SELECT n.node_id, p.depth + 1, CASE WHEN p.depth = 0 THEN p.names ELSE array_append(p.names, q.display_name) END, array_append(p.order_key, {step})
+          FROM reached p JOIN _walk_nodes n ON n.parent_id = p.node_id AND n.node_id <> n.parent_id JOIN _walk_nodes q ON q.node_id = p.node_id
+          WHERE p.depth < {max_depth} AND NOT exists(p.order_key, k -> k.id = n.node_id))
         SELECT node_id, depth, array_join(names, '/') AS path, order_key FROM reached""")
 
 
+def unreached(nodes: DataFrame, walked: DataFrame) -> DataFrame:
+    """Nodes that a walk did not come to: those below no root, on circles, or too deep."""
+    return nodes.join(walked.select("node_id").distinct(), "node_id", "left_anti")
+
+
 def item_type(special, mask, content_count, subfolders, is_subtree):
     """root, folder, message, wastebasket or finder. A count of 0 counts as there; false subfolders do not."""
     folder = mask.isNotNull() | is_subtree | content_count.isNotNull() | F.coalesce(subfolders, F.lit(False))

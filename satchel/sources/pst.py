@@ -32,6 +32,7 @@ class Layout:
     size_at: int
     count_at: int
     level_at: int
+    encryption_at: int
     block: struct.Struct
     node: struct.Struct
     inner: struct.Struct
@@ -43,8 +44,8 @@ class Layout:
 
 #: Fixed values by version: file offsets, record formats, and the most blocks, nodes and inner records of a page.
 LAYOUTS = {
-    0x0E: Layout(0xBC, 0xC4, 0xA8, 0x1F0, 0x1F3, struct.Struct("<IIHH"), struct.Struct("<4I"), struct.Struct("<3I"), struct.Struct("<3I"), 4, "I", (41, 31, 41)),
-    0x17: Layout(0xE0, 0xF0, 0xB8, 0x1E8, 0x1EB, struct.Struct("<QQHHI"), struct.Struct("<3QII"), struct.Struct("<3Q"), struct.Struct("<II2Q"), 8, "Q", (20, 15, 20)),
+    0x0E: Layout(0xBC, 0xC4, 0xA8, 0x1F0, 0x1F3, 0x1CD, struct.Struct("<IIHH"), struct.Struct("<4I"), struct.Struct("<3I"), struct.Struct("<3I"), 4, "I", (41, 31, 41)),
+    0x17: Layout(0xE0, 0xF0, 0xB8, 0x1E8, 0x1EB, 0x201, struct.Struct("<QQHHI"), struct.Struct("<3QII"), struct.Struct("<3Q"), struct.Struct("<II2Q"), 8, "Q", (20, 15, 20)),
 }
 
 
@@ -58,13 +59,13 @@ class Store:
         if self.kind not in LAYOUTS:
             raise ValueError(f"unknown index type 0x{self.kind:02x}")
         self.layout = LAYOUTS[self.kind]
-        self.encryption = data[0x1CD]
+        self.encryption = data[self.layout.encryption_at]
         if self.encryption not in (0, 1):
             raise ValueError(f"unknown encryption {self.encryption}")
         if self.encryption and cipher is None:
             raise ValueError("the store is encoded; give the cipher's table")
         self.cipher = cipher if self.encryption else None
-        self.size = struct.unpack_from("<I", data, self.layout.size_at)[0]
+        self.size = struct.unpack_from(f"<{self.layout.word}", data, self.layout.size_at)[0]
         if self.size != len(data):
             raise ValueError(f"the header says {self.size} bytes, the file has {len(data)}")
 
@@ -73,7 +74,7 @@ class Store:
         return 2003 if self.kind == 0x17 else 1997
 
     def _tree(self, root_at: int, record: struct.Struct, most: int) -> Iterator[tuple]:
-        (offset,) = struct.unpack_from("<I", self.data, root_at)
+        (offset,) = struct.unpack_from(f"<{self.layout.word}", self.data, root_at)
         stack = [(offset, None, 0)]
         while stack:
             offset, start, depth = stack.pop()

@@ -82,11 +82,13 @@ def table(columns: list[tuple[int, int, int]], rows: list[list[bytes | int]], wi
 
 
 def store_file(version: int, encode: bool = False, chain: bool = False) -> bytes:
-    """A store of a root, a folder, a message with two recipients and an attachment, and a node without data."""
+    """A store of a root, the top folder, two folders in it, one in the first of these with a message of two recipients and an
+    attachment, and a node without data."""
     wide = version == 2003
     word = "Q" if wide else "I"
     blocks: dict[int, bytes] = {
-        4: property_list([(0x3001, 0x1E, b"Store")]), 8: property_list([(0x3001, 0x1E, b"Inbox"), (0x3602, 3, 1), (0x360A, 0x0B, 0)]),
+        4: property_list([(0x3001, 0x1E, b"Store"), (0x35E0, 0x0102, bytes(20) + struct.pack("<I", 0x8042)), (0x35E3, 0x0102, bytes(20) + struct.pack("<I", 0x8062))]), 8: property_list([(0x3001, 0x1E, b"Inbox"), (0x3602, 3, 1), (0x360A, 0x0B, 0)]),
+        36: property_list([(0x3001, 0x1E, b"Top"), (0x3602, 3, 0)]), 40: property_list([(0x3001, 0x1E, b"Deleted"), (0x3602, 3, 0)]), 44: property_list([(0x3001, 0x1E, b"Lists"), (0x3602, 3, 0)]),
         12: property_list([(0x0037, 0x1E, b"\x01\x05RE: x"), (0x001A, 0x1E, b"IPM.Note"), (0x0017, 3, 0xFFFFFFFE), (0x0E06, 0x40, struct.pack("<Q", 116444736000000000)), (0x802B, 0x101E, struct.pack("<3I", 2, 12, 15) + b"onetwo!")]),
         16: table([(3, 0x0C15, 4), (0x1E, 0x3001, 4)], [[1, b"Ann"], [2, b"Bob"]], wide), 20: table([(3, 0x67F2, 4), (0x1E, 0x3704, 4)], [[0x700F, b"short.txt"]], wide),
         24: property_list([(0x3704, 0x1E, b"long name.txt"), (0x3701, 0x0102, b"data")]),
@@ -96,10 +98,10 @@ def store_file(version: int, encode: bool = False, chain: bool = False) -> bytes
     blocks[30] = struct.pack("<HH", 2, len(sub)).ljust(8 if wide else 4, b"\0") + rows
     if chain:
         blocks[34] = struct.pack("<BBHI", 1, 1, 1, 0) + struct.pack(f"<{word}", 12)
-    nodes = [(0x21, 4, 0, 0x21), (0x8022, 8, 0, 0x21), (0x200024, 34 if chain else 12, 30, 0x8022), (0x61, 0, 0, 0x999)]
+    nodes = [(0x21, 4, 0, 0x21), (0x8022, 8, 0, 0x8042), (0x8042, 36, 0, 0x21), (0x8062, 40, 0, 0x8042), (0x8082, 44, 0, 0x8022), (0x200024, 34 if chain else 12, 30, 0x8082), (0x61, 0, 0, 0x999)]
     body, places = b"", {}
     for i, data in blocks.items():
-        places[i] = (512 * 4 + len(body), len(data))
+        places[i] = (2560 + len(body), len(data))
         body += data.translate(CIPHER) if encode and not i & 2 else data
     block_form, node_form, inner_form = (("<QQHHI", "<3QII", "<3Q") if wide else ("<IIHH", "<4I", "<3I"))
     extra = (0,) if wide else ()
@@ -111,10 +113,14 @@ def store_file(version: int, encode: bool = False, chain: bool = False) -> bytes
 
     block_page = page([struct.pack(block_form, i, *places[i], 1, *extra) for i in sorted(blocks)], 0)
     node_page = page([struct.pack(node_form, *n, *extra) for n in nodes], 0)
-    index = page([struct.pack(inner_form, 0x21, 0, 1024)], 1)
-    head = bytearray(512)
-    head[:4], head[0x0A], head[0x1CD] = b"!BDN", 0x17 if wide else 0x0E, int(encode)
-    struct.pack_into("<I", head, 0xE0 if wide else 0xBC, 1536)
-    struct.pack_into("<I", head, 0xF0 if wide else 0xC4, 512)
-    struct.pack_into("<I", head, 0xB8 if wide else 0xA8, 2048 + len(body))
+    index = page([struct.pack(inner_form, 0x21, 0, 1536)], 1)
+    # places of the published header: in the wide one the maps from 0x100 to 0x200 are filled with 0xFF
+    head, word = bytearray(1024), "<Q" if wide else "<I"
+    if wide:
+        head[0x100:0x200] = b"\xff" * 256
+        head[0x200] = 0x80
+    head[:4], head[0x0A], head[0x201 if wide else 0x1CD] = b"!BDN", 0x17 if wide else 0x0E, int(encode)
+    struct.pack_into(word, head, 0xE0 if wide else 0xBC, 2048)
+    struct.pack_into(word, head, 0xF0 if wide else 0xC4, 1024)
+    struct.pack_into(word, head, 0xB8 if wide else 0xA8, 2560 + len(body))
     return bytes(head) + block_page + node_page + index + body

@@ -35,7 +35,7 @@ def test_message_rows():
 def test_store(version, encode, chain):
     data = fx.store_file(version, encode, chain)
     store = pst.Store(data, fx.DECIPHER)
-    assert store.version == version and [n[0] for n in store.nodes] == [0x21, 0x8022, 0x200024, 0x61]
+    assert store.version == version and [n[0] for n in store.nodes] == [0x21, 0x8022, 0x8042, 0x8062, 0x8082, 0x200024, 0x61]
     rows = list(pst.parser(fx.DECIPHER)("s", data))
     assert not [r for r in rows if r["owner"] == "error"]
     mail = {r["code"]: r for r in rows if r["item_id"] == str(0x200024) and r["owner"] == "message"}

@@ -122,6 +122,20 @@ def test_mime_round_trip(spark):
     assert (r.preamble, list(r.parts), r.epilogue) == ("pre", ["one", "two"], "")
 
 
+def test_circular_and_large_trees(spark):
+    """A circle through the root is walked once; circles elsewhere and deep chains are told apart; text ids do too."""
+    circle = [("a", "d", 0, "A"), ("b", "a", 1, "B"), ("c", "b", 0, "C"), ("d", "c", 0, "D"), ("x", "y", 0, "X"), ("y", "x", 0, "Y")]
+    nodes = spark.createDataFrame(circle, "node_id string, parent_id string, ord int, display_name string")
+    walked = tree.walk(nodes, nodes.where("node_id = 'a'"))
+    assert {(r.node_id, r.depth, r.path) for r in walked.collect()} == {("a", 0, ""), ("b", 1, ""), ("c", 2, "B"), ("d", 3, "B/C")}
+    assert {r.node_id for r in tree.unreached(nodes, walked).collect()} == {"x", "y"}
+    wide = spark.range(1, 1_200_001, numPartitions=4).selectExpr("id AS node_id", "0L AS parent_id", "0 AS ord", "'n' AS display_name").union(spark.sql("SELECT 0L, 0L, 0, 'root'"))
+    assert tree.walk(wide, wide.where("node_id = 0")).count() == 1_200_001
+    deep = spark.range(40).selectExpr("id AS node_id", "id - 1 AS parent_id", "0 AS ord", "'n' AS display_name")
+    walked = tree.walk(deep, deep.where("node_id = 0"), max_depth=30)
+    assert walked.count() == 31 and tree.unreached(deep, walked).count() == 9
+
+
 def test_empty_tables(spark):
     nodes = spark.createDataFrame([], "node_id long, parent_id long, ord int, display_name string")
     assert tree.orphans(nodes).count() == 0 and tree.children(nodes).count() == 0 and tree.walk(nodes, nodes).count() == 0
