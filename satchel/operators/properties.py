@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dictionary import PS_MAPI
+from .joins import small
 
 KEY = ["code", "name", "guid"]
 
@@ -14,7 +15,7 @@ def with_symbol(props: DataFrame, names: DataFrame) -> DataFrame:
     """props with symbol: the dictionary's name of (code, guid), a string key in lower case, null for unmapped keys.
     names: (code, guid, symbol), a dictionary of some thousand rows at most."""
     found = names.select(F.col("code").alias("_code"), F.col("guid").alias("_guid"), F.col("symbol").alias("_symbol"))
-    out = props.join(F.broadcast(found), (F.col("code") == F.col("_code")) & (F.col("guid") == F.col("_guid")), "left")
+    out = props.join(small(found), (F.col("code") == F.col("_code")) & (F.col("guid") == F.col("_guid")), "left")
     return out.withColumn("symbol", F.coalesce(F.lower("name"), "_symbol")).drop("_code", "_guid", "_symbol")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 
 def block_kind(block_id: Column, first: Column) -> Column:
     """data, chain or submap, by the id's second bit and the first byte; unknown for other blocks."""
@@ -88,7 +90,7 @@ def named_columns(columns: DataFrame, names: DataFrame, types: dict[int, str]) -
     """Table columns (ref_type, code) with type_name and prop_name from the dictionaries, else hexadecimal."""
     kinds = columns.sparkSession.createDataFrame([(c, n.split("_", 1)[1].lower()) for c, n in types.items()], "_t int, _type string")
     props = names.select(F.col("code").alias("_c"), F.col("symbol").alias("_symbol"))
-    out = columns.join(F.broadcast(kinds), F.col("ref_type") == F.col("_t"), "left").join(F.broadcast(props), F.col("code") == F.col("_c"), "left")
+    out = columns.join(small(kinds), F.col("ref_type") == F.col("_t"), "left").join(small(props), F.col("code") == F.col("_c"), "left")
     name = lambda found, code: F.coalesce(F.col(found), F.format_string("0x%04x", F.col(code)))
     return out.withColumns({"type_name": name("_type", "ref_type"), "prop_name": name("_symbol", "code")}).drop("_t", "_type", "_c", "_symbol")
 

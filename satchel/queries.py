@@ -583,7 +583,7 @@ def remaining_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.remaining(table(spark, sf_dir, "lineitem").select("l_suppkey"), table(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
-@register()
+@register("""SELECT concat(c_name, '.msg') AS file, 'vcf' AS kind, c_name AS subject, concat('BEGIN:VCARD', chr(10), 'VERSION:3.0', chr(10), 'N:;;;;', chr(10), 'FN:', c_name, chr(10), 'URL:', c_mktsegment, chr(10), 'END:VCARD', chr(10)) AS content FROM customer""")
 def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as message files in the shared folder, read back as property rows and converted to vCards."""
     from .plans import convert

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,11 +14,24 @@ from ..functions import text
 COMBINED = {"eml": "Mail.mbox", "vcf": "Contacts.vcf", "txt": "Posts.txt"}
 
 
-def unique_filenames(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with filename: the name, with .2, .3 and so on before the extension where it repeats, in order."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy(order))
+#: Rows of one name that are numbered in one task.
+HOT_NAME_ROWS = 100_000
+_HOT_PARTS = 64
+
+
+def unique_filenames(rows: DataFrame, name: str, order: str, hot_rows: int = HOT_NAME_ROWS) -> DataFrame:
+    """rows with filename: the name, with .2, .3 and so on before the extension where it repeats, in order. A name of over
+    hot_rows rows is dealt out by the hash of `order` first, and numbered part by part."""
+    hot = rows.groupBy(F.col(name).alias("_name")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select("_name", F.lit(True).alias("_hot"))
+    dealt = rows.join(hot, F.col(name).eqNullSafe(F.col("_name")), "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(order), F.lit(_HOT_PARTS))).otherwise(0)).drop("_name", "_hot")
+    sizes = dealt.groupBy(F.col(name).alias("_name"), F.col("_part").alias("_own")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy("_name").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.where("_before > 0").select("_name", "_own", "_before")
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(name, "_part").orderBy(order)))
+    placed = placed.join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_own")), "left")
+    place = F.col("_place") + F.coalesce("_before", F.lit(0))
     numbered = F.concat(F.regexp_extract(F.col(name), r"(?s)^(.*?)(\.[^.]+)?$", 1), F.lit("."), place.cast("string"), F.regexp_extract(F.col(name), r"(\.[^.]+)$", 1))
-    return rows.withColumn("filename", F.when(place == 1, F.col(name)).otherwise(numbered))
+    return placed.select(*rows.columns, F.when(place == 1, F.col(name)).otherwise(numbered).alias("filename"))
 
 
 def output_name(kind: Column, path: Column | None = None) -> Column:
@@ -38,18 +54,56 @@ def write_combined(messages: DataFrame, path: str, append: bool = True) -> None:
     ordered.select("out_name", "value").write.mode("append" if append else "overwrite").partitionBy("out_name").text(path)
 
 
-def write_individual(messages: DataFrame, path: str, append: bool = True) -> None:
-    """Write messages (filename, content), one folder with one text for each."""
-    rows = messages.select("filename", F.col("content").alias("value"))
-    rows.repartition("filename").write.mode("append" if append else "overwrite").partitionBy("filename").text(path)
-
-
-def save_attachments(attachments: DataFrame, path: str, append: bool = True) -> None:
-    """Write attachments (item_id, filename, attach_data) as a table of files; embedded objects, which have no bytes of their
-    own, are refused."""
+def merge_combined(spark: SparkSession, path: str, target: str) -> list[str]:
+    """One file under target for each output that write_combined wrote under path: its parts, one after another, copied by the
+    driver a buffer at a time. The names of the files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, place = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    files, out_files = source.getFileSystem(conf), place.getFileSystem(conf)
+    names = []
+    for folder in files.listStatus(source):
+        mark, _, name = folder.getPath().getName().partition("=")
+        if mark != "out_name":
+            continue
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name)
+        out = out_files.create(jvm.org.apache.hadoop.fs.Path(place, name), True)
+        try:
+            for part in sorted(str(x.getPath()) for x in files.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")):
+                data = files.open(jvm.org.apache.hadoop.fs.Path(part))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, conf, False)
+                data.close()
+        finally:
+            out.close()
+        names.append(name)
+    return sorted(names)
+
+
+def write_files(rows: DataFrame, path: str, name: str, content: str) -> int:
+    """Write the content (text or bytes) of each row to path/name, from the executors; path: of a store that Arrow's file
+    systems know. Names must differ; a task that runs again writes the same files again. The number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(path)
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with files.open_output_stream(f"{base}/{own}") as out:
+                    out.write(data.encode() if isinstance(data, str) else data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    return rows.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def save_attachments(attachments: DataFrame, path: str) -> int:
+    """Write attachments (filename, attach_data) to files of their names, numbered where these repeat; embedded objects, which
+    have no bytes of their own, are refused. The number of files."""
     if attachments.where("attach_data is null").limit(1).count():
         raise ValueError("can only save attachments with bytes")
-    attachments.select("item_id", "filename", "attach_data").write.mode("append" if append else "overwrite").parquet(path)
+    safe = attachments.withColumn("_safe", F.when(F.coalesce("filename", F.lit("")) == "", "attachment").otherwise(text.safe_filename(F.col("filename")))).drop("filename")
+    order = F.concat_ws("/", *[c for c in ("file", "item_id", "ord") if c in attachments.columns])
+    return write_files(unique_filenames(safe.withColumn("_order", order), "_safe", "_order"), path, "filename", "attach_data")
 
 
 def print_messages(messages: DataFrame, out) -> None:

@@ -1,3 +1 @@
-"""Streams. The store formats are files that don't change, so there is no streaming operator of their own; the operators are
-plain DataFrame functions without actions, and map-like ones (sources, bodies, headers, conversion) run on streaming
-DataFrames of files as they are."""
+"""Structured Streaming."""

@@ -41,6 +41,18 @@ def message_file() -> bytes:
     ]))
 
 
+def nested_file(depth: int) -> bytes:
+    """A note that holds a note, and so on, `depth` levels down."""
+
+    def parts(level: int) -> list[Entry]:
+        own = [stream(0x001A, 0x1F, utf16("IPM.Note")), stream(0x0037, 0x1F, utf16(f"level {level}")), stream(0x1000, 0x1F, utf16(f"body {level}")), fixed(pad=8)]
+        if level < depth:
+            own.append(Entry("__attach_version1.0_#00000000", None, [stream(0x3001, 0x1F, utf16("nested")), Entry("__substg1.0_3701000D", None, parts(level + 1))]))
+        return own
+
+    return write(Entry("Root Entry", None, parts(0)))
+
+
 def contact_file() -> bytes:
     return write(Entry("Root Entry", None, [stream(0x001A, 0x1F, utf16("IPM.Contact")), stream(0x0037, 0x1F, utf16("Ann Ex")), stream(0x3A11, 0x1F, utf16("Ex")), stream(0x3A06, 0x1F, utf16("Ann"))]))
 

@@ -1,10 +1,13 @@
 import datetime
+import email
 
 import pytest
+from pyspark.sql import functions as F
 
 from satchel.dictionary import PS_MAPI, PSETID_ADDRESS, PS_PUBLIC_STRINGS
-from satchel.plans import convert
-from satchel.sources import compound, msg, pst
+from satchel.plans import convert, folders
+from satchel.sources import compound, msg, pst, sinks
+from satchel.streaming import ingest
 
 from . import fixtures as fx
 
@@ -70,8 +73,63 @@ def test_read_and_convert(spark, tmp_path):
     assert "multipart/mixed" in mail and 'filename="a b.bin"' in mail and "line\r\nFrom here" in mail
     assert out["c.MSG", "c.MSG"].content == "BEGIN:VCARD\nVERSION:3.0\nN:Ex;Ann;;;\nFN:Ann Ex\nEND:VCARD\n"
     assert out["s.pst", str(0x200024)].kind == "eml"
-    convert.export_combined(convert.convert(rows), str(tmp_path / "out"))
-    boxes = "".join(p.read_text() for p in (tmp_path / "out/out_name=Mail.mbox").glob("*.txt"))
-    assert boxes.count("From MAILER-DAEMON ") == 2 and "\n>From here" in boxes
-    convert.export_individual(convert.convert(rows), str(tmp_path / "one"))
-    assert len(list((tmp_path / "one").glob("filename=*"))) == 3
+    converted = convert.convert(rows)
+    assert {r.file.rsplit("/")[-1]: r.folder for r in converted.collect()} == {"a.msg": None, "c.MSG": None, "s.pst": "Inbox/Lists"}
+    convert.export_combined(converted, str(tmp_path / "out"))
+    assert sinks.merge_combined(spark, str(tmp_path / "out"), str(tmp_path / "one")) == ["Contacts.vcf", "Mail.mbox"]
+    box = (tmp_path / "one/Mail.mbox").read_text()
+    assert box.count("\nFrom MAILER-DAEMON ") == 1 and box.startswith("From MAILER-DAEMON ") and "\n>From here" in box
+    convert.export_combined(converted, str(tmp_path / "split"), F.col("folder"))
+    assert sinks.merge_combined(spark, str(tmp_path / "split"), str(tmp_path / "apart")) == ["Contacts.vcf", "Inbox.Lists.mbox", "Mail.mbox"]
+    assert convert.export_individual(converted, str(tmp_path / "each")) == 3
+    assert (tmp_path / "each/Gr__e.eml").read_text(newline="") == mail and {p.name for p in (tmp_path / "each").iterdir()} == {"Gr__e.eml", "Ann_Ex.vcf", "RE__x.eml"}
+    assert sinks.save_attachments(convert.attachments(rows), str(tmp_path / "files")) == 2
+    assert (tmp_path / "files/a_b.bin").read_bytes() == bytes(range(256)) * 20 and (tmp_path / "files/long_name.txt").read_bytes() == b"data"
+
+
+def test_embedded_messages(spark, tmp_path):
+    """A message in a message in a message: each stands as mail in its attachment's part, and is no item of its own."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/n.msg").write_bytes(fx.nested_file(3))
+    out = convert.convert(msg.read(spark, str(tmp_path / "in"))).collect()
+    assert len(out) == 1 and "\x00" not in out[0].content
+    whole = email.message_from_string(out[0].content)
+    for level in range(3):
+        assert whole["Subject"] == f"level {level}" and whole.get_content_type() == "multipart/mixed"
+        text, inner = whole.get_payload()
+        assert text.get_payload().strip() == f"body {level}" and inner.get_content_type() == "message/rfc822" and inner.get_filename() == f"level {level + 1}"
+        whole = inner.get_payload()[0]
+    assert whole["Subject"] == "level 3" and whole.get_payload().strip() == "body 3"
+
+
+def test_folders(spark, tmp_path):
+    """Kinds and paths of a store's items, and conversion of one folder only."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/s.pst").write_bytes(fx.store_file(2003))
+    (tmp_path / "in/a.msg").write_bytes(fx.message_file())
+    rows = msg.read(spark, str(tmp_path / "in")).unionByName(pst.read(spark, str(tmp_path / "in"))).cache()
+    found = {int(r.item_id): (r.item_type, r.folder, r.name) for r in folders.paths(rows).collect()}
+    assert found == {0x21: ("root", None, "Store"), 0x8022: ("folder", "", "Inbox"), 0x8042: ("folder", "", "Top"), 0x8062: ("wastebasket", "", "Deleted"), 0x8082: ("folder", "Inbox", "Lists"), 0x200024: ("message", "Inbox/Lists", None)}
+    assert [r.item_id for r in convert.convert(rows, under="\\INBOX//").collect()] == [str(0x200024)]
+    assert convert.convert(rows, under="Inb").count() == 0 and convert.convert(rows, under="Deleted").count() == 0
+
+
+def test_stream(spark, tmp_path):
+    """Files that arrive are parsed once, in any number of runs; a bad one is an error row."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.msg").write_bytes(fx.message_file())
+    for more in ("s.pst", "bad.MSG"):
+        ingest.append_rows(ingest.property_rows(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+        (tmp_path / "in" / more).write_bytes(fx.store_file(1997) if more == "s.pst" else b"none")
+    ingest.append_rows(ingest.property_rows(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "table"))
+    want = msg.read(spark, str(tmp_path / "in")).unionByName(pst.read(spark, str(tmp_path / "in")))
+    assert got.count() == want.count() and got.where("owner = 'error'").count() == 1
+
+
+def test_unique_names(spark):
+    rows = spark.createDataFrame([(f"{i:03}", "a.eml" if i % 2 else None if i % 6 == 0 else "b.eml") for i in range(60)], "o string, n string")
+    plain = {r.o: r.filename for r in sinks.unique_filenames(rows, "n", "o").collect()}
+    assert [plain[f"{i:03}"] for i in (1, 3, 5)] == ["a.eml", "a.2.eml", "a.3.eml"]
+    dealt = sinks.unique_filenames(rows, "n", "o", hot_rows=10).where("n = 'a.eml'").collect()
+    assert {r.filename for r in dealt} == {"a.eml", *(f"a.{i}.eml" for i in range(2, 31))}
