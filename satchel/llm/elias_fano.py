@@ -1,4 +1,4 @@
-"""Elias-Fano sequences in numpy, and a two-level trie of bigrams over them that is read through a memory map."""
+"""Elias-Fano sequences in numpy, and the levels of an n-gram trie over them that are read through a memory map."""
 
 from __future__ import annotations
 
@@ -46,7 +46,9 @@ class EliasFano:
         shift = np.uint64(bits)
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits:
-            spread = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & _ONE).astype(np.uint8)
+            spread = np.empty((n, bits), np.uint8)
+            for b in range(bits):
+                spread[:, b] = (values >> np.uint64(b)) & _ONE
             packed = np.packbits(spread.reshape(-1), bitorder="little")
             low.view(np.uint8)[: len(packed)] = packed
         top = int(values[-1] >> shift) if n else 0
@@ -95,10 +97,11 @@ class EliasFano:
             end[live[~less]] = middle[~less]
 
 
-class BigramTrie:
-    """Contexts and the words seen after each, with a code of one or two bytes for each pair. Three Elias-Fano sequences: the contexts, the
-    pointers to their successors, and the successors themselves, which a base for each context makes ascending. A word is
-    looked up in relation to its context: as base + word among the context's successors."""
+class TrieLevel:
+    """A level of an n-gram trie: contexts, which are nodes of the level above by their numbers, and the words seen after each,
+    with a code of one or two bytes for each. Three Elias-Fano sequences: the contexts, the pointers to their successors, and
+    the successors themselves, which a base for each context makes ascending. A word is looked up in relation to its context:
+    as base + word among the context's successors. A successor's place is its number in this level."""
 
     _FIELDS = 4
 
@@ -128,11 +131,11 @@ class BigramTrie:
             body += [low.tobytes(), high.tobytes()]
         return np.array(head, np.int64).tobytes() + b"".join(body) + code.astype(np.uint16 if len(code) and int(code.max()) > 255 else np.uint8).tobytes()
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each pair, -1 where the pair is not there."""
-        out = np.full(len(context), -1, np.int64)
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, place) of each pair, -1 where the pair is not there."""
+        out, places = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
         if not self.contexts.n or not len(context):
-            return out
+            return out, places
         distinct, inverse = np.unique(context, return_inverse=True)
         at = self.contexts.successor(distinct)
         known = at < self.contexts.n
@@ -146,4 +149,5 @@ class BigramTrie:
         live, place = live[inside], place[inside]
         same = self.successors.get(place) == target[live]
         out[live[same]] = self.codes[place[same]]
-        return out
+        places[live[same]] = place[same]
+        return out, places

@@ -1,17 +1,21 @@
-"""LM scoring with an Elias-Fano bigram trie, learned from the texts themselves.
+"""LM scoring with an Elias-Fano n-gram trie of order 3, learned from the texts themselves.
 
-p(w | v) = (1 - l(v)) c(v w) / c(v) + l(v) p(w), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and l(v) a fixed function of
-c(v) (Jelinek-Mercer smoothing by the context's count), so the probabilities of all known words and one unknown class sum to
-1. The trie holds the smoothed first part for each seen pair, quantised: a code is 1 and -log10 in steps of 1/STEPS, in one byte or, where a shard has smaller probabilities, two.
+p3(w | u v) = (1 - l3) c(u v w) / c(u v) + l3 p2(w | v), p2(w | v) = (1 - l2) c(v w) / c(v) + l2 p1(w), and
+p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); l2 and l3 are fixed functions of the context's count (Jelinek-Mercer smoothing by
+counts), 1 where the context was not seen. So the probabilities of all known words and one unknown class sum to 1. The first
+token of a text has the end token as its only context. Each level of the trie holds the smoothed first part for its n-grams,
+quantised: a code is 1 and -log10 in steps of 1/STEPS, in one byte or, where a shard has smaller probabilities, two.
 
 Nothing is gathered in one place. Texts become bundles of token codes, written once. (1) Each bundle's distinct words go to
 shards by hash, which add up counts and return a number and the count for each word. (2) Each bundle's distinct pairs go to
-shards by context, those of very common contexts by context and word, which build a trie file, map it into memory, look up
-the pairs of every bundle by successor search in relation to the context, and return a code for each. (3) Bundles score their
-texts. What travels is one entry for a distinct word or pair of a bundle, in compressed arrays.
+shards by context, those of very common contexts by context and word, which build a level of the trie, map it into memory,
+look up the pairs of every bundle by successor search in relation to the context, and return the code, the count and the
+node's number for each. (3) Distinct triples go to shards by the number of their pair, likewise. (4) Bundles score their
+texts. What travels is one entry for a distinct word, pair or triple of a bundle, in compressed arrays. The number of shards
+of (2) and (3) follows the number of tokens, so a shard's memory doesn't grow with the input.
 
 Null and empty texts are the end token alone. Rows with equal doc_id are scored each for itself, and trained on or held out
-alike. Without training texts all counts are 0. The first token's context is the end token.
+alike; a null doc_id counts as the text "None". Without training texts all counts are 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,19 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, slices, split_words, texts_of
-from .elias_fano import BigramTrie
+from .common import drop_path, materialize, slices, split_words, texts_of
+from .elias_fano import TrieLevel
 
 FOLDS = 10
 #: Bytes of text in a bundle.
 BUNDLE_BYTES = 4 << 20
 ALPHA = 0.1
-#: l(v) is FLOOR + (1 - FLOOR) / (1 + c(v)).
-FLOOR = 0.55
+#: l2 is FLOOR + (1 - FLOOR) / (1 + c), l3 is FLOOR_3 + (1 - FLOOR_3) 3 / (3 + c).
+FLOOR, FLOOR_3 = 0.55, 0.3
+#: Tokens for which there is one shard of pairs and of triples.
+SHARD_TOKENS = 2_000_000
 STEPS = 32
 _END = np.uint64(xxh64_intdigest(b" ", 0))  # no word holds a blank
 _BLOB = "target long, source long, kind int, data binary"
-_WORDS, _NUMBERS, _PAIRS, _CODES = 0, 1, 2, 3
+_WORDS, _NUMBERS, _GRAMS, _CODES_2, _CODES_3 = range(5)
 
 
 def held_out(doc_id) -> bool:
@@ -162,62 +168,108 @@ def _number_words(blobs: DataFrame, shards: int) -> DataFrame:
     return blobs.groupBy("target").applyInArrow(run, _BLOB)
 
 
-class _Bundle:
-    """A bundle's tokens with the numbers and counts that the shards of words returned, and its distinct pairs."""
+class _Grams:
+    """Distinct (context, word) of a bundle, dealt out to shards: order sorts them by shard, context and word; cuts are the
+    shards' borders. Contexts so common that one shard could not hold them are spread by word."""
 
-    def __init__(self, ids: list, words: bytes, codes: bytes, answers: dict[int, bytes], shards: int, total: int):
-        (hashes,), (self.codes,) = unpack(words), unpack(codes)
-        hashes = hashes.astype(np.uint64)
-        self.ids = ids
-        shard = (_mixed(hashes) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        number, self.count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        for s, data in answers.items():
-            own = order[cuts[s] : cuts[s + 1]]
-            number[own], self.count[own] = (x.astype(np.int64) for x in unpack(data))
-        before = np.empty_like(self.codes)
-        before[:1], before[1:] = 0, self.codes[:-1]
-        # after an end the context is the end, which is what stands there
-        pairs, self.pair = np.unique(before * np.int64(len(hashes)) + self.codes, return_inverse=True)
-        v, w = pairs // len(hashes), pairs % len(hashes)
-        self.train = _train_mask(ids, self.codes)
-        self.pair_count = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
-        self.context, self.word, self.context_count = number[v], number[w], self.count[v]
-        name = _mixed(self.context)
-        common = self.context_count * 4 * shards > total
-        name = np.where(common, _mixed(name ^ (self.word.astype(np.uint64) + np.uint64(1))), name)
+    def __init__(self, context: np.ndarray, word: np.ndarray, context_count: np.ndarray, count: np.ndarray, shards: int, total: int):
+        self.context, self.word, self.context_count, self.count, self.shards = context, word, context_count, count, shards
+        name = _mixed(context)
+        name = np.where(context_count * 4 * shards > total, _mixed(name ^ (word.astype(np.uint64) + np.uint64(1))), name)
         target = (name % np.uint64(shards)).astype(np.int64)
-        self.order = np.lexsort((self.word, self.context, target))
+        self.order = np.lexsort((word, context, target))
         self.cuts = np.searchsorted(target[self.order], np.arange(shards + 1))
-        self.before = before
-
 
-def _send_pairs(grouped: DataFrame, shards: int, total: int) -> DataFrame:
-    def run(key, table):
-        b = _open(table, shards, total)
-        if b is None:
-            return _rows([])
+    def messages(self, bundle: int) -> list[tuple[int, int, int, bytes]]:
         rows = []
-        for s in range(shards):
-            own = b.order[b.cuts[s] : b.cuts[s + 1]]
+        for s in range(self.shards):
+            own = self.order[self.cuts[s] : self.cuts[s + 1]]
             if len(own):
-                context = b.context[own]
+                context = self.context[own]
                 first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                rows.append((s, key[0].as_py(), _PAIRS, pack(np.diff(context[first], prepend=0), np.diff(np.append(first, len(own))), b.context_count[own][first], b.word[own], b.pair_count[own])))
-        return _rows(rows)
+                rows.append((s, bundle, _GRAMS, pack(np.diff(context[first], prepend=0), np.diff(np.append(first, len(own))), self.context_count[own][first], self.word[own], self.count[own])))
+        return rows
+
+    def answers(self, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, count, number) of each, from what the shards returned; 0, 0 and -1 where there was none."""
+        code, count, number = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.int64), np.full(len(self.context), -1, np.int64)
+        for s, data in found.items():
+            own = self.order[self.cuts[s] : self.cuts[s + 1]]
+            code[own], count[own], gaps = (x.astype(np.int64) for x in unpack(data))
+            number[own] = np.where(count[own] > 0, (np.cumsum(gaps) - 1) * self.shards + s, -1)
+        return code, count, number
 
-    return grouped.groupBy("target").applyInArrow(run, _BLOB)
 
+class _Bundle:
+    """A bundle's tokens, with the numbers and counts that the shards of words returned, and its distinct pairs and triples."""
+
+    def __init__(self, ids: list, words: bytes, codes: bytes, word_shards: int, shards: int, total: int):
+        (hashes,), (self.codes,) = unpack(words), unpack(codes)
+        self.hashes, self.ids, self.word_shards, self.shards, self.total = hashes.astype(np.uint64), ids, word_shards, shards, total
+        self.train = _train_mask(ids, self.codes)
+        self.before = np.empty_like(self.codes)
+        self.before[:1], self.before[1:] = 0, self.codes[:-1]  # after an end the context is the end, which is what stands there
 
-def _open(table: pa.Table, shards: int, total: int) -> _Bundle | None:
-    kinds, sources, data = (table.column(c).to_pylist() for c in ("kind", "source", "data"))
-    answers = {s: d for k, s, d in zip(kinds, sources, data) if k == _NUMBERS}
-    own = [i for i, x in enumerate(table.column("codes").to_pylist()) if x is not None]
-    if not own:
+    def with_words(self, found: dict[int, bytes]) -> None:
+        shard = (_mixed(self.hashes) % np.uint64(self.word_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.word_shards + 1))
+        self.number, self.count = np.zeros(len(self.hashes), np.int64), np.zeros(len(self.hashes), np.int64)
+        for s, data in found.items():
+            own = order[cuts[s] : cuts[s + 1]]
+            self.number[own], self.count[own] = (x.astype(np.int64) for x in unpack(data))
+
+    def pairs(self) -> _Grams:
+        width = len(self.hashes)
+        pairs, self.pair = np.unique(self.before * np.int64(width) + self.codes, return_inverse=True)
+        v, w = pairs // width, pairs % width
+        count = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
+        return _Grams(self.number[v], self.number[w], self.count[v], count, self.shards, self.total)
+
+    def triples(self, pair_count: np.ndarray, pair_number: np.ndarray) -> _Grams:
+        """Triples whose pair was seen in training; triple: that of each token, -1 if there is none."""
+        width = len(self.hashes)
+        context = np.full(len(self.codes), -1, np.int64)
+        context[1:] = np.where(self.before[1:] != 0, self.pair[:-1], -1)
+        at = np.flatnonzero((context >= 0) & (pair_count[context] > 0))
+        triples, inverse = np.unique(context[at] * np.int64(width) + self.codes[at], return_inverse=True)
+        self.triple, self.context = np.full(len(self.codes), -1, np.int64), context
+        self.triple[at] = inverse
+        u, w = triples // width, triples % width
+        count = np.bincount(inverse, self.train[at], len(triples)).astype(np.int64)
+        return _Grams(pair_number[u], self.number[w], pair_count[u], count, self.shards, self.total)
+
+
+def _open(table: pa.Table, word_shards: int, shards: int, total: int) -> tuple[_Bundle, dict[int, dict[int, bytes]]] | None:
+    """The bundle of a group, and what shards returned for it by kind; none for a group without a bundle."""
+    found: dict[int, dict[int, bytes]] = {_NUMBERS: {}, _CODES_2: {}, _CODES_3: {}}
+    for kind, source, data in zip(*(table.column(c).to_pylist() for c in ("kind", "source", "data"))):
+        if kind in found:
+            found[kind][source] = data
+    own = np.flatnonzero(table.column("codes").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+    if not len(own):
         return None
-    i = own[0]
-    return _Bundle(table.column("ids")[i].as_py(), table.column("words")[i].as_py(), table.column("codes")[i].as_py(), answers, shards, total)
+    i = int(own[0])
+    bundle = _Bundle(table.column("ids")[i].as_py(), table.column("words")[i].as_py(), table.column("codes")[i].as_py(), word_shards, shards, total)
+    bundle.with_words(found[_NUMBERS])
+    return bundle, found
+
+
+def _send_grams(grouped: DataFrame, word_shards: int, shards: int, total: int, order: int) -> DataFrame:
+    """Each bundle's distinct pairs or triples to their shards."""
+
+    def run(key, table):
+        opened = _open(table, word_shards, shards, total)
+        if opened is None:
+            return _rows([])
+        bundle, found = opened
+        grams = bundle.pairs()
+        if order == 3:
+            _, count, number = grams.answers(found[_CODES_2])
+            grams = bundle.triples(count, number)
+        return _rows(grams.messages(key[0].as_py()))
+
+    return grouped.groupBy("target").applyInArrow(run, _BLOB)
 
 
 def _thin(x: np.ndarray) -> np.ndarray:
@@ -225,13 +277,13 @@ def _thin(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32) if not len(x) or int(x.max()) < 1 << 31 else x.astype(np.int64)
 
 
-def context_weight(count: np.ndarray) -> np.ndarray:
-    """l(v), the share of the lower order."""
-    return FLOOR + (1 - FLOOR) / (1 + count)
+def context_weight(count: np.ndarray, order: int = 2) -> np.ndarray:
+    """l2 or l3, the share of the lower order."""
+    return FLOOR + (1 - FLOOR) / (1 + count) if order == 2 else np.where(count > 0, FLOOR_3 + (1 - FLOOR_3) * 3 / (3 + count), 1.0)
 
 
 def quantised(part: np.ndarray) -> np.ndarray:
-    """Codes of probabilities; code 0 is left for pairs that were not seen."""
+    """Codes of probabilities; code 0 is left for n-grams that were not seen."""
     return (np.rint(-np.log10(part) * STEPS) + 1).astype(np.uint16)
 
 
@@ -239,8 +291,9 @@ def unquantised(code: np.ndarray) -> np.ndarray:
     return np.where(code == 0, 0.0, 10.0 ** ((1 - code) / STEPS))
 
 
-def _look_up(blobs: DataFrame) -> DataFrame:
-    """Shards of pairs: build the trie of all training pairs, and return a code for each pair of each bundle (0: not seen)."""
+def _look_up(blobs: DataFrame, order: int) -> DataFrame:
+    """Shards of n-grams: build the level of all that were seen in training, and return for each n-gram of each bundle its code,
+    and for pairs its count and number too (code and count 0: not seen). Numbers ascend in a message and go as gaps."""
 
     def run(key, table):
         parts = []
@@ -249,44 +302,59 @@ def _look_up(blobs: DataFrame) -> DataFrame:
             parts.append([_thin(x) for x in (np.repeat(np.cumsum(gaps), size), word, count, np.repeat(context_count, size))])
         cuts = np.cumsum([0] + [len(p[0]) for p in parts])
         columns = [np.concatenate([p.pop(0) for p in parts]) for _ in range(4)]
-        order = np.lexsort((columns[1], columns[0]))
+        del parts
+        ranked = np.lexsort((columns[1], columns[0]))
         for i in range(4):
-            columns[i] = columns[i][order]
+            columns[i] = columns[i][ranked]
         context, word, count, context_count = columns
         del columns
         first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
         count = np.add.reduceat(count.astype(np.int64), first)
         context, word, context_count = context[first], word[first], context_count[first]
         seen = count > 0
-        part = (1 - context_weight(context_count[seen])) * count[seen] / context_count[seen]
-        code = quantised(part)
-        with tempfile.NamedTemporaryFile(suffix=".trie", dir=os.environ.get("TMPDIR")) as file:
-            file.write(BigramTrie.build(context[seen], word[seen], code))
+        part = (1 - context_weight(context_count[seen], order)) * count[seen] / context_count[seen]
+        with tempfile.NamedTemporaryFile(suffix=".trie", dir=os.environ.get("TMPDIR")) as file:  # this task's own
+            file.write(TrieLevel.build(context[seen], word[seen], quantised(part)))
             file.flush()
-            trie = BigramTrie(np.memmap(file.name, np.uint8, "r"))
-            answer = np.maximum(trie.find(context, word), 0).astype(np.uint16)
-            del trie
-        lookup = np.empty(len(order), np.uint16)
-        lookup[order] = np.repeat(answer, np.diff(np.append(first, len(order))))
-        return _rows([(bundle, key[0].as_py(), _CODES, pack(lookup[a:b])) for bundle, a, b in zip(table.column("source").to_pylist(), cuts, cuts[1:])])
+            level = TrieLevel(np.memmap(file.name, np.uint8, "r"))
+            code, place = level.find(context, word)
+            del level
+        code = np.maximum(code, 0).astype(np.uint16)
+        place = np.maximum.accumulate(place) + 1  # an unseen pair takes the number before it: no gap
+        repeats = np.diff(np.append(first, len(ranked)))
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            out = np.empty(len(ranked), x.dtype)
+            out[ranked] = np.repeat(x, repeats)
+            return out
+
+        code, kind = spread(code), _CODES_2 if order == 2 else _CODES_3
+        more = [spread(_thin(count)), spread(_thin(place))] if order == 2 else []
+        rows = []
+        for bundle, a, b in zip(table.column("source").to_pylist(), cuts, cuts[1:]):
+            extra = [more[0][a:b], np.diff(more[1][a:b], prepend=0)] if more else []
+            rows.append((bundle, key[0].as_py(), kind, pack(code[a:b], *extra)))
+        return _rows(rows)
 
     return blobs.groupBy("target").applyInArrow(run, _BLOB)
 
 
-def _score(grouped: DataFrame, shards: int, total: int, distinct: int) -> DataFrame:
+def _score(grouped: DataFrame, word_shards: int, shards: int, total: int, distinct: int) -> DataFrame:
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(key, table):
-        b = _open(table, shards, total)
-        code = np.zeros(len(b.context), np.int64)
-        for kind, source, data in zip(*(table.column(c).to_pylist() for c in ("kind", "source", "data"))):
-            if kind == _CODES:
-                code[b.order[b.cuts[source] : b.cuts[source + 1]]] = unpack(data)[0]
+        b, found = _open(table, word_shards, shards, total)
+        code_2, count_2, number = b.pairs().answers(found[_CODES_2])
+        grams = b.triples(count_2, number)
+        code_3 = np.zeros(len(grams.context) + 1, np.int64)  # the last is for tokens without a triple, whose place is -1
+        for s, data in found[_CODES_3].items():
+            code_3[grams.order[grams.cuts[s] : grams.cuts[s + 1]]] = unpack(data)[0]
         plain = (b.count + ALPHA) / (total + ALPHA * (distinct + 1))
-        part = unquantised(code)
+        seen = b.count[b.before]
+        two = np.where(seen > 0, unquantised(code_2)[b.pair], 0.0) + context_weight(seen) * plain[b.codes]
+        weight = context_weight(np.where(b.triple >= 0, count_2[b.context], 0), 3)
+        score = np.log10(unquantised(code_3)[b.triple] + weight * two)
         doc = np.cumsum(b.codes == 0) - (b.codes == 0)
-        weight = context_weight(b.count[b.before])
-        score = np.log10(np.where(b.count[b.before] > 0, part[b.pair], 0.0) + weight * plain[b.codes])
         n = len(b.ids)
         size = np.bincount(doc, minlength=n)
         return pa.table([
@@ -301,15 +369,21 @@ def _score(grouped: DataFrame, shards: int, total: int, distinct: int) -> DataFr
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of each row."""
     spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    word_shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bundles, _ = materialize(_bundles(source), "bundles")
-    numbers, _ = materialize(_number_words(_send_words(bundles, shards), shards), "numbers")
+    bundles, bundles_path = materialize(_bundles(source), "bundles")
+    numbers, numbers_path = materialize(_number_words(_send_words(bundles, word_shards), word_shards), "numbers")
     totals = [unpack(r["data"]) for r in numbers.where("target = -1").select("data").collect()]  # two numbers from each shard
     total, distinct = (int(sum(int(t[i][0]) for t in totals)) for i in (0, 1))
+    shards = shards or max(1, -(-total // SHARD_TOKENS))
     nothing = F.lit(None)
-    state = bundles.select(F.col("bundle").alias("target"), F.lit(-1).cast("long").alias("source"), F.lit(-1).alias("kind"), nothing.cast("binary").alias("data"), "ids", "words", "codes")
     wide = lambda blobs: blobs.select("target", "source", "kind", "data", nothing.cast("array<long>").alias("ids"), nothing.cast("binary").alias("words"), nothing.cast("binary").alias("codes"))
-    numbers = numbers.where("target >= 0")
-    codes, _ = materialize(_look_up(_send_pairs(state.unionByName(wide(numbers)), shards, total)), "codes")
-    return _score(state.unionByName(wide(numbers)).unionByName(wide(codes)), shards, total, distinct)
+    state = bundles.select(F.col("bundle").alias("target"), F.lit(-1).cast("long").alias("source"), F.lit(-1).alias("kind"), nothing.cast("binary").alias("data"), "ids", "words", "codes")
+    state, paths = state.unionByName(wide(numbers.where("target >= 0"))), [bundles_path, numbers_path]
+    for order in (2, 3):
+        codes, path = materialize(_look_up(_send_grams(state, word_shards, shards, total, order), order), f"codes-{order}")
+        state = state.unionByName(wide(codes))
+        paths.append(path)
+    scores, _ = materialize(_score(state, word_shards, shards, total, distinct), "scores")
+    drop_path(spark, *paths)
+    return scores

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from satchel.llm import op04_lm, op10_quality, simple8b
-from satchel.llm.elias_fano import BigramTrie, EliasFano
+from satchel.llm.elias_fano import TrieLevel, EliasFano
 from satchel.llm.op05_bpe import Codec, read_ranks
 from satchel.llm.pieces import library_table
 
@@ -118,12 +118,14 @@ def test_trie():
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 50, 3000) * 10_000 + rng.integers(0, 400, 3000))
     codes = rng.integers(0, 255, len(pairs))
-    trie = BigramTrie(np.frombuffer(BigramTrie.build(pairs // 10_000, pairs % 10_000, codes), np.uint8))
+    trie = TrieLevel(np.frombuffer(TrieLevel.build(pairs // 10_000, pairs % 10_000, codes), np.uint8))
     want = dict(zip(pairs.tolist(), codes.tolist()))
     asked = np.concatenate([pairs, rng.integers(0, 60, 900) * 10_000 + rng.integers(0, 500, 900)])
-    assert trie.find(asked // 10_000, asked % 10_000).tolist() == [want.get(x, -1) for x in asked.tolist()]
+    place = {x: i for i, x in enumerate(pairs.tolist())}
+    code, at = trie.find(asked // 10_000, asked % 10_000)
+    assert code.tolist() == [want.get(x, -1) for x in asked.tolist()] and at.tolist() == [place.get(x, -1) for x in asked.tolist()]
     empty = np.zeros(0, np.int64)
-    assert BigramTrie(np.frombuffer(BigramTrie.build(empty, empty, empty), np.uint8)).find(np.array([1]), np.array([1])).tolist() == [-1]
+    assert TrieLevel(np.frombuffer(TrieLevel.build(empty, empty, empty), np.uint8)).find(np.array([1]), np.array([1]))[0].tolist() == [-1]
 
 
 def test_pack():

@@ -10,8 +10,8 @@ def test_common_contexts(spark):
     """A word seen 4e8 times, with successors seen once, 9 and 3e8 times, and one not seen in training."""
     total, counts = 400_000_000, [1, 9, 300_000_000, 0]
     data = op04_lm.pack(np.array([5]), np.array([4]), np.array([total]), np.arange(4), np.array(counts))
-    blobs = spark.createDataFrame([(0, 7, op04_lm._PAIRS, bytearray(data))], op04_lm._BLOB)
-    (row,) = op04_lm._look_up(blobs).collect()
+    blobs = spark.createDataFrame([(0, 7, op04_lm._GRAMS, bytearray(data))], op04_lm._BLOB)
+    (row,) = op04_lm._look_up(blobs, 2).collect()
     got = op04_lm.unquantised(op04_lm.unpack(bytes(row.data))[0])
     share = float(op04_lm.context_weight(np.array([total]))[0])
     want = [(1 - share) * c / total for c in counts]

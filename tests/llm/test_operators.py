@@ -201,32 +201,54 @@ def test_links_reach_all(spark, block_rows, segments, monkeypatch):
 def test_lm(docs, empty):
     got = {r.doc_id: r for r in op04_lm.score_texts(docs, shards=3).collect()}
     tokens = {i: [*words(lower(t)), " "] for i, t in ROWS}
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 10:
             one.update(w)
             two.update(zip([" ", *w[:-1]], w))
+            three.update(zip([" ", *w[:-2]], w[:-1], w[1:]))
     total, distinct = sum(one.values()), len(one)
     for i, w in tokens.items():
         r = got[i]
         plain = [(one[x] + 0.1) / (total + 0.1 * (distinct + 1)) for x in w]
         score = 0.0
-        for v, x, p in zip([" ", *w[:-1]], w, plain):
+        for u, v, x, p in zip([None, " ", *w[:-2]], [" ", *w[:-1]], w, plain):
             share = op04_lm.FLOOR + (1 - op04_lm.FLOOR) / (1 + one[v])
-            score += math.log10(((1 - share) * two[v, x] / one[v] if one[v] else 0) + share * p)
+            p = ((1 - share) * two[v, x] / one[v] if one[v] else 0) + share * p
+            if u is not None and two[u, v]:
+                share = op04_lm.FLOOR_3 + (1 - op04_lm.FLOOR_3) * 3 / (3 + two[u, v])
+                p = (1 - share) * three[u, v, x] / two[u, v] + share * p
+            score += math.log10(p)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(one[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(sum(map(math.log10, plain)), abs=1e-6)
         assert abs(r.score - score) <= len(w) * 0.6 / op04_lm.STEPS  # quantised to half a step
     assert op04_lm.score_texts(empty).count() == 0
 
 
+def test_lm_tells_repeated_texts_apart(spark):
+    """Texts that occur twice score higher a token than those that occur once, in training texts of one kind."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(800)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(300)]
+    texts += texts[:30]
+    rows = {r.doc_id: r for r in op04_lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ends = {i: r.score / r.n_tokens for i, r in rows.items() if not r.held_out}
+    twice = [x for i, x in ends.items() if (i < 30 and i + 300 in ends) or i >= 300 and i - 300 in ends]
+    once = sorted(x for i, x in ends.items() if 30 <= i < 300)
+    assert np.mean([x > once[int(0.95 * len(once))] for x in twice]) > 0.9
+
+
 def test_lm_sums_to_one():
     """The smoothed probabilities of one context over all known words and the unknown class."""
     one, pairs = {"a": 5, "b": 3, "c": 2}, {"a": 2, "b": 1}
     total, context = 10, 3
     plain = {w: (c + 0.1) / (total + 0.1 * 4) for w, c in one.items()} | {"?": 0.1 / (total + 0.4)}
     share = float(op04_lm.context_weight(np.array([context]))[0])
-    assert sum((1 - share) * pairs.get(w, 0) / context + share * p for w, p in plain.items()) == pytest.approx(1)
+    second = {w: (1 - share) * pairs.get(w, 0) / context + share * p for w, p in plain.items()}
+    share = float(op04_lm.context_weight(np.array([4]), 3)[0])
+    third = {w: (1 - share) * {"b": 3, "c": 1}.get(w, 0) / 4 + share * p for w, p in second.items()}
+    assert sum(second.values()) == pytest.approx(1) and sum(third.values()) == pytest.approx(1)
+    assert op04_lm.context_weight(np.array([0]), 3)[0] == 1
 
 
 def brute_removal(texts, length=200):
