@@ -11,7 +11,8 @@ shards by hash, which add up counts and return a number and the count for each w
 shards by context, those of very common contexts by context and word, which build a level of the trie, map it into memory,
 look up the pairs of every bundle by successor search in relation to the context, and return the code, the count and the
 node's number for each. (3) Distinct triples go to shards by the number of their pair, likewise. (4) Bundles score their
-texts. What travels is one entry for a distinct word, pair or triple of a bundle, in compressed arrays. The number of shards
+texts. What travels is one entry for a distinct word, pair or triple of a bundle, in compressed arrays; n-grams of a context
+that no other bundle has in its training texts stay, since their counts are the bundle's own. The number of shards
 of (2) and (3) follows the number of tokens, so a shard's memory doesn't grow with the input.
 
 Null and empty texts are the end token alone. Rows with equal doc_id are scored each for itself, and trained on or held out
@@ -20,6 +21,7 @@ alike; a null doc_id counts as the text "None". Without training texts all count
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zlib
@@ -34,21 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import drop_path, materialize, slices, split_words, texts_of
+from .common import drop_path, materialize, scratch_path, slices, split_words, texts_of
 from .elias_fano import TrieLevel
 
 FOLDS = 10
 #: Bytes of text in a bundle.
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES = 3 << 20
 ALPHA = 0.1
 #: l2 is FLOOR + (1 - FLOOR) / (1 + c), l3 is FLOOR_3 + (1 - FLOOR_3) 3 / (3 + c).
 FLOOR, FLOOR_3 = 0.55, 0.3
 #: Tokens for which there is one shard of pairs and of triples.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 STEPS = 32
 _END = np.uint64(xxh64_intdigest(b" ", 0))  # no word holds a blank
 _BLOB = "target long, source long, kind int, data binary"
-_WORDS, _NUMBERS, _GRAMS, _CODES_2, _CODES_3 = range(5)
+_STATE = "target long, source long, data binary, ids array<long>, shards binary, codes binary, kind int"
+_BUNDLE, _WORDS, _NUMBERS, _GRAMS, _CODES_2, _CODES_3 = range(6)
 
 
 def held_out(doc_id) -> bool:
@@ -90,8 +93,9 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def _bundles(docs: DataFrame) -> DataFrame:
-    """bundle, ids, codes: doc_ids, and (hashes of the distinct words, codes of all tokens); code 0 is the end."""
+def _bundles(docs: DataFrame, word_shards: int) -> DataFrame:
+    """A row for each bundle: doc_ids, the shard of each distinct word, and the codes of all tokens; code 0 is the end. And its
+    messages to the shards of words: hashes, and counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -118,13 +122,35 @@ def _bundles(docs: DataFrame) -> DataFrame:
             rank[order] = np.arange(1, len(order) + 1)
             hashes = np.concatenate([[_END], _hashes(coded.dictionary.cast(pa.binary()))[order]]).astype(np.uint64)
             stream = np.insert(rank[codes], np.cumsum(np.bincount(rows, minlength=len(texts))), 0)
+            ids, name = batch.column("doc_id").to_pylist(), part << 32 | seq
+            counts = np.bincount(stream[_train_mask(ids, stream)], minlength=len(hashes))
+            shard = (_mixed(hashes) % np.uint64(word_shards)).astype(np.int64)
+            order, cuts = _dealt(shard, word_shards)
+            sent = [(s, pack(hashes[own], counts[own])) for s in range(word_shards) if len(own := order[cuts[s] : cuts[s + 1]])]
+            n = len(sent)
             yield pa.RecordBatch.from_arrays([
-                pa.array([part << 32 | seq]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([pack(hashes)], pa.binary()), pa.array([pack(stream)], pa.binary()),
-            ], names=["bundle", "ids", "words", "codes"])
+                pa.array([name, *(s for s, _ in sent)], pa.int64()), pa.array([-1] + [name] * n, pa.int64()), pa.array([None, *(x for _, x in sent)], pa.binary()),
+                pa.array([ids] + [None] * n, pa.list_(pa.int64())), pa.array([pack(shard)] + [None] * n, pa.binary()), pa.array([pack(stream)] + [None] * n, pa.binary()),
+                pa.array([_BUNDLE] + [_WORDS] * n, pa.int32()),
+            ], names=["target", "source", "data", "ids", "shards", "codes", "kind"])
             seq += 1
+            _trim()
 
-    return docs.mapInArrow(run, "bundle long, ids array<long>, words binary, codes binary")
+    return docs.mapInArrow(run, _STATE)
+
+
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order of their shard, the shards' borders in it)."""
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _trim() -> None:
+    """Give freed memory back to the system between groups, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _train_mask(ids: list, codes: np.ndarray) -> np.ndarray:
@@ -133,25 +159,9 @@ def _train_mask(ids: list, codes: np.ndarray) -> np.ndarray:
     return ~np.array([held_out(i) for i in ids], bool)[doc]
 
 
-def _send_words(bundles: DataFrame, shards: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bundle, ids, words, codes in zip(*(batch.column(c).to_pylist() for c in ("bundle", "ids", "words", "codes"))):
-                (hashes,), (stream,) = unpack(words), unpack(codes)
-                hashes = hashes.astype(np.uint64)
-                counts = np.bincount(stream[_train_mask(ids, stream)], minlength=len(hashes))
-                shard = (_mixed(hashes) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(s, bundle, _WORDS, pack(hashes[own], counts[own])) for s in range(shards) if len(own := order[cuts[s] : cuts[s + 1]])]
-                yield from _rows(rows).to_batches()
-
-    return bundles.mapInArrow(run, _BLOB)
-
-
 def _number_words(blobs: DataFrame, shards: int) -> DataFrame:
-    """From the shards of words back to bundles: numbers and counts of their words; and, for the shard itself (source -1),
-    the number of training tokens and of distinct ones."""
+    """From the shards of words back to bundles: numbers and counts of their words, which interleave the shards; and, for the
+    shard itself (target -1), the number of training tokens and of distinct ones."""
 
     def run(key, table):
         shard = key[0].as_py()
@@ -168,17 +178,34 @@ def _number_words(blobs: DataFrame, shards: int) -> DataFrame:
     return blobs.groupBy("target").applyInArrow(run, _BLOB)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the place of each key among them): np.unique, by one sort of keys and places together."""
+    bits = max(len(keys), 1).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - bits):
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << np.int64(bits) | np.arange(len(keys)))
+    keys, at = both >> np.int64(bits), both & np.int64((1 << bits) - 1)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return keys[new], place
+
+
 class _Grams:
-    """Distinct (context, word) of a bundle, dealt out to shards: order sorts them by shard, context and word; cuts are the
-    shards' borders. Contexts so common that one shard could not hold them are spread by word."""
+    """Distinct (context, word) of a bundle, in ascending order. Those whose context was seen in training outside the bundle too
+    are dealt out to shards: order sorts them by shard; cuts are the shards' borders. Contexts so common that one shard could
+    not hold them are spread by word. The counts of others are the bundle's own."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, context_count: np.ndarray, count: np.ndarray, shards: int, total: int):
+    def __init__(self, context: np.ndarray, word: np.ndarray, context_count: np.ndarray, own_count: np.ndarray, count: np.ndarray, order: int, shards: int, total: int):
+        """context, word: numbers; context_count, own_count: of the context in all training texts and in the bundle's."""
         self.context, self.word, self.context_count, self.count, self.shards = context, word, context_count, count, shards
-        name = _mixed(context)
-        name = np.where(context_count * 4 * shards > total, _mixed(name ^ (word.astype(np.uint64) + np.uint64(1))), name)
-        target = (name % np.uint64(shards)).astype(np.int64)
-        self.order = np.lexsort((word, context, target))
-        self.cuts = np.searchsorted(target[self.order], np.arange(shards + 1))
+        self.level = order
+        sent = np.flatnonzero(context_count > own_count)
+        name = _mixed(context[sent])
+        name = np.where(context_count[sent] * 4 * shards > total, _mixed(name ^ (word[sent].astype(np.uint64) + np.uint64(1))), name)
+        by_target, self.cuts = _dealt((name % np.uint64(shards)).astype(np.int64), shards)
+        self.order = sent[by_target]
 
     def messages(self, bundle: int) -> list[tuple[int, int, int, bytes]]:
         rows = []
@@ -191,53 +218,68 @@ class _Grams:
         return rows
 
     def answers(self, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code, count, number) of each, from what the shards returned; 0, 0 and -1 where there was none."""
-        code, count, number = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.int64), np.full(len(self.context), -1, np.int64)
+        """(code, count, number) of each, from what the shards returned for those that other bundles have too; a count of the
+        bundle's own has its code from there. number is -1 where there is none."""
+        count, number = self.count.copy(), np.full(len(self.context), -1, np.int64)
+        part = (1 - context_weight(self.context_count, self.level)) * count / np.maximum(self.context_count, 1)
+        code = np.zeros(len(count), np.int64)
+        code[count > 0] = quantised(part[count > 0])
         for s, data in found.items():
             own = self.order[self.cuts[s] : self.cuts[s + 1]]
-            code[own], count[own], gaps = (x.astype(np.int64) for x in unpack(data))
-            number[own] = np.where(count[own] > 0, (np.cumsum(gaps) - 1) * self.shards + s, -1)
+            elsewhere, codes, gaps = unpack(data)
+            own = own[elsewhere > 0]
+            count[own] += elsewhere[elsewhere > 0]
+            code[own] = codes
+            if len(gaps):
+                number[own] = (np.cumsum(gaps) - 1) * self.shards + s
         return code, count, number
 
 
 class _Bundle:
     """A bundle's tokens, with the numbers and counts that the shards of words returned, and its distinct pairs and triples."""
 
-    def __init__(self, ids: list, words: bytes, codes: bytes, word_shards: int, shards: int, total: int):
-        (hashes,), (self.codes,) = unpack(words), unpack(codes)
-        self.hashes, self.ids, self.word_shards, self.shards, self.total = hashes.astype(np.uint64), ids, word_shards, shards, total
+    def __init__(self, ids: list, word_shard: bytes, codes: bytes, word_shards: int, shards: int, total: int):
+        (self.word_shard,), (self.codes,) = unpack(word_shard), unpack(codes)
+        self.ids, self.word_shards, self.shards, self.total = ids, word_shards, shards, total
         self.train = _train_mask(ids, self.codes)
-        self.before = np.empty_like(self.codes)
-        self.before[:1], self.before[1:] = 0, self.codes[:-1]  # after an end the context is the end, which is what stands there
 
     def with_words(self, found: dict[int, bytes]) -> None:
-        shard = (_mixed(self.hashes) % np.uint64(self.word_shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.word_shards + 1))
-        self.number, self.count = np.zeros(len(self.hashes), np.int64), np.zeros(len(self.hashes), np.int64)
+        """word and context of each token are places in number and count, which are in ascending order of the numbers."""
+        order, cuts = _dealt(self.word_shard, self.word_shards)
+        number, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for s, data in found.items():
             own = order[cuts[s] : cuts[s + 1]]
-            self.number[own], self.count[own] = (x.astype(np.int64) for x in unpack(data))
+            number[own], count[own] = (x.astype(np.int64) for x in unpack(data))
+        by_number = np.argsort(number, kind="stable")
+        place = np.empty(len(number), np.int64)
+        place[by_number] = np.arange(len(number))
+        self.number, self.count, self.word = number[by_number], count[by_number], place[self.codes]
+        self.own_count = np.bincount(self.word, self.train, len(number)).astype(np.int64)
+        # after an end the context is the end, which is what stands there
+        self.starts = np.concatenate([[True], self.codes[:-1] == 0])
+        self.context = np.where(self.starts, place[0], np.roll(self.word, 1))
 
     def pairs(self) -> _Grams:
-        width = len(self.hashes)
-        pairs, self.pair = np.unique(self.before * np.int64(width) + self.codes, return_inverse=True)
+        width = np.int64(len(self.number))
+        pairs, self.pair = _distinct(self.context * width + self.word)
         v, w = pairs // width, pairs % width
-        count = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
-        return _Grams(self.number[v], self.number[w], self.count[v], count, self.shards, self.total)
+        self.pair_own = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
+        return _Grams(self.number[v], self.number[w], self.count[v], self.own_count[v], self.pair_own, 2, self.shards, self.total)
 
     def triples(self, pair_count: np.ndarray, pair_number: np.ndarray) -> _Grams:
-        """Triples whose pair was seen in training; triple: that of each token, -1 if there is none."""
-        width = len(self.hashes)
-        context = np.full(len(self.codes), -1, np.int64)
-        context[1:] = np.where(self.before[1:] != 0, self.pair[:-1], -1)
-        at = np.flatnonzero((context >= 0) & (pair_count[context] > 0))
-        triples, inverse = np.unique(context[at] * np.int64(width) + self.codes[at], return_inverse=True)
-        self.triple, self.context = np.full(len(self.codes), -1, np.int64), context
+        """Triples whose pair was seen in training; triple: that of each token, -1 if there is none; before: its pair."""
+        width = np.int64(len(self.number))
+        by_number = np.argsort(pair_number, kind="stable")
+        place = np.empty(len(pair_number), np.int64)
+        place[by_number] = np.arange(len(pair_number))
+        self.before = np.where(self.starts, -1, np.roll(self.pair, 1))
+        at = np.flatnonzero((self.before >= 0) & (pair_count[self.before] > 0))
+        triples, inverse = _distinct(place[self.before[at]] * width + self.word[at])
+        self.triple = np.full(len(self.word), -1, np.int64)
         self.triple[at] = inverse
-        u, w = triples // width, triples % width
+        u, w = by_number[triples // width], triples % width
         count = np.bincount(inverse, self.train[at], len(triples)).astype(np.int64)
-        return _Grams(pair_number[u], self.number[w], pair_count[u], count, self.shards, self.total)
+        return _Grams(pair_number[u], self.number[w], pair_count[u], self.pair_own[u], count, 3, self.shards, self.total)
 
 
 def _open(table: pa.Table, word_shards: int, shards: int, total: int) -> tuple[_Bundle, dict[int, dict[int, bytes]]] | None:
@@ -250,7 +292,7 @@ def _open(table: pa.Table, word_shards: int, shards: int, total: int) -> tuple[_
     if not len(own):
         return None
     i = int(own[0])
-    bundle = _Bundle(table.column("ids")[i].as_py(), table.column("words")[i].as_py(), table.column("codes")[i].as_py(), word_shards, shards, total)
+    bundle = _Bundle(table.column("ids")[i].as_py(), table.column("shards")[i].as_py(), table.column("codes")[i].as_py(), word_shards, shards, total)
     bundle.with_words(found[_NUMBERS])
     return bundle, found
 
@@ -291,9 +333,16 @@ def unquantised(code: np.ndarray) -> np.ndarray:
     return np.where(code == 0, 0.0, 10.0 ** ((1 - code) / STEPS))
 
 
+def _order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places in order of context and word; messages are in order, so a sort that merges runs does it."""
+    if not len(word) or (int(context.max()) + 1) * (int(word.max()) + 1) >= 1 << 63:
+        return np.lexsort((word, context))
+    return np.argsort(context.astype(np.int64) * (int(word.max()) + 1) + word, kind="stable")
+
+
 def _look_up(blobs: DataFrame, order: int) -> DataFrame:
-    """Shards of n-grams: build the level of all that were seen in training, and return for each n-gram of each bundle its code,
-    and for pairs its count and number too (code and count 0: not seen). Numbers ascend in a message and go as gaps."""
+    """Shards of n-grams: build the level of all that were seen in training, and return for each n-gram of each bundle how often
+    others have it, and where they do its code, and for pairs its number too. Numbers ascend in a message and go as gaps."""
 
     def run(key, table):
         parts = []
@@ -303,7 +352,7 @@ def _look_up(blobs: DataFrame, order: int) -> DataFrame:
         cuts = np.cumsum([0] + [len(p[0]) for p in parts])
         columns = [np.concatenate([p.pop(0) for p in parts]) for _ in range(4)]
         del parts
-        ranked = np.lexsort((columns[1], columns[0]))
+        ranked, sent = _order(columns[0], columns[1]), columns[2]
         for i in range(4):
             columns[i] = columns[i][ranked]
         context, word, count, context_count = columns
@@ -320,7 +369,7 @@ def _look_up(blobs: DataFrame, order: int) -> DataFrame:
             code, place = level.find(context, word)
             del level
         code = np.maximum(code, 0).astype(np.uint16)
-        place = np.maximum.accumulate(place) + 1  # an unseen pair takes the number before it: no gap
+        place += 1
         repeats = np.diff(np.append(first, len(ranked)))
 
         def spread(x: np.ndarray) -> np.ndarray:
@@ -328,12 +377,15 @@ def _look_up(blobs: DataFrame, order: int) -> DataFrame:
             out[ranked] = np.repeat(x, repeats)
             return out
 
-        code, kind = spread(code), _CODES_2 if order == 2 else _CODES_3
-        more = [spread(_thin(count)), spread(_thin(place))] if order == 2 else []
-        rows = []
+        # only what other bundles add: the count there, and for those the code and the gap to the node's number
+        code, place = spread(code), spread(_thin(place))
+        elsewhere = spread(_thin(count)) - sent
+        kind, rows = _CODES_2 if order == 2 else _CODES_3, []
         for bundle, a, b in zip(table.column("source").to_pylist(), cuts, cuts[1:]):
-            extra = [more[0][a:b], np.diff(more[1][a:b], prepend=0)] if more else []
-            rows.append((bundle, key[0].as_py(), kind, pack(code[a:b], *extra)))
+            some = np.flatnonzero(elsewhere[a:b] > 0) + a
+            rows.append((bundle, key[0].as_py(), kind, pack(elsewhere[a:b], code[some], np.diff(place[some], prepend=0) if order == 2 else place[:0])))
+        del code, place, elsewhere
+        _trim()
         return _rows(rows)
 
     return blobs.groupBy("target").applyInArrow(run, _BLOB)
@@ -345,22 +397,21 @@ def _score(grouped: DataFrame, word_shards: int, shards: int, total: int, distin
     def run(key, table):
         b, found = _open(table, word_shards, shards, total)
         code_2, count_2, number = b.pairs().answers(found[_CODES_2])
-        grams = b.triples(count_2, number)
-        code_3 = np.zeros(len(grams.context) + 1, np.int64)  # the last is for tokens without a triple, whose place is -1
-        for s, data in found[_CODES_3].items():
-            code_3[grams.order[grams.cuts[s] : grams.cuts[s + 1]]] = unpack(data)[0]
+        code_3, *_ = b.triples(count_2, number).answers(found[_CODES_3])
         plain = (b.count + ALPHA) / (total + ALPHA * (distinct + 1))
-        seen = b.count[b.before]
-        two = np.where(seen > 0, unquantised(code_2)[b.pair], 0.0) + context_weight(seen) * plain[b.codes]
-        weight = context_weight(np.where(b.triple >= 0, count_2[b.context], 0), 3)
-        score = np.log10(unquantised(code_3)[b.triple] + weight * two)
+        seen = b.count[b.context]
+        two = np.where(seen > 0, unquantised(code_2)[b.pair], 0.0) + context_weight(seen) * plain[b.word]
+        some = b.triple >= 0
+        score = two.copy()
+        score[some] = unquantised(code_3)[b.triple[some]] + context_weight(count_2[b.before[some]], 3) * two[some]
+        score = np.log10(score)
         doc = np.cumsum(b.codes == 0) - (b.codes == 0)
         n = len(b.ids)
         size = np.bincount(doc, minlength=n)
         return pa.table([
             pa.array(b.ids, pa.int64()), pa.array([held_out(i) for i in b.ids], pa.bool_()), pa.array(size.astype(np.int64)),
-            pa.array(np.bincount(doc, b.count[b.codes] > 0, n).astype(np.int64)), pa.array(np.full(n, total, np.int64)),
-            pa.array(np.bincount(doc, np.log10(plain)[b.codes], n)), pa.array(np.bincount(doc, score, n)),
+            pa.array(np.bincount(doc, b.count[b.word] > 0, n).astype(np.int64)), pa.array(np.full(n, total, np.int64)),
+            pa.array(np.bincount(doc, np.log10(plain)[b.word], n)), pa.array(np.bincount(doc, score, n)),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return grouped.groupBy("target").applyInArrow(run, out)
@@ -371,19 +422,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     word_shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bundles, bundles_path = materialize(_bundles(source), "bundles")
-    numbers, numbers_path = materialize(_number_words(_send_words(bundles, word_shards), word_shards), "numbers")
+    path = scratch_path(spark, "bundles")
+    _bundles(source, word_shards).write.partitionBy("kind").parquet(path)
+    whole = spark.read.schema(_STATE).parquet(path)
+    numbers, numbers_path = materialize(_number_words(whole.where(F.col("kind") == _WORDS).select("target", "source", "data"), word_shards), "numbers")
+    drop_path(spark, f"{path}/kind={_WORDS}")
     totals = [unpack(r["data"]) for r in numbers.where("target = -1").select("data").collect()]  # two numbers from each shard
     total, distinct = (int(sum(int(t[i][0]) for t in totals)) for i in (0, 1))
     shards = shards or max(1, -(-total // SHARD_TOKENS))
-    nothing = F.lit(None)
-    wide = lambda blobs: blobs.select("target", "source", "kind", "data", nothing.cast("array<long>").alias("ids"), nothing.cast("binary").alias("words"), nothing.cast("binary").alias("codes"))
-    state = bundles.select(F.col("bundle").alias("target"), F.lit(-1).cast("long").alias("source"), F.lit(-1).alias("kind"), nothing.cast("binary").alias("data"), "ids", "words", "codes")
-    state, paths = state.unionByName(wide(numbers.where("target >= 0"))), [bundles_path, numbers_path]
+    nothing, columns = F.lit(None), ["target", "source", "kind", "data", "ids", "shards", "codes"]
+    wide = lambda blobs: blobs.select("target", "source", "kind", "data", nothing.cast("array<long>").alias("ids"), nothing.cast("binary").alias("shards"), nothing.cast("binary").alias("codes"))
+    bundles = spark.read.schema(_STATE).parquet(path).where(F.col("kind") == _BUNDLE).select(*columns)
+    state, paths = bundles.unionByName(wide(numbers.where("target >= 0"))), [path, numbers_path]
     for order in (2, 3):
-        codes, path = materialize(_look_up(_send_grams(state, word_shards, shards, total, order), order), f"codes-{order}")
+        codes, codes_path = materialize(_look_up(_send_grams(state, word_shards, shards, total, order), order), f"codes-{order}")
         state = state.unionByName(wide(codes))
-        paths.append(path)
+        paths.append(codes_path)
     scores, _ = materialize(_score(state, word_shards, shards, total, distinct), "scores")
     drop_path(spark, *paths)
     return scores
