@@ -6,11 +6,16 @@ probability of any toxicity, and the likeliest grade.
 
 Features are log(1 + count) of a fixed vocabulary of words (runs of letters, lower case) and of the first letters of longer
 words. The vocabulary is chosen from labelled texts by how much more often a term stands in toxic ones; it is counted once for
-each word before it, so copies of one text don't make its words look typical. Labels are 0/1, so training grades a toxic text by the number of vocabulary
-words that speak for toxicity in it: fewer than 3 grade 1, fewer than 6 grade 2, others grade 3.
+each word before it, so copies of one text don't make its words look typical.
 
-Training uses at most sample_rows labelled documents; scoring covers all texts whole. Null and empty texts have no features.
-No labels, or labels of one kind, give a model without features that rejects nothing.
+Labels above 1 are grades and are taken as they are (at most 3). Where all labels are 0 or 1, toxic texts are graded by cross
+fitting: the labelled texts are halved by the hash of their id, the words that speak for toxicity are found in each half, and a
+text is graded by how many of the other half's words stand in it, cut at the terciles. So no text's label has a part in its
+own grade, and the words that grade it are not those that its own half brings into the model.
+
+Training uses at most sample_rows labelled documents, read once; scoring covers all texts whole. Null and empty texts have no
+features. Of several labels of one id the largest counts; null labels don't. Rows with equal doc_id are each labelled and
+each scored. No labels, or labels of one kind, give a model without features that rejects nothing.
 """
 
 from __future__ import annotations
@@ -25,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, split_words
+from .common import append_columns, drop_path, materialize, split_words
 
 GRADES = 4
-GRADE_FROM = (3, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 5
 
@@ -50,32 +54,38 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
+def loss(p: np.ndarray, x: np.ndarray, grade: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Negative log likelihood of the grades with l2 / 2 |w|^2, and its gradient. p: the weights, the first threshold, and the
+    logarithms of the thresholds' distances."""
+    n, m = x.shape
+    rows, gaps = np.arange(n), np.exp(p[m + 1 :])
+    t = p[m] + np.concatenate([[0.0], np.cumsum(gaps)])
+    z = x @ p[:m]
+    below = 1 / (1 + np.exp(np.clip(z[:, None] - t[None, :], -40, 40)))  # P(grade <= k)
+    full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
+    slope = np.concatenate([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))], axis=1)
+    mass = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-9)
+    upper, lower = slope[rows, grade + 1] / mass, slope[rows, grade] / mass
+    g = np.zeros_like(p)
+    g[:m] = x.T @ (upper - lower) + l2 * p[:m]
+    by_t = np.zeros(GRADES - 1)
+    np.add.at(by_t, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -upper, 0))
+    np.add.at(by_t, np.maximum(grade - 1, 0), np.where(grade > 0, lower, 0))
+    g[m] = by_t.sum()
+    g[m + 1 :] = np.cumsum(by_t[::-1])[::-1][1:] * gaps
+    return float(-np.log(mass).sum() + l2 / 2 * (p[:m] ** 2).sum()), g
+
+
 def fit(x: np.ndarray, grade: np.ndarray, l2: float = 1.0, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the cumulative-link likelihood; thresholds are kept in order by
     fitting the logarithms of their distances."""
     n, m = x.shape
-    k = np.arange(GRADES - 1)
-    share = np.array([(grade <= j).mean() for j in k]).clip(1 / (n + 2), 1 - 1 / (n + 2))
+    share = np.array([(grade <= j).mean() for j in range(GRADES - 1)]).clip(1 / (n + 2), 1 - 1 / (n + 2))
     first = np.log(share / (1 - share))
     p = np.concatenate([np.zeros(m), first[:1], np.log(np.maximum(np.diff(first), 0.05))])
     mean, square = np.zeros_like(p), np.zeros_like(p)
-    rows = np.arange(n)
     for step in range(1, rounds + 1):
-        gaps = np.exp(p[m + 1 :])
-        t = p[m] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = x @ p[:m]
-        below = 1 / (1 + np.exp(np.clip(z[:, None] - t[None, :], -40, 40)))  # P(grade <= k)
-        full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
-        slope = np.concatenate([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))], axis=1)
-        mass = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-9)
-        upper, lower = slope[rows, grade + 1] / mass, slope[rows, grade] / mass
-        g = np.zeros_like(p)
-        g[:m] = x.T @ (upper - lower) + l2 * p[:m]
-        by_t = np.zeros(GRADES - 1)
-        np.add.at(by_t, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -upper, 0))
-        np.add.at(by_t, np.maximum(grade - 1, 0), np.where(grade > 0, lower, 0))
-        g[m] = by_t.sum()
-        g[m + 1 :] = np.cumsum(by_t[::-1])[::-1][1:] * gaps
+        _, g = loss(p, x, grade, l2)
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         p -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return p[:m], p[m] + np.concatenate([[0.0], np.cumsum(np.exp(p[m + 1 :]))])
@@ -101,8 +111,10 @@ def _features(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.nd
 
 
 def _chosen(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    picked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) != 0).alias("__toxic")).dropDuplicates(["__id"])
+    """__id, __text, __grade, __toxic and __half of the labelled documents that are trained on."""
+    picked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.greatest(F.least(F.max(label_col).cast("int"), F.lit(GRADES - 1)), F.lit(0)).alias("__grade"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    picked = picked.select("__id", "__grade", (F.col("__grade") > 0).alias("__toxic"), F.pmod(F.xxhash64(F.lit(1), "__id"), F.lit(2)).cast("int").alias("__half"))
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")  # sample_rows rows at most
 
 
@@ -137,33 +149,42 @@ def _vocabulary(sample: DataFrame, size: int, least_contexts: int) -> list[tuple
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, vocabulary: int = 256, least_contexts: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most sample_rows labelled documents, those whose ids have the smallest hashes."""
-    sample = _chosen(docs, labels, sample_rows, id_col, text_col, label_col)
-    words = _vocabulary(sample, vocabulary, least_contexts)
+    sample, path = materialize(_chosen(docs, labels, sample_rows, id_col, text_col, label_col), "labelled")
+    model = _fitted(sample, vocabulary, least_contexts)
+    drop_path(docs.sparkSession, path)
+    return model
+
+
+def _fitted(sample: DataFrame, vocabulary: int, least_contexts: int) -> Model:
+    words = [w for w, _ in _vocabulary(sample, vocabulary, least_contexts)]
     nothing = Model((), np.zeros(0), np.array([20.0, 21.0, 22.0]))
     if not words:
         return nothing
-    index = {w: i for i, (w, _) in enumerate(words)}
+    halves = [[w for w, speaks in _vocabulary(sample.where(F.col("__half") == h), vocabulary, least_contexts) if speaks] for h in (0, 1)]
+    names = list(dict.fromkeys([*words, *halves[0], *halves[1]]))
+    index = {w: i for i, w in enumerate(names)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").fill_null("")
-            row, feature, count = _features(texts, index)
-            own = [row == i for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__toxic"), pa.array([feature[o].tolist() for o in own], pa.list_(pa.int64())), pa.array([count[o].tolist() for o in own], pa.list_(pa.int64()))], names=["id", "toxic", "f", "n"])
-
-    rows = sample.mapInArrow(sparse, "id string, toxic boolean, f array<long>, n array<long>").toPandas()  # sample_rows rows at most, of vocabulary cells each
-    rows = rows.assign(k=[tuple(f) for f in rows["f"]]).sort_values(["id", "toxic", "k"], kind="stable")
-    toxic = rows["toxic"].to_numpy(bool)
-    if toxic.all() or not toxic.any():
+            row, feature, count = _features(batch.column("__text").fill_null(""), index)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (feature, count)]
+            yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__grade"), batch.column("__half"), *lists], names=["id", "grade", "half", "f", "n"])
+
+    rows = sample.mapInArrow(sparse, "id string, grade int, half int, f array<long>, n array<long>").toPandas()  # sample_rows rows at most, of vocabulary cells each
+    rows = rows.assign(k=[tuple(f) for f in rows["f"]]).sort_values(["id", "grade", "k"], kind="stable")
+    grade, half = rows["grade"].to_numpy(np.int64), rows["half"].to_numpy(np.int64)
+    if (grade > 0).all() or not (grade > 0).any():
         return nothing
-    counts = np.zeros((len(rows), len(words)), np.float64)
+    counts = np.zeros((len(rows), len(names)), np.float64)
     for i, (f, n) in enumerate(zip(rows["f"], rows["n"])):
         counts[i, f] = n
-    speaks = np.array([s for _, s in words])
-    strength = counts[:, speaks].sum(axis=1)
-    grade = np.where(toxic, 1 + sum((strength >= g).astype(int) for g in GRADE_FROM), 0)
-    weights, thresholds = fit(np.log1p(counts), grade)
-    return Model(tuple(w for w, _ in words), weights, thresholds)
+    if grade.max() == 1:
+        strength = np.where(half == 0, counts[:, [index[w] for w in halves[1]]].sum(axis=1), counts[:, [index[w] for w in halves[0]]].sum(axis=1))
+        grade = np.where(grade > 0, 1 + np.searchsorted(np.quantile(strength[grade > 0], [1 / 3, 2 / 3]), strength, side="left"), 0)
+    own = [index[w] for w in words]
+    weights, thresholds = fit(np.log1p(counts[:, own]), grade)
+    return Model(tuple(words), weights, thresholds)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", reject_at: float = 0.5, keep: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ repeated run is the union of its shortest sub-runs of min_words words from each
 are looked up, and all lines that a later copy covers are deleted, with the blank lines between them. Runs are judged on
 the input; the first copy stays.
 
-Null texts stay null, empty ones empty. Rows with equal doc_id and text are one document: they get the same result. Rows
+Null texts stay null and have no lines, empty ones stay empty and have one. Rows with equal doc_id and text are one document: they get the same result. Rows
 with equal doc_id and other texts are ordered by the texts' hashes.
 """
 
@@ -80,9 +80,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, h and runs (first, last), ascending and apart: the lines that later copies cover. docs: doc_id, text, h."""
     spark = docs.sparkSession
     lines, lines_path = materialize(_lines(docs), "lines")
-    twice = lines.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("id")
+    # a table of its own, so that the join reads two plain exchanges, of which adaptive execution splits that of a common line
+    twice, twice_path = materialize(lines.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("id"), "repeated-lines")
     runs, _ = materialize(_run_keys(lines.join(twice, "id", "left_semi"), min_words), "runs")
-    drop_path(spark, lines_path)
+    drop_path(spark, lines_path, twice_path)
     place = F.struct("doc_id", "h", "ord")
     earliest = runs.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("earliest")).where("copies > 1")
     later = runs.join(earliest, ["n", "a", "b"]).where(place != F.col("earliest")).select("doc_id", "h", "first", "last").distinct()
@@ -106,7 +107,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     kept = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     removed = F.aggregate("__runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
     out = joined.withColumns({
-        "n_lines": F.size(lines).cast("long"),
+        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
         "n_removed": F.coalesce(removed, F.lit(0).cast("long")),
         "runs_removed": F.greatest(F.coalesce(F.size("__runs").cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")),
         text_col: F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
@@ -126,4 +127,5 @@ e AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS copy
 x AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM e WHERE copy > 1),
 k AS (SELECT l0.doc_id, string_agg(l0.s, chr(10) ORDER BY l0.line) FILTER (x.line IS NULL) AS kept, count(x.line) AS n_removed, count(*) AS n_lines FROM l0 LEFT JOIN x ON l0.doc_id = x.doc_id AND l0.line = x.line GROUP BY l0.doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """

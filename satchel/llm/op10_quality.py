@@ -183,8 +183,9 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray, min_cover: int = 8, min_
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> list[Rule]:
-    """The list learned from at most sample_rows labelled documents (label 0: bad), those of the smallest hashes."""
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).dropDuplicates(["__id"])
+    """The list learned from at most sample_rows labelled documents (label 0: bad), those of the smallest hashes. Of several
+    labels of one id the smallest counts."""
+    chosen = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")  # sample_rows rows at most
     rows = text_statistics(source, "__text", keep=["__id", "__label"]).selectExpr("__id", "__label", *(f"{x} AS {n}" for n, x in FEATURES.items())).toPandas()
