@@ -85,7 +85,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs, _ = materialize(_run_keys(lines.join(twice, "id", "left_semi"), min_words), "runs")
     drop_path(spark, lines_path, twice_path)
     place = F.struct("doc_id", "h", "ord")
-    earliest = runs.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("earliest")).where("copies > 1")
+    copied = runs.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("earliest")).where("copies > 1").select("n", "a", "b", "earliest")
+    earliest, _ = materialize(copied, "earliest")
     later = runs.join(earliest, ["n", "a", "b"]).where(place != F.col("earliest")).select("doc_id", "h", "first", "last").distinct()
     by_doc = Window.partitionBy("doc_id", "h").orderBy("first", "last")
     reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
