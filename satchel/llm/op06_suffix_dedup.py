@@ -13,7 +13,8 @@ with very many different runs are cut into shards by the windows' distance from
 so memory is bounded by about FAMILY_WINDOWS windows.
 
 Null and empty texts have no bytes. Matches never cross documents; a string's other start may lie in the same document and
-overlap. Rows with equal doc_id and text are copies of each other.
+overlap. Rows with equal doc_id and text are copies of each other; they get the same result. A row is named by two 64-bit hashes of
+its id and text. A null doc_id is an id like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import drop_path, materialize, slices
 
 LENGTH = 200
 GRAM = 64
@@ -98,14 +99,15 @@ class Runs:
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """Runs of all texts: h, g, more (last - first), ahead (anchor - first), keys and firsts of the places in this batch."""
+    """Runs of all texts: h, g, more (last - first), ahead (anchor - first), keys, tails (the second hash of the key) and firsts
+    of the places in this batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Runs(length)
-        names = ["h", "g", "more", "ahead", "keys", "firsts"]
+        names = ["h", "g", "more", "ahead", "keys", "tails", "firsts"]
         for whole in batches:
             for batch in slices(whole, "text", SEGMENT):
-                text, keys = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
+                text, keys, tails = batch.column("text"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tail"))
                 offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
                 data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
                 offsets = offsets - offsets[0]
@@ -127,10 +129,10 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     lead = order[at]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h[lead].view(np.int64)), pa.array(g[lead].view(np.int64)), pa.array((last - first)[lead].astype(np.int32)), pa.array((anchor - first)[lead].astype(np.int32)),
-                        pa.ListArray.from_arrays(cuts, pa.array(keys[doc[order]])), pa.ListArray.from_arrays(cuts, pa.array((first + a - offsets[doc])[order].astype(np.int32))),
+                        pa.ListArray.from_arrays(cuts, pa.array(keys[doc[order]])), pa.ListArray.from_arrays(cuts, pa.array(tails[doc[order]])), pa.ListArray.from_arrays(cuts, pa.array((first + a - offsets[doc])[order].astype(np.int32))),
                     ], names=names)
 
-    return docs.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(run, "h long, g long, more int, ahead int, keys array<long>, firsts array<int>")
+    return docs.select("key", "tail", "text").where(F.octet_length("text") >= length).mapInArrow(run, "h long, g long, more int, ahead int, keys array<long>, tails array<long>, firsts array<int>")
 
 
 class LogIndex:
@@ -167,35 +169,35 @@ class LogIndex:
             self.levels[rank] = (keys, ids)
 
 
-def _ranges(matched: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    doc, start = doc[matched], start[matched]
-    new = np.ones(len(doc), bool)
-    if len(doc):
-        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+def _ranges(matched: np.ndarray, key: np.ndarray, tail: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    key, tail, start = key[matched], tail[matched], start[matched]
+    new = np.ones(len(key), bool)
+    if len(key):
+        new[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
     last = start[np.append(at[1:], len(start)) - 1] if len(at) else start
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "first", "last"])
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(tail[at]), pa.array(start[at].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "tail", "first", "last"])
 
 
 def _pieces(wanted: DataFrame, length: int) -> DataFrame:
     """Runs of one anchor cut by the distance from window to anchor, so that a shard has about FAMILY_WINDOWS windows:
     equal windows have equal distances. Where one distance alone has more, `parts` asks to split it by the windows' bytes.
-    wanted: key, h, first, more, ahead, need, texts (of the anchor). Adds cut and parts."""
+    wanted: key, tail, h, first, more, ahead, need, texts (of the anchor). Adds cut and parts."""
     span = length - GRAM + 1
     width = F.greatest(F.lit(1), F.least(F.lit(span), F.floor(F.lit(FAMILY_WINDOWS) / F.col("texts")))).cast("int")
     out = wanted.withColumns({"width": width, "parts": F.ceil(F.col("texts") / FAMILY_WINDOWS).cast("int")})
     out = out.withColumn("cut", F.explode(F.sequence(F.floor((F.col("ahead") - F.col("more")) / F.col("width")).cast("int"), F.floor(F.col("ahead") / F.col("width")).cast("int"))))
     most = F.least(F.col("ahead"), F.col("cut") * F.col("width") + F.col("width") - 1)
     least = F.greatest(F.col("ahead") - F.col("more"), F.col("cut") * F.col("width"))
-    return out.select("key", "h", "cut", "parts", (F.col("first") + F.col("ahead") - most).alias("first"), (most - least).alias("more"), "need")
+    return out.select("key", "tail", "h", "cut", "parts", (F.col("first") + F.col("ahead") - most).alias("first"), (most - least).alias("more"), "need")
 
 
 def _index_shards(texts: DataFrame, length: int) -> DataFrame:
-    """texts: h, cut, parts, key, first, need, body. (key, first, last) of windows that match another. A shard is what agrees
+    """texts: h, cut, parts, key, tail, first, need, body. (key, tail, first, last) of windows that match another. A shard is what agrees
     in h, cut and, where it is large, the hash of the one window left; shards stream one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, doc, start, need, pending, waiting, last = LogIndex(), [], [], [], [], 0, None
+        family, places, pending, waiting, last = LogIndex(), [[], [], [], []], [], 0, None
 
         def flush() -> None:
             nonlocal pending, waiting
@@ -205,50 +207,50 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
 
         def end() -> pa.RecordBatch:
             flush()
-            return _ranges(family.matched & np.concatenate(need), np.concatenate(doc), np.concatenate(start))
+            key, tail, start, need = (np.concatenate(x) for x in places)
+            return _ranges(family.matched & need, key, tail, start)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("h", "cut", "part", "key", "first", "need", "body")]
-            for *h, key, first, own, body in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("h", "cut", "part", "key", "tail", "first", "need", "body")]
+            for *h, key, tail, first, own, body in zip(*columns):
                 if h != last and len(family.matched) + waiting > FAMILY_WINDOWS:
                     yield end()
-                    family, doc, start, need = LogIndex(), [], [], []
+                    family, places = LogIndex(), [[], [], [], []]
                 last = h
                 view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), length)
                 pending.append(view)
                 waiting += len(view)
-                doc.append(np.full(len(view), key, np.int64))
-                start.append(first + np.arange(len(view)))
-                need.append(np.full(len(view), own))
+                for column, x in zip(places, (np.full(len(view), key, np.int64), np.full(len(view), tail, np.int64), first + np.arange(len(view)), np.full(len(view), own))):
+                    column.append(x)
                 if waiting >= BATCH_WINDOWS:
                     flush()
-        if doc:
+        if places[0]:
             yield end()
 
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("body"), F.col("parts"))).otherwise(0).cast("int")
-    shards = texts.withColumn("part", part).select("h", "cut", "part", "key", "first", "need", "body")
-    return shards.repartition(parts, "h", "cut", "part").sortWithinPartitions("h", "cut", "part", "key", "first").mapInArrow(run, "key long, first int, last int")
+    shards = texts.withColumn("part", part).select("h", "cut", "part", "key", "tail", "first", "need", "body")
+    return shards.repartition(parts, "h", "cut", "part").sortWithinPartitions("h", "cut", "part", "key", "tail", "first").mapInArrow(run, "key long, tail long, first int, last int")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted pieces: h, cut, parts, key, first, need, body."""
-    names = ["h", "cut", "parts", "key", "first", "need", "body"]
+    """The bytes of the wanted pieces: h, cut, parts, key, tail, first, need, body."""
+    names = ["h", "cut", "parts", "key", "tail", "first", "need", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
         size = 0
 
         def give() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
         for batch in batches:
-            for key, text, pieces in zip(*(batch.column(c) for c in ("key", "text", "pieces"))):
+            for key, tail, text, pieces in zip(*(batch.column(c) for c in ("key", "tail", "text", "pieces"))):
                 data = text.as_py().encode()
                 for r in pieces.as_py():
                     body = data[r["first"] : r["first"] + r["more"] + length]
-                    for column, x in zip(out, (r["h"], r["cut"], r["parts"], key.as_py(), r["first"], r["need"], body)):
+                    for column, x in zip(out, (r["h"], r["cut"], r["parts"], key.as_py(), tail.as_py(), r["first"], r["need"], body)):
                         column.append(x)
                     size += len(body) + 64
                     if size > 8 << 20:
@@ -257,32 +259,39 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         if out[0]:
             yield give()
 
-    grouped = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "cut", "parts", "first", "more", "need")).alias("pieces"))
-    return docs.select("key", "text").join(grouped, "key").mapInArrow(run, "h long, cut int, parts int, key long, first int, need boolean, body binary")
+    grouped = wanted.groupBy("key", "tail").agg(F.collect_list(F.struct("h", "cut", "parts", "first", "more", "need")).alias("pieces"))
+    return docs.select("key", "tail", "text").join(grouped, ["key", "tail"]).mapInArrow(run, "h long, cut int, parts int, key long, tail long, first int, need boolean, body binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, first, last: starts of the windows that also start elsewhere. docs: key, text (not null)."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by_run, by_anchor = Window.partitionBy("h", "g"), Window.partitionBy("h")
-    runs = _runs(docs, length).repartition(parts, "h")
-    runs = runs.withColumn("copies", F.sum(F.size("keys")).over(by_run)).withColumn("rank", F.row_number().over(by_run.orderBy(F.element_at("keys", 1), F.element_at("firsts", 1))))
-    runs = runs.withColumn("runs", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(by_anchor)).withColumn("mixed", F.col("runs") > 1)
-    runs, _ = materialize(runs.where("copies > 1 or mixed"), "runs")
-    place = F.explode(F.arrays_zip("keys", "firsts")).alias("p")
-    whole = runs.where("copies > 1").select("more", place).select(F.col("p.keys").alias("key"), F.col("p.firsts").alias("first"), (F.col("p.firsts") + F.col("more")).alias("last"))
-    wanted = runs.where("mixed and rank = 1").select(F.element_at("keys", 1).alias("key"), "h", F.element_at("firsts", 1).alias("first"), "more", "ahead", (F.col("copies") == 1).alias("need"), F.col("runs").alias("texts"))
+    """key, tail, first, last: starts of the windows that also start elsewhere. docs: key, tail, text (not null)."""
+    spark = docs.sparkSession
+    # Runs have a row for each batch that holds them. What a hot anchor or run has is summed up before its rows meet, and the
+    # sums are tables, so that the joins with them read two plain exchanges, which adaptive execution can split.
+    every, every_path = materialize(_runs(docs, length), "all-runs")
+    shared, shared_path = materialize(every.groupBy("h").agg(F.sum(F.size("keys")).alias("places")).where("places > 1").select("h"), "shared-anchors")
+    runs, runs_path = materialize(every.join(shared, "h", "left_semi"), "runs")
+    drop_path(spark, every_path, shared_path)
+    least = F.min(F.struct(F.element_at("keys", 1).alias("key"), F.element_at("tails", 1).alias("tail"), F.element_at("firsts", 1).alias("first")))
+    classes, classes_path = materialize(runs.groupBy("h", "g").agg(F.sum(F.size("keys")).alias("copies"), F.min("more").alias("more"), F.min("ahead").alias("ahead"), least.alias("at")), "classes")
+    anchors, anchors_path = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "anchors")
+    repeated, repeated_path = materialize(classes.where("copies > 1").select("h", "g"), "repeated")
+    place = F.explode(F.arrays_zip("keys", "tails", "firsts")).alias("p")
+    whole = runs.join(repeated, ["h", "g"]).select("more", place).select(F.col("p.keys").alias("key"), F.col("p.tails").alias("tail"), F.col("p.firsts").alias("first"), (F.col("p.firsts") + F.col("more")).alias("last"))
+    whole, _ = materialize(whole, "whole")
+    wanted = classes.join(anchors, "h").select("at.key", "at.tail", "h", "at.first", "more", "ahead", (F.col("copies") == 1).alias("need"), "texts")
     partly, _ = materialize(_index_shards(_bodies(docs, _pieces(wanted, length), length), length), "partly")
+    drop_path(spark, runs_path, classes_path, anchors_path, repeated_path)
     return whole.unionByName(partly)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes and the removed spans."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    source = source.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = repeated_windows(source.select("key", "text"), length)
-    grouped = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    joined = source.join(grouped, "key", "left").select("doc_id", "text", "found")
+    source = source.withColumns({"key": F.xxhash64("doc_id", "text"), "tail": F.xxhash64(F.lit(1), "text", "doc_id")})
+    found = repeated_windows(source.select("key", "tail", "text"), length)
+    grouped = found.groupBy("key", "tail").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    joined = source.join(grouped, ["key", "tail"], "left").select("doc_id", "text", "found")
     more = [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))] if with_kept else []
     kinds = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
     schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in kinds), *more])
