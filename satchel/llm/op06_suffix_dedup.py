@@ -3,8 +3,9 @@
 Distribution. Every `length`-byte window has one anchor: of its GRAM-byte substrings the one of the smallest hash, leftmost
 if tied. It depends on the window's bytes alone, so equal windows have equal anchors at equal places, and meet in the shard of
 the anchor's hash. Neighbouring windows with one anchor are a run; a run is described by the anchor's hash and a hash of all
-its bytes (together 128 bits). Runs with the same description are copies as a whole. Where runs share the anchor only, one
-text of each is read again and its windows go to the index.
+its bytes (together 128 bits). Anchors that stand at one place only are done. Of every other run the index gets the bytes: of
+one place, and of a second where the description occurs again. What the index finds in a run holds for all its places, so
+groups of copies don't travel as text.
 
 Index. Each shard holds a logarithmic family of suffix arrays (here: windows in byte order). A new batch of texts gets its
 suffix array, is merge-scanned against the existing levels for matches of `length` bytes, and becomes a level; levels of the
@@ -169,31 +170,33 @@ class LogIndex:
             self.levels[rank] = (keys, ids)
 
 
-def _ranges(matched: np.ndarray, key: np.ndarray, tail: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    key, tail, start = key[matched], tail[matched], start[matched]
-    new = np.ones(len(key), bool)
-    if len(key):
-        new[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1]) | (start[1:] != start[:-1] + 1)
+def _ranges(matched: np.ndarray, h: np.ndarray, g: np.ndarray, rel: np.ndarray) -> pa.RecordBatch:
+    h, g, rel = h[matched], g[matched], rel[matched]
+    new = np.ones(len(h), bool)
+    if len(h):
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (rel[1:] != rel[:-1] + 1)
     at = np.flatnonzero(new)
-    last = start[np.append(at[1:], len(start)) - 1] if len(at) else start
-    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(tail[at]), pa.array(start[at].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "tail", "first", "last"])
+    last = rel[np.append(at[1:], len(rel)) - 1] if len(at) else rel
+    return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g[at]), pa.array(rel[at].astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "g", "a", "b"])
 
 
 def _pieces(wanted: DataFrame, length: int) -> DataFrame:
     """Runs of one anchor cut by the distance from window to anchor, so that a shard has about FAMILY_WINDOWS windows:
     equal windows have equal distances. Where one distance alone has more, `parts` asks to split it by the windows' bytes.
-    wanted: key, tail, h, first, more, ahead, need, texts (of the anchor). Adds cut and parts."""
+    wanted: key, tail, h, g, first, more, ahead, need, texts (of the anchor). Adds cut and parts, and rel: where a piece starts
+    in its run."""
     span = length - GRAM + 1
     width = F.greatest(F.lit(1), F.least(F.lit(span), F.floor(F.lit(FAMILY_WINDOWS) / F.col("texts")))).cast("int")
     out = wanted.withColumns({"width": width, "parts": F.ceil(F.col("texts") / FAMILY_WINDOWS).cast("int")})
     out = out.withColumn("cut", F.explode(F.sequence(F.floor((F.col("ahead") - F.col("more")) / F.col("width")).cast("int"), F.floor(F.col("ahead") / F.col("width")).cast("int"))))
     most = F.least(F.col("ahead"), F.col("cut") * F.col("width") + F.col("width") - 1)
     least = F.greatest(F.col("ahead") - F.col("more"), F.col("cut") * F.col("width"))
-    return out.select("key", "tail", "h", "cut", "parts", (F.col("first") + F.col("ahead") - most).alias("first"), (most - least).alias("more"), "need")
+    return out.select("key", "tail", "h", "g", "cut", "parts", (F.col("first") + F.col("ahead") - most).alias("first"), (F.col("ahead") - most).alias("rel"), (most - least).alias("more"), "need")
 
 
 def _index_shards(texts: DataFrame, length: int) -> DataFrame:
-    """texts: h, cut, parts, key, tail, first, need, body. (key, tail, first, last) of windows that match another. A shard is what agrees
+    """texts: h, g, cut, parts, rel, need, body. (h, g, a, b): first and last start, in the run of the description (h, g), of
+    windows that match another. A shard is what agrees
     in h, cut and, where it is large, the hash of the one window left; shards stream one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +210,12 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
 
         def end() -> pa.RecordBatch:
             flush()
-            key, tail, start, need = (np.concatenate(x) for x in places)
-            return _ranges(family.matched & need, key, tail, start)
+            h, g, rel, need = (np.concatenate(x) for x in places)
+            return _ranges(family.matched & need, h, g, rel)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("h", "cut", "part", "key", "tail", "first", "need", "body")]
-            for *h, key, tail, first, own, body in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("h", "cut", "part", "g", "rel", "need", "body")]
+            for *h, g, rel, own, body in zip(*columns):
                 if h != last and len(family.matched) + waiting > FAMILY_WINDOWS:
                     yield end()
                     family, places = LogIndex(), [[], [], [], []]
@@ -220,7 +223,7 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
                 view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), length)
                 pending.append(view)
                 waiting += len(view)
-                for column, x in zip(places, (np.full(len(view), key, np.int64), np.full(len(view), tail, np.int64), first + np.arange(len(view)), np.full(len(view), own))):
+                for column, x in zip(places, (np.full(len(view), h[0], np.int64), np.full(len(view), g, np.int64), rel + np.arange(len(view)), np.full(len(view), own))):
                     column.append(x)
                 if waiting >= BATCH_WINDOWS:
                     flush()
@@ -229,28 +232,28 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
 
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("body"), F.col("parts"))).otherwise(0).cast("int")
-    shards = texts.withColumn("part", part).select("h", "cut", "part", "key", "tail", "first", "need", "body")
-    return shards.repartition(parts, "h", "cut", "part").sortWithinPartitions("h", "cut", "part", "key", "tail", "first").mapInArrow(run, "key long, tail long, first int, last int")
+    shards = texts.withColumn("part", part).select("h", "cut", "part", "g", "rel", "need", "body")
+    return shards.repartition(parts, "h", "cut", "part").sortWithinPartitions("h", "cut", "part", "g", "rel").mapInArrow(run, "h long, g long, a int, b int")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted pieces: h, cut, parts, key, tail, first, need, body."""
-    names = ["h", "cut", "parts", "key", "tail", "first", "need", "body"]
+    """The bytes of the wanted pieces: h, g, cut, parts, rel, need, body."""
+    names = ["h", "g", "cut", "parts", "rel", "need", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
         size = 0
 
         def give() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
         for batch in batches:
-            for key, tail, text, pieces in zip(*(batch.column(c) for c in ("key", "tail", "text", "pieces"))):
+            for text, pieces in zip(*(batch.column(c) for c in ("text", "pieces"))):
                 data = text.as_py().encode()
                 for r in pieces.as_py():
                     body = data[r["first"] : r["first"] + r["more"] + length]
-                    for column, x in zip(out, (r["h"], r["cut"], r["parts"], key.as_py(), tail.as_py(), r["first"], r["need"], body)):
+                    for column, x in zip(out, (r["h"], r["g"], r["cut"], r["parts"], r["rel"], r["need"], body)):
                         column.append(x)
                     size += len(body) + 64
                     if size > 8 << 20:
@@ -259,8 +262,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         if out[0]:
             yield give()
 
-    grouped = wanted.groupBy("key", "tail").agg(F.collect_list(F.struct("h", "cut", "parts", "first", "more", "need")).alias("pieces"))
-    return docs.select("key", "tail", "text").join(grouped, ["key", "tail"]).mapInArrow(run, "h long, cut int, parts int, key long, tail long, first int, need boolean, body binary")
+    grouped = wanted.groupBy("key", "tail").agg(F.collect_list(F.struct("h", "g", "cut", "parts", "first", "rel", "more", "need")).alias("pieces"))
+    return docs.select("key", "tail", "text").join(grouped, ["key", "tail"]).select("text", "pieces").mapInArrow(run, "h long, g long, cut int, parts int, rel int, need boolean, body binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -272,17 +275,22 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared, shared_path = materialize(every.groupBy("h").agg(F.sum(F.size("keys")).alias("places")).where("places > 1").select("h"), "shared-anchors")
     runs, runs_path = materialize(every.join(shared, "h", "left_semi"), "runs")
     drop_path(spark, every_path, shared_path)
-    least = F.min(F.struct(F.element_at("keys", 1).alias("key"), F.element_at("tails", 1).alias("tail"), F.element_at("firsts", 1).alias("first")))
-    classes, classes_path = materialize(runs.groupBy("h", "g").agg(F.sum(F.size("keys")).alias("copies"), F.min("more").alias("more"), F.min("ahead").alias("ahead"), least.alias("at")), "classes")
-    anchors, anchors_path = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "anchors")
-    repeated, repeated_path = materialize(classes.where("copies > 1").select("h", "g"), "repeated")
+    at = lambda i: F.struct(F.element_at("keys", i).alias("key"), F.element_at("tails", i).alias("tail"), F.element_at("firsts", i).alias("first"))
+    classes = runs.groupBy("h", "g").agg(F.sum(F.size("keys")).alias("copies"), F.min("more").alias("more"), F.min("ahead").alias("ahead"), F.min(at(1)).alias("one"), F.max(at(-1)).alias("other"))
+    classes, classes_path = materialize(classes, "classes")
+    bodies = F.when(F.col("copies") > 1, 2).otherwise(1)
+    anchors, anchors_path = materialize(classes.groupBy("h").agg(F.sum(bodies).alias("texts")), "anchors")
+    sent = F.array(F.struct("one.*", F.lit(True).alias("need")), F.when(F.col("copies") > 1, F.struct("other.*", F.lit(False).alias("need"))))
+    wanted = classes.join(anchors, "h").select("h", "g", "more", "ahead", "texts", F.explode(F.filter(sent, lambda x: x.isNotNull())).alias("x"))
+    wanted = wanted.select("x.key", "x.tail", "x.first", "x.need", "h", "g", "more", "ahead", "texts")
+    matched, matched_path = materialize(_index_shards(_bodies(docs, _pieces(wanted, length), length), length), "matched")
+    drop_path(spark, classes_path, anchors_path)
+    # two reads of one piece, from repeated rows, give its ranges twice
     place = F.explode(F.arrays_zip("keys", "tails", "firsts")).alias("p")
-    whole = runs.join(repeated, ["h", "g"]).select("more", place).select(F.col("p.keys").alias("key"), F.col("p.tails").alias("tail"), F.col("p.firsts").alias("first"), (F.col("p.firsts") + F.col("more")).alias("last"))
-    whole, _ = materialize(whole, "whole")
-    wanted = classes.join(anchors, "h").select("at.key", "at.tail", "h", "at.first", "more", "ahead", (F.col("copies") == 1).alias("need"), "texts")
-    partly, _ = materialize(_index_shards(_bodies(docs, _pieces(wanted, length), length), length), "partly")
-    drop_path(spark, runs_path, classes_path, anchors_path, repeated_path)
-    return whole.unionByName(partly)
+    everywhere = runs.join(matched.distinct(), ["h", "g"]).select("a", "b", place).select(F.col("p.keys").alias("key"), F.col("p.tails").alias("tail"), (F.col("p.firsts") + F.col("a")).alias("first"), (F.col("p.firsts") + F.col("b")).alias("last"))
+    found, _ = materialize(everywhere, "found")
+    drop_path(spark, runs_path, matched_path)
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
