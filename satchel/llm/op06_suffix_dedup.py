@@ -200,34 +200,52 @@ def _index_shards(texts: DataFrame, length: int) -> DataFrame:
     in h, cut and, where it is large, the hash of the one window left; shards stream one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, places, pending, waiting, last = LogIndex(), [[], [], [], []], [], 0, None
+        family, rows, pending, waiting, last = LogIndex(), [], [], 0, None
 
         def flush() -> None:
             nonlocal pending, waiting
             if pending:
-                family.add(np.ascontiguousarray(np.concatenate(pending)).view(f"S{length}").reshape(-1))
+                family.add(np.concatenate(pending).view(f"S{length}").reshape(-1))
                 pending, waiting = [], 0
 
         def end() -> pa.RecordBatch:
             flush()
-            h, g, rel, need = (np.concatenate(x) for x in places)
-            return _ranges(family.matched & need, h, g, rel)
+            h, g, rel, need, count = (np.concatenate(x) for x in zip(*rows))
+            inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            return _ranges(family.matched & np.repeat(need, count), np.repeat(h, count), np.repeat(g, count), np.repeat(rel, count) + inside)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("h", "cut", "part", "g", "rel", "need", "body")]
-            for *h, g, rel, own, body in zip(*columns):
-                if h != last and len(family.matched) + waiting > FAMILY_WINDOWS:
+            if not batch.num_rows:
+                continue
+            h, cut, part, g, rel, need = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "cut", "part", "g", "rel", "need"))
+            body = batch.column("body")
+            offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body.buffers()[2], np.uint8), length)
+            count = np.diff(offsets) - length + 1
+            before = np.concatenate([[0], np.cumsum(count)])
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1]) | (part[1:] != part[:-1])
+            new[0] = (h[0], cut[0], part[0]) != last
+            last, borders, i = (h[-1], cut[-1], part[-1]), np.flatnonzero(new), 0
+            while i < len(h):
+                full = len(family.matched) + waiting > FAMILY_WINDOWS
+                if full and new[i]:
                     yield end()
-                    family, places = LogIndex(), [[], [], [], []]
-                last = h
-                view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), length)
-                pending.append(view)
-                waiting += len(view)
-                for column, x in zip(places, (np.full(len(view), h[0], np.int64), np.full(len(view), g, np.int64), rel + np.arange(len(view)), np.full(len(view), own))):
-                    column.append(x)
+                    family, rows, full = LogIndex(), [], False
+                j = max(i + 1, int(np.searchsorted(before, before[i] + BATCH_WINDOWS - waiting)))
+                if full:  # up to the next shard at most
+                    k = int(np.searchsorted(borders, i, side="right"))
+                    j = min(j, int(borders[k])) if k < len(borders) else j
+                j = min(j, len(h))
+                own = slice(i, j)
+                at = np.arange(int(before[j] - before[i])) + np.repeat(offsets[own] - (before[own] - before[i]), count[own])
+                pending.append(windows[at])
+                waiting += len(at)
+                rows.append((h[own], g[own], rel[own], need[own], count[own]))
                 if waiting >= BATCH_WINDOWS:
                     flush()
-        if places[0]:
+                i = j
+        if rows:
             yield end()
 
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
