@@ -76,7 +76,7 @@ def loss(p: np.ndarray, x: np.ndarray, grade: np.ndarray, l2: float) -> tuple[fl
     return float(-np.log(mass).sum() + l2 / 2 * (p[:m] ** 2).sum()), g
 
 
-def fit(x: np.ndarray, grade: np.ndarray, l2: float = 1.0, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, grade: np.ndarray, l2: float = 0.3, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the cumulative-link likelihood; thresholds are kept in order by
     fitting the logarithms of their distances."""
     n, m = x.shape

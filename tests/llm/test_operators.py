@@ -293,7 +293,7 @@ def test_log_index():
 ITEMS = [("i1", " ".join(TEXTS[30].split()[:14])), ("i2", "Two Words"), ("i2", "Two Words"), ("i3", None), ("i4", "..."), ("i5", TEXTS[-1][5000:5400])]
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
     got = sorted(op07_decontaminate.contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
     con = duckdb.connect()
@@ -304,6 +304,16 @@ def test_decontamination(spark, docs, empty):
     assert sum(r.contaminated for r in got) >= 3
     clean = op07_decontaminate.drop_contaminated(docs, items)
     assert clean.columns == docs.columns and clean.count() == sum(not r.contaminated for r in got)
+    # null and repeated ids, a null item id, and columns of the operator's own names
+    odd = spark.createDataFrame([(None, "say two words now", "x"), (5, "Two  words!", "x"), (5, "Two  words!", "x"), (5, "none", "x")], "doc_id long, text string, window string").withColumn("hits", F.lit(1))
+    named = items.unionByName(spark.createDataFrame([(None, "words now")], "item_id string, text string")).withColumn("word", F.lit("x"))
+    rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items) for r in op07_decontaminate.contamination(odd, named).collect()]
+    assert sorted(rows, key=str) == sorted([(None, 4, 3, 1, ["i2"]), (5, 2, 2, 1, ["i2"]), (5, 2, 2, 1, ["i2"]), (5, 1, 0, 0, [])], key=str)
+    assert [r.text for r in op07_decontaminate.drop_contaminated(odd, named).collect()] == ["none"]
+    monkeypatch.setattr(op07_decontaminate, "STRETCH", 7)
+    monkeypatch.setattr(op07_decontaminate, "BROADCAST_BYTES", 10)
+    again = op07_decontaminate.contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(again) == got
     assert op07_decontaminate.contamination(docs, items.where("1 = 0")).where("contaminated").count() == 0
     assert op07_decontaminate.contamination(empty, items).count() == 0
 
@@ -350,7 +360,7 @@ def test_toxicity_gradient():
         step[k] = 1e-6
         assert g[k] == pytest.approx((op02_toxicity.loss(p + step, x, grade, 0.7)[0] - op02_toxicity.loss(p - step, x, grade, 0.7)[0]) / 2e-6, rel=1e-4, abs=1e-5)
     w, t = op02_toxicity.fit(x, grade, rounds=4000, rate=0.01)
-    _, g = op02_toxicity.loss(np.concatenate([w, t[:1], np.log(np.diff(t))]), x, grade, 1.0)
+    _, g = op02_toxicity.loss(np.concatenate([w, t[:1], np.log(np.diff(t))]), x, grade, 0.3)
     assert np.abs(g).max() < 0.05
 
 
