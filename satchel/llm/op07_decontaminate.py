@@ -5,8 +5,12 @@ all its words must, so with the words ordered by their rarity in the documents a
 necessary: document words are joined to the windows on it. The word's place must leave room for the whole window on both
 sides (positional bounds), the document must have as many words (length bound), and survivors are verified word by word.
 
-Null and empty texts have no words: no hits. Rows with equal doc_id and text get equal results; equal item_ids count once.
-An empty benchmark leaves every document clean.
+Candidates of a document are checked a stretch of its words at a time, each window once, whatever the number of items that
+have it; items are joined to the windows that did occur.
+
+Null and empty texts have no words: no hits. Rows with equal doc_id and text get equal results, one each; equal item_ids count
+once. A null item_id is no item: its windows hit words but are not counted or listed. An empty benchmark leaves every document
+clean. Other columns of either table are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from .common import lower_ascii, materialize
 #: Everything but digits, a-z and characters beyond ASCII, after A-Z were lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A side of at most so many short rows is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Words of a document whose candidates are held together.
+STRETCH = 2_000
 
 
 def words(col):
@@ -27,7 +33,12 @@ def words(col):
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its rows and the bytes of its strings are within the bounds."""
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        size = size + F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else size + 8
+    rows, held = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
@@ -55,24 +66,36 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     ws = words(F.col("text"))
     placed = source.select("doc_id", "h", ws.alias("ws")).select("doc_id", "h", F.size("ws").alias("n"), F.posexplode("ws").alias("at", "word"))
     begin = F.col("at") - F.col("offset")
-    near = placed.join(_small(anchors), "word").where((begin >= 0) & (begin + F.col("size") <= F.col("n")))
-    near = near.groupBy(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h")).agg(F.collect_set(F.struct(begin.alias("begin"), "size", "window", "item_id")).alias("near"))
+    near = placed.join(_small(anchors.select("word", "offset", "size", "window").distinct()), "word").where((begin >= 0) & (begin + F.col("size") <= F.col("n")))
+    near = near.select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), F.struct(begin.alias("begin"), "size", "window").alias("x"))
+    near = near.groupBy("near_id", "near_h", F.floor(F.col("x.begin") / STRETCH).alias("stretch")).agg(F.collect_set("x").alias("near"))
     same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("h") == F.col("near_h"))
-    rows = source.join(near, same, "left").select("doc_id", ws.alias("ws"), "near")
+    rows = source.join(near, same, "left").select("doc_id", "h", "stretch", ws.alias("ws"), "near")
     hit = F.filter("near", lambda c: F.array_join(F.slice(F.col("ws"), c["begin"] + 1, c["size"]), " ") == c["window"])
-    rows = rows.select("doc_id", F.size("ws").cast("long").alias("n_words"), hit.alias("hits"))
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["begin"], c["begin"] + c["size"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["item_id"])))
-    rows = rows.select("doc_id", "n_words", F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.expr("cast(array() as array<string>)")).alias("items"), F.array_distinct(F.transform("hits", lambda c: F.struct(c["begin"].alias("begin"), (c["begin"] + c["size"]).alias("end")))).alias("spans"))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
+    # written with n_words: else the optimiser moves the splitting of texts into the check of each candidate
+    rows, _ = materialize(rows.select("doc_id", "h", "stretch", F.size("ws").cast("long").alias("n_words"), hit.alias("hits")), "stretches")
+    whole = rows.groupBy("doc_id", "h", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"))
+    whole = whole.groupBy("doc_id", "h").agg(F.max("copies").cast("int").alias("copies"), F.max("n_words").alias("n_words"))
+    key = [F.col("doc_id").alias("_id"), F.col("h").alias("_h")]
+    hits, _ = materialize(rows.where(F.size("hits") > 0).select(*key, F.explode("hits").alias("x")).select("_id", "_h", "x.*").distinct(), "hits")
+    place = F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("size") - 1)).alias("at")
+    counted = hits.select("_id", "_h", place).distinct().groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("n_hit"))
+    named = hits.select("_id", "_h", "window").distinct().join(_small(anchors.where("item_id is not null").select("window", "item_id").distinct()), "window")
+    named = named.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    spans = hits.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct("begin", (F.col("begin") + F.col("size")).alias("end")))).alias("spans"))
+    out = whole
+    for part in (counted, named, spans):
+        out = out.join(part, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").drop("_id", "_h")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows in which a window of an item occurs."""
-    # written first, and with n_words: else the optimiser moves the splitting of texts into the check of each candidate
-    found, _ = materialize(contamination(docs, items, width, id_col, text_col).select("doc_id", "n_words", "n_hit", "contaminated"), "contamination")
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    found = contamination(docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))), items, width, "__key", text_col)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    return keyed.join(bad.withColumnRenamed("__key", "__bad"), F.col("__key").eqNullSafe(F.col("__bad")), "left_anti").drop("__key")
 
 
 ORACLE = """
