@@ -118,33 +118,43 @@ def _chosen(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, t
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")  # sample_rows rows at most
 
 
-def _vocabulary(sample: DataFrame, size: int, least_contexts: int) -> list[tuple[str, bool]]:
-    """The `size` words whose share of toxic contexts is furthest from chance, and if they speak for toxicity."""
+def _vocabularies(sample: DataFrame, size: int, least_contexts: int) -> list[list[tuple[str, bool]]]:
+    """For the whole sample and for each half: the `size` words whose share of toxic contexts is furthest from chance, and if
+    they speak for toxicity. Contexts are counted in one pass."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, before, toxic = [], [], []
-            for text, t in zip(batch.column("__text").to_pylist(), batch.column("__toxic").to_pylist()):
+            words, before, toxic, half = [], [], [], []
+            for text, t, h in zip(*(batch.column(c).to_pylist() for c in ("__text", "__toxic", "__half"))):
                 found = _LETTERS.findall((text or "").lower())
                 for w, b in zip(found, ["", *found[:-1]]):
                     for x in terms(w):
                         words.append(x)
                         before.append(b)
                 toxic += [t] * (len(words) - len(toxic))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.bool_())], names=["word", "before", "toxic"])
-
-    seen = sample.mapInArrow(contexts, "word string, before string, toxic boolean").where(F.length("word") > 2)
-    seen = seen.select("word", F.xxhash64("before").alias("b"), "toxic").distinct()
-    counted = seen.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c"))
-    counted = counted.where(F.col("t") + F.col("c") >= least_contexts)
-    total = seen.agg(F.sum(F.col("toxic").cast("long")), F.sum((~F.col("toxic")).cast("long"))).first()
-    if not total or not total[0] or not total[1]:
-        return []
-    # log odds ratio over its standard deviation
-    odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - float(np.log(total[0] / total[1]))
-    score = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counted.select("word", score.alias("z")).where(F.abs("z") >= 4).orderBy(F.abs("z").desc(), "word").limit(size).collect()
-    return [(r["word"], r["z"] > 0) for r in best]
+                half += [h] * (len(words) - len(half))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.bool_()), pa.array(half, pa.int32())], names=["word", "before", "toxic", "half"])
+
+    seen = sample.mapInArrow(contexts, "word string, before string, toxic boolean, half int").where(F.length("word") > 2)
+    own = lambda h: F.max((F.col("half") == h).cast("long")).alias(f"h{h}")
+    seen = seen.groupBy("word", F.xxhash64("before").alias("b"), "toxic").agg(F.lit(1).cast("long").alias("h"), own(0), own(1))
+    parts = ("h", "h0", "h1")
+    kinds = [(p, k, F.sum(F.when(F.col("toxic") == (k == "t"), F.col(p)).otherwise(0)).alias(f"{k}{p}")) for p in parts for k in "tc"]
+    counted, path = materialize(seen.groupBy("word").agg(*[x for *_, x in kinds]), "vocabulary")
+    totals = counted.agg(*[F.sum(f"{k}{p}").alias(f"{k}{p}") for p, k, _ in kinds]).first()
+    found = []
+    for p in parts:
+        if not totals[f"t{p}"] or not totals[f"c{p}"]:
+            found.append([])
+            continue
+        t, c = F.col(f"t{p}"), F.col(f"c{p}")
+        # log odds ratio over its standard deviation
+        odds = F.log((t + 0.5) / (c + 0.5)) - float(np.log(totals[f"t{p}"] / totals[f"c{p}"]))
+        z = odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        best = counted.where(t + c >= least_contexts).select("word", z.alias("z")).where(F.abs("z") >= 4).orderBy(F.abs("z").desc(), "word").limit(size).collect()
+        found.append([(r["word"], r["z"] > 0) for r in best])
+    drop_path(sample.sparkSession, path)
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, vocabulary: int = 256, least_contexts: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -156,11 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, vocabula
 
 
 def _fitted(sample: DataFrame, vocabulary: int, least_contexts: int) -> Model:
-    words = [w for w, _ in _vocabulary(sample, vocabulary, least_contexts)]
+    whole, *parts = _vocabularies(sample, vocabulary, least_contexts)
+    words, halves = [w for w, _ in whole], [[w for w, speaks in part if speaks] for part in parts]
     nothing = Model((), np.zeros(0), np.array([20.0, 21.0, 22.0]))
     if not words:
         return nothing
-    halves = [[w for w, speaks in _vocabulary(sample.where(F.col("__half") == h), vocabulary, least_contexts) if speaks] for h in (0, 1)]
     names = list(dict.fromkeys([*words, *halves[0], *halves[1]]))
     index = {w: i for i, w in enumerate(names)}
 
