@@ -26,17 +26,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 6 << 20
 
 
+#: The folder of local sessions that name none, made at first use and removed when the driver ends.
+_LOCAL_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Where that is unset, a local session (tests, one machine) gets a
-    temporary one; on a cluster each host would have its own, so there it is an error."""
+    temporary one, whose path this module keeps, since that setting can't be changed in a running session; on a cluster each
+    host would have its own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="satchel-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="satchel-"))
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], True)
+    return _LOCAL_SCRATCH[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
