@@ -83,13 +83,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op4_lm_scoring, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+def op11_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_quality_nbsvm import held_out, score, train
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = train(docs, labels.where(~held_out()))
+    return score(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_divergence import divergence
+
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_spelling import spelling_variants
+
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_simhash, op4_lm_scoring, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_line_dedup, op10_quality_rules, op11_quality_nbsvm, op12_source_divergence, op13_spelling_variants)}
 
 
 def _oracles() -> dict[str, str]:
-    from . import op06_suffix_dedup, op07_decontaminate, op09_line_dedup
+    from . import op06_suffix_dedup, op07_decontaminate, op09_line_dedup, op12_divergence, op13_spelling
 
-    return {"op6_suffix_dedup": op06_suffix_dedup.ORACLE, "op7_decontamination": op07_decontaminate.ORACLE, "op9_line_dedup": op09_line_dedup.ORACLE}
+    return {
+        "op6_suffix_dedup": op06_suffix_dedup.ORACLE, "op7_decontamination": op07_decontaminate.ORACLE, "op9_line_dedup": op09_line_dedup.ORACLE,
+        "op12_source_divergence": op12_divergence.ORACLE, "op13_spelling_variants": op13_spelling.ORACLE,
+    }
 
 
 ORACLES = _oracles()
