@@ -1,13 +1,11 @@
-"""Node trees: children, orphans, pre-order, paths, special folders. Folders are walked level by level; messages join after."""
+"""Node trees: children, orphans, pre-order, paths, special folders. Folders are walked; messages join to theirs after."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels below the top that the walk goes down; nodes deeper than that, or on circles, are what unreached() gives.
-MAX_DEPTH = 90
-
+from .scratch import written, written_counting
 
 def orphans(nodes: DataFrame) -> DataFrame:
     """Nodes without a parent in the table, and those that are their own. nodes: node_id, parent_id."""
@@ -25,30 +23,73 @@ def children(nodes: DataFrame) -> DataFrame:
     return own.select("parent_id", "node_id", (F.row_number().over(Window.partitionBy("parent_id").orderBy("ord", "node_id")) - 1).alias("place"))
 
 
-def walk(nodes: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes reached from the roots: node_id, depth, path (names of the ancestors below the root, joined by slashes) and
-    order_key, by which the rows stand in pre-order. nodes: node_id, parent_id, ord, display_name; roots: node_id. A node that
-    is its own ancestor is not entered again, and levels end at max_depth; the number of rows is not bounded."""
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a large tree is no mistake; max_depth ends every walk
-    nodes.createOrReplaceTempView("_walk_nodes")
-    roots.select("node_id").createOrReplaceTempView("_walk_roots")
-    step = "named_struct('ord', CAST(n.ord AS BIGINT), 'id', n.node_id)"
-    return spark.sql(f"""
-        WITH RECURSIVE reached (node_id, depth, names, order_key) MAX RECURSION LEVEL {max_depth + 5} AS (
-          SELECT n.node_id, 0, CAST(array() AS ARRAY<STRING>), array({step}) FROM _walk_nodes n JOIN _walk_roots r ON n.node_id = r.node_id
-          UNION ALL
-          SELECT n.node_id, p.depth + 1, CASE WHEN p.depth = 0 THEN p.names ELSE array_append(p.names, q.display_name) END, array_append(p.order_key, {step})
-          FROM reached p JOIN _walk_nodes n ON n.parent_id = p.node_id AND n.node_id <> n.parent_id JOIN _walk_nodes q ON q.node_id = p.node_id
-          WHERE p.depth < {max_depth} AND NOT exists(p.order_key, k -> k.id = n.node_id))
-        SELECT node_id, depth, array_join(names, '/') AS path, order_key FROM reached""")
+def _parents(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node_id, parent_id, ord, display_name) with a null parent for roots."""
+    top = roots.select(F.col("node_id").alias("_root")).distinct()
+    marked = nodes.join(top, F.col("node_id") == F.col("_root"), "left")
+    return marked.select("node_id", F.when(F.col("_root").isNull(), F.col("parent_id")).alias("parent_id"), "ord", "display_name")
+
+
+def walk(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes reached from the roots: node_id, depth, path (names of the ancestors below the root, joined by slashes; null names
+    are left out). nodes: node_id (each once), parent_id, ord, display_name; roots: node_id. A walk up ends at the first root.
+
+    By pointer doubling: every node knows an ancestor and the names between; in each round it takes over its ancestor's own
+    pointer and puts the names together, so that depth d takes log2 d joins, at any depth. Nodes that never come to a root (below
+    circles or missing parents) are left out; a round that brings none to the end shows that the rest are such. Rows are as long
+    as paths are; no key gathers rows."""
+    own = _parents(nodes, roots)
+    top = F.col("parent_id").isNull()
+    # far: the ancestor that is known, steps above; path: the names strictly between
+    first = own.select("node_id", "display_name", F.col("parent_id").alias("far"), F.when(top, 0).otherwise(1).alias("steps"), F.lit(None).cast("string").alias("path"), top.alias("done"))
+    first, seen = written_counting(first, "walk", open="not done")
+    done, open_ = first.where("done"), first.where("not done")
+    while seen["open"]:
+        known = done.unionByName(open_).select(F.col("node_id").alias("far"), F.col("display_name").alias("_name"), F.col("far").alias("_far"), F.col("steps").alias("_steps"), F.col("path").alias("_path"), F.col("done").alias("_done"))
+        # the root's own name stands in no path; a part that is empty text counts, one that is null doesn't
+        is_root = F.col("_done") & (F.col("_steps") == 0)
+        parts = F.filter(F.array("_path", F.when(~is_root, F.col("_name")), "path"), lambda x: x.isNotNull())
+        joined = F.when(F.size(parts) > 0, F.array_join(parts, "/"))
+        stepped = open_.join(known, "far").select("node_id", "display_name", F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps"), joined.alias("path"), F.col("_done").alias("done"))
+        stepped, seen = written_counting(stepped, "walk", open="not done", ended="done")
+        if not seen["ended"]:
+            break
+        done, open_ = done.unionByName(stepped.where("done")), stepped.where("not done")
+    return done.select("node_id", F.col("steps").alias("depth"), F.coalesce("path", F.lit("")).alias("path"))
 
 
 def unreached(nodes: DataFrame, walked: DataFrame) -> DataFrame:
-    """Nodes that a walk did not come to: those below no root, on circles, or too deep."""
+    """Nodes that a walk did not come to: those below no root or on circles."""
     return nodes.join(walked.select("node_id").distinct(), "node_id", "left_anti")
 
 
+def preorder(nodes: DataFrame, roots: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    """(node_id, place) of the nodes that a walk comes to: place is the node's number, from 1, in the order in which each node stands
+    before its children and these stand by ord and node_id; roots by ord and node_id, each before the next one's tree.
+
+    Ranks of a tour of the tree: each node is entered and left, the event after each is known from its first child, next sibling
+    or parent, and the events behind each are counted by pointer doubling in log2 of their number rounds. No key of the length of
+    a path is made and nothing is sorted as a whole; the children of one node are ordered by a window."""
+    from pyspark.sql import Window
+
+    reached = (walk(nodes, roots) if walked is None else walked).select("node_id")
+    own = _parents(nodes, roots).join(reached, "node_id", "left_semi")
+    beside = Window.partitionBy("parent_id").orderBy("ord", "node_id")  # roots stand beside one another: their parent is null
+    own = written(own.select("node_id", "parent_id", F.lead("node_id").over(beside).alias("_next"), (F.row_number().over(beside) == 1).alias("_first")), "siblings")
+    first = own.where("_first and parent_id is not null").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"))
+    enter = own.join(first, "node_id", "left").select("node_id", F.lit(True).alias("enter"), F.coalesce("_child", "node_id").alias("to"), F.col("_child").isNotNull().alias("to_enter"))
+    leave = own.select("node_id", F.lit(False).alias("enter"), F.coalesce("_next", "parent_id").alias("to"), F.col("_next").isNotNull().alias("to_enter"))
+    # behind: entries from this event up to the one pointed at, itself included
+    events, seen = written_counting(enter.unionByName(leave).withColumn("behind", F.col("enter").cast("long")), "tour", open="to is not null")
+    while seen["open"]:
+        ahead = events.select(F.col("node_id").alias("to"), F.col("enter").alias("to_enter"), F.col("to").alias("_to"), F.col("to_enter").alias("_to_enter"), F.col("behind").alias("_behind"))
+        moved = events.join(ahead, ["to", "to_enter"], "left")
+        moved = moved.select("node_id", "enter", F.col("_to").alias("to"), F.coalesce("_to_enter", F.lit(False)).alias("to_enter"), (F.col("behind") + F.coalesce("_behind", F.lit(0))).alias("behind"))
+        events, seen = written_counting(moved, "tour", open="to is not null")
+    total = events.agg(F.max("behind")).first()[0] or 0
+    return events.where("enter").select("node_id", (F.lit(total + 1) - F.col("behind")).cast("long").alias("place"))
+
+
 def item_type(special, mask, content_count, subfolders, is_subtree):
     """root, folder, message, wastebasket or finder. A count of 0 counts as there; false subfolders do not."""
     folder = mask.isNotNull() | is_subtree | content_count.isNotNull() | F.coalesce(subfolders, F.lit(False))
@@ -65,8 +106,8 @@ def reroot(children_of: DataFrame, subtree: int, extras: list[int], root: int) -
 
 
 def tree_text(walked: DataFrame, label: str) -> DataFrame:
-    """An indented line for each node, with the key that puts lines in order."""
-    return walked.select("order_key", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col(label)).alias("line"))
+    """An indented line for each node, with the place that puts lines in order. walked: depth, place and the label."""
+    return walked.select("place", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col(label)).alias("line"))
 
 
 def store_name(nodes: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def items(rows: DataFrame) -> DataFrame:
 
 def paths(rows: DataFrame) -> DataFrame:
     """items() with folder: the names from below the root to the folder an item lies in, joined by slashes; empty below the root,
-    null for items under no root, on circles or too deep. Only folders are walked; messages join to theirs."""
+    null for items under no root or on circles. Only folders are walked; messages join to theirs."""
     all_items = items(rows)
     key = lambda c: F.concat_ws("\x00", "file", c)
     folders = all_items.where("item_type <> 'message'").select(key("item_id").alias("node_id"), key("parent_id").alias("parent_id"), F.lit(0).alias("ord"), F.coalesce("name", F.lit("")).alias("display_name"), "item_type")

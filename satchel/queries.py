@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import dictionary as names
 from .functions import binary, text
 from .operators import messages, people, properties, store, tree
+from .operators.scratch import fresh_path, written
 from .plans import synth
 from .plans.synth import derive, table
 
@@ -171,11 +172,13 @@ def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).select("node_id", "depth", "path")
 
 
-@register(f"{_WALK}, o AS (SELECT node_id, row_number() OVER (ORDER BY k) AS place FROM (SELECT w.node_id, CASE WHEN depth = 0 THEN '' WHEN depth = 1 THEN printf('%06d', w.node_id) ELSE printf('%06d', n.parent_id) || printf('%06d', w.node_id) END AS k FROM w JOIN nodes n ON w.node_id = n.node_id)) SELECT node_id, place FROM o")
-def folder_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+_PLACES = "o AS (SELECT node_id, row_number() OVER (ORDER BY k) AS place FROM (SELECT w.node_id, CASE WHEN depth = 0 THEN '' WHEN depth = 1 THEN printf('%06d', w.node_id) ELSE printf('%06d', n.parent_id) || printf('%06d', w.node_id) END AS k FROM w JOIN nodes n ON w.node_id = n.node_id))"
 
-    return _folders(spark, sf_dir).select("node_id", F.row_number().over(Window.orderBy("order_key")).cast("long").alias("place"))  # folders only
+
+@register(f"{_WALK}, {_PLACES} SELECT node_id, place FROM o")
+def folder_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = derive(spark, sf_dir, synth.NODES)
+    return tree.preorder(nodes, nodes.where("node_id = 33"))
 
 
 _MESSAGES = f"{_WALK}, m AS (SELECT c.node_id, CASE WHEN w.path = '' THEN w.display_name ELSE w.path || '/' || w.display_name END AS path FROM c JOIN w ON c.parent_id = w.node_id)"
@@ -566,9 +569,30 @@ def store_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.store_name(derive(spark, sf_dir, synth.NODES))
 
 
-@register(f"{_WALK} SELECT repeat('  ', depth) || '- ' || display_name AS line FROM w")
+@register(f"{_WALK}, {_PLACES} SELECT place, repeat('  ', depth) || '- ' || display_name AS line FROM w JOIN o USING (node_id)")
 def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.tree_text(_folders(spark, sf_dir), "display_name").select("line")
+    nodes = derive(spark, sf_dir, synth.NODES)
+    walked = _folders(spark, sf_dir)
+    return tree.tree_text(walked.join(tree.preorder(nodes, nodes.where("node_id = 33"), walked), "node_id"), "display_name")
+
+
+#: Threads: an order answers the customer's order before it, the first one is a top; of every thirtieth customer the first order
+#: answers the last, so that the thread is a circle.
+_THREADS = """SELECT o_orderkey AS node_id, CASE WHEN k > 1 THEN before WHEN o_custkey % 30 = 0 THEN latest ELSE o_orderkey END AS parent_id, o_custkey AS ord, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('m', o_orderkey % 97) END AS display_name
+ FROM (SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, max(o_orderkey) OVER (PARTITION BY o_custkey) AS latest FROM orders) x"""
+
+
+@register(f"""WITH RECURSIVE nodes AS ({_THREADS}), w(node_id, depth, path, display_name, top, top_ord) AS (SELECT node_id, 0, CAST(NULL AS VARCHAR), display_name, node_id, ord FROM nodes WHERE node_id = parent_id AND ord % 30 <> 0
+ UNION ALL SELECT n.node_id, w.depth + 1, CASE WHEN w.depth > 0 THEN nullif(concat_ws('/', w.path, w.display_name), '') END, n.display_name, w.top, w.top_ord FROM w JOIN nodes n ON n.parent_id = w.node_id AND n.node_id <> n.parent_id)
+ SELECT n.node_id, coalesce(w.depth, -1) AS depth, CASE WHEN w.node_id IS NOT NULL THEN coalesce(path, '') END AS path, coalesce(p.place, -1) AS place FROM nodes n LEFT JOIN w ON n.node_id = w.node_id
+ LEFT JOIN (SELECT node_id, row_number() OVER (ORDER BY top_ord, top, depth) AS place FROM w) p ON n.node_id = p.node_id""")
+def thread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, path and pre-order of long threads; those on circles have none."""
+    nodes = written(derive(spark, sf_dir, _THREADS), "threads")
+    tops = nodes.where("node_id = parent_id AND ord % 30 <> 0")
+    walked = tree.walk(nodes, tops)
+    out = nodes.select("node_id").join(walked, "node_id", "left").join(tree.preorder(nodes, tops, walked), "node_id", "left")
+    return out.select("node_id", _or(-1, "depth"), "path", _or(-1, "place"))
 
 
 @register("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'string8' ELSE '0x7777' END AS type_name, CASE p_partkey % 2 WHEN 0 THEN 'subject' ELSE '0x6666' END AS prop_name FROM part")

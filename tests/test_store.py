@@ -131,9 +131,36 @@ def test_circular_and_large_trees(spark):
     assert {r.node_id for r in tree.unreached(nodes, walked).collect()} == {"x", "y"}
     wide = spark.range(1, 1_200_001, numPartitions=4).selectExpr("id AS node_id", "0L AS parent_id", "0 AS ord", "'n' AS display_name").union(spark.sql("SELECT 0L, 0L, 0, 'root'"))
     assert tree.walk(wide, wide.where("node_id = 0")).count() == 1_200_001
-    deep = spark.range(40).selectExpr("id AS node_id", "id - 1 AS parent_id", "0 AS ord", "'n' AS display_name")
-    walked = tree.walk(deep, deep.where("node_id = 0"), max_depth=30)
-    assert walked.count() == 31 and tree.unreached(deep, walked).count() == 9
+    assert tree.preorder(wide, wide.where("node_id = 0"), tree.walk(wide, wide.where("node_id = 0"))).agg(F.countDistinct("place")).first()[0] == 1_200_001
+
+
+def test_deep_tree(spark):
+    """A chain of 10,000 levels with side branches and a circle beside it: no limit of depth, paths and order of all nodes."""
+    n = 10_000
+    rows = [(i, max(i - 1, 0), 1, f"{i % 7}") for i in range(n)] + [(n + i, i * 100, 0, "b") for i in range(50)] + [(n + 100, n + 101, 0, "x"), (n + 101, n + 100, 0, "y"), (n + 102, n + 101, 0, "z")]
+    nodes = spark.createDataFrame(rows, "node_id long, parent_id long, ord int, display_name string")
+    walked = tree.walk(nodes, nodes.where("node_id = 0")).cache()
+    assert walked.count() == n + 50 and {r.node_id for r in tree.unreached(nodes, walked).collect()} == {n + 100, n + 101, n + 102}
+    names = [f"{i % 7}" for i in range(n)]
+    found = {r.node_id: (r.depth, r.path) for r in walked.where(f"node_id >= {n} OR node_id % 1000 = 999").collect()}
+    assert all(found[i] == (i, "/".join(names[1:i])) for i in range(999, n, 1000)) and all(found[n + i] == (i * 100 + 1, "/".join(names[1 : i * 100 + 1])) for i in range(50))
+    places = {r.node_id: r.place for r in tree.preorder(nodes, nodes.where("node_id = 0"), walked).collect()}
+    want, place = {}, 0
+    for i in range(n):
+        want[i] = place = place + 1
+        if i % 100 == 0 and i < 5000:
+            want[n + i // 100] = place = place + 1
+    assert places == want
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000"
+
+
+def test_several_roots(spark):
+    rows = [("b", None, 1, "B"), ("a", "a", 0, "A"), ("c", "a", 5, None), ("d", "c", 0, ""), ("e", "d", 0, "E"), ("f", "missing", 0, "F"), ("g", "b", 0, "G"), ("h", "g", 0, "H"), (None, "b", 3, "N")]
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, ord int, display_name string")
+    tops = nodes.where("node_id in ('a', 'b')")
+    assert {(r.node_id, r.depth, r.path) for r in tree.walk(nodes, tops).collect() if r.node_id} == {("a", 0, ""), ("b", 0, ""), ("c", 1, ""), ("d", 2, ""), ("e", 3, ""), ("g", 1, ""), ("h", 2, "G")}
+    order = sorted((r.place, r.node_id) for r in tree.preorder(nodes.where("node_id is not null"), tops).collect())
+    assert [x for _, x in order] == ["a", "c", "d", "e", "b", "g", "h"]
 
 
 def test_empty_tables(spark):
