@@ -1,104 +1,77 @@
-"""Radix tries over byte strings with a counter for each source at their leaves, and their form as a table row.
-
-A row holds the nodes of a trie in pre-order, children in byte order (which is the order of code points): the label of the edge
-to each node, its number of children and of counters, and the counters one after another. A trie read from rows of other tasks
-is merged key by key into the trie at hand.
-"""
+"""Radix tries over byte strings, loaded from sorted keys, and their form as columns: the nodes in pre-order, children in byte order
+(which is the order of code points), with the label of the edge to each node, its number of children and whether a key ends there.
+What belongs to keys stands outside, in the order of keys, so that tries merge by their traversals."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 
 class Node:
-    __slots__ = ("label", "kids", "counts", "docs")
-
-    def __init__(self, label: bytes):
-        self.label, self.kids, self.counts, self.docs = label, {}, None, 0
-
-
-class Trie:
-    """Keys are byte strings; a key's node has counts (by source number) and docs."""
-
-    __slots__ = ("root", "n_counters", "longest")
-
-    def __init__(self):
-        self.root, self.n_counters, self.longest = Node(b""), 0, 0
-
-    def node(self, key: bytes) -> Node:
-        """The node of a key, made if it isn't there; an edge that the key leaves half way is split."""
-        node, at, end = self.root, 0, len(key)
-        if end > self.longest:
-            self.longest = end
-        while at < end:
-            kid = node.kids.get(key[at])
-            if kid is None:
-                kid = node.kids[key[at]] = Node(key[at:])
-                return kid
-            label = kid.label
-            if key.startswith(label, at):
-                node, at = kid, at + len(label)
-                continue
-            same = 1
-            while at + same < end and label[same] == key[at + same]:
-                same += 1
-            middle = node.kids[key[at]] = Node(label[:same])
-            kid.label = label[same:]
-            middle.kids[label[same]] = kid
-            node, at = middle, at + same
-        return node
-
-    def add(self, key: bytes, source: int, count: int, docs: int) -> None:
-        node = self.node(key)
-        if node.counts is None:
-            node.counts = {}
-        if source not in node.counts:
-            self.n_counters += 1
-            node.counts[source] = count
+    __slots__ = ("label", "kids", "ends")
+
+    def __init__(self, label: bytes, ends: bool = False):
+        self.label, self.kids, self.ends = label, [], ends
+
+
+def load(keys: Iterable[bytes]) -> Node:
+    """The root of the trie of keys that are sorted and different: each key leaves the path of the one before at their common
+    prefix, where an edge is split if there is no node."""
+    root = Node(b"")
+    path, depths, before = [root], [0], b""
+    for key in keys:
+        same, most = 0, min(len(before), len(key))
+        while same < most and before[same] == key[same]:
+            same += 1
+        below = None
+        while depths[-1] > same:
+            depths.pop()
+            below = path.pop()
+        if depths[-1] < same:
+            cut = same - depths[-1]
+            middle = Node(below.label[:cut])
+            below.label = below.label[cut:]
+            path[-1].kids[-1] = middle
+            middle.kids.append(below)
+            path.append(middle)
+            depths.append(same)
+        if same == len(key):  # the empty key
+            path[-1].ends = True
         else:
-            node.counts[source] += count
-        node.docs += docs
-
-    def nodes(self) -> Iterator[tuple[bytes, Node]]:
-        """(path, node) of all nodes in pre-order and byte order."""
-        stack = [(b"", self.root)]
-        while stack:
-            path, node = stack.pop()
-            yield path, node
-            if node.kids:
-                stack += [(path + kid.label, kid) for _, kid in sorted(node.kids.items(), reverse=True)]
-
-    def leaves(self) -> Iterator[tuple[bytes, Node]]:
-        """(key, node) in byte order."""
-        return ((path, node) for path, node in self.nodes() if node.counts is not None)
-
-
-def to_row(trie: Trie, sources: list[str]) -> dict:
-    """The columns of a trie: labels, kids, sizes, docs (of all nodes in pre-order), src and n (of all counters), and the
-    names of the sources that src counts through."""
-    labels, kids, sizes, docs, src, n, used = [], [], [], [], [], [], {}
-    for _, node in trie.nodes():
+            leaf = Node(key[same:], True)
+            path[-1].kids.append(leaf)
+            path.append(leaf)
+            depths.append(len(key))
+        before = key
+    return root
+
+
+def columns(root: Node) -> tuple[list[bytes], list[int], list[bool]]:
+    """(labels, numbers of children, key ends here) of all nodes in pre-order."""
+    labels, kids, ends, stack = [], [], [], [root]
+    while stack:
+        node = stack.pop()
         labels.append(node.label)
         kids.append(len(node.kids))
-        docs.append(node.docs)
-        sizes.append(len(node.counts or ()))
-        for s, count in (node.counts or {}).items():
-            src.append(used.setdefault(s, len(used)))
-            n.append(count)
-    return {"n_leaves": len(n), "longest": trie.longest, "sources": [sources[s] for s in used], "labels": labels, "kids": kids, "sizes": sizes, "docs": docs, "src": src, "n": n}
-
-
-def row_keys(row: dict) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
-    """(key, docs, counters by source name) of the keys of a row, in byte order."""
-    names, at, open_ = row["sources"], 0, []
-    for label, kids, size, docs in zip(row["labels"], row["kids"], row["sizes"], row["docs"]):
-        while open_ and open_[-1][1] == 0:
-            open_.pop()
-        path = label
-        if open_:
-            path = open_[-1][0] + label
-            open_[-1][1] -= 1
-        open_.append([path, kids])
-        if size:
-            yield path, docs, [(names[row["src"][i]], row["n"][i]) for i in range(at, at + size)]
-            at += size
+        ends.append(node.ends)
+        if node.kids:
+            stack += reversed(node.kids)
+    return labels, kids, ends
+
+
+def keys_of(labels: Iterable[bytes], kids: Iterable[int], ends: Iterable[bool]) -> list[bytes]:
+    """The keys of a trie in order, or of several whose columns stand one after another."""
+    out, paths, left = [], [], []
+    for label, n, end in zip(labels, kids, ends):
+        while left and not left[-1]:
+            paths.pop()
+            left.pop()
+        if left:
+            left[-1] -= 1
+            label = paths[-1] + label
+        if end:
+            out.append(label)
+        if n:
+            paths.append(label)
+            left.append(n)
+    return out

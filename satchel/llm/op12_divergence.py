@@ -1,6 +1,6 @@
 """Source divergence audit: how far apart the term frequencies of a language's sources are, and which terms tell a source.
 
-1. Each task counts the terms of its documents into byte tries, one for each language and first two bytes, with a counter for
+1. Each task counts the terms of its documents into byte tries, one for each language and first three bytes, with a counter for
    each source at the leaves, and gives them as rows (byte_trie). A task's tries are given out early when they have many leaves.
 2. Ranges of a prefix with too many counters are cut at a longer prefix, again and again; a range of one term that as many
    tasks have is merged in groups of tasks first. Then all rows of a range are merged: what is in memory is bounded by
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_trie import Trie, row_keys, to_row
+from .byte_trie import columns, keys_of, load
 from .common import drop_path, materialize, slices, texts_of
 
 #: Bytes that stand in terms become themselves, A-Z their lower case, all others blanks. Bytes of other characters than ASCII are
@@ -39,11 +40,13 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0
 _BREAK = re.compile(rb"[^A-Za-z\x80-\xff]")
 #: Texts of more bytes are counted piece by piece, cut between terms.
 PIECE_BYTES = 4 << 20
-#: Counters that a task holds before it gives its tries out, and that one merged range may have.
-TASK_LEAVES, RANGE_LEAVES = 1_000_000, 500_000
+#: Counters that a task holds before it gives its tries out, and that one merged range may have; groups of a task; the length of
+#: the prefixes by which ranges are cut at first.
+TASK_LEAVES, RANGE_LEAVES, MOST_GROUPS, FIRST_DEPTH = 1_000_000, 500_000, 1 << 20, 3
 MIN_DOCS, TOP = 10, 10
-_TRIE = "n_leaves long, longest int, sources array<string>, labels array<binary>, kids array<int>, sizes array<int>, docs array<long>, src array<int>, n array<long>"
-_ROW = f"lang string, prefix binary, task long, {_TRIE}"
+#: A trie as a row: its nodes in pre-order, and of each key its documents and the counters of as many sources as sizes says.
+_ROW = "lang string, prefix binary, task long, n_leaves long, longest int, sources array<string>, labels array<binary>, kids array<int>, ends array<boolean>, docs array<long>, sizes array<int>, src array<int>, n array<long>"
+_COLUMNS = [c.split(" ")[0] for c in _ROW.split(", ")]
 _KEPT = "lang string, terms array<string>, ends array<int>, sources array<string>, src array<int>, n array<long>, totals array<long>"
 
 
@@ -60,65 +63,63 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 
 def count_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(row, term number, occurrences) of the distinct terms of each text, and the terms."""
-    flat, lengths, weights = [], [], []
-    for raw in texts.cast(pa.binary()).to_pylist():
+    flat, lengths, long_rows = [], [], {}
+    for i, raw in enumerate(texts.cast(pa.binary()).to_pylist()):
         if len(raw) > PIECE_BYTES:
-            counted = Counter()
+            counted = long_rows[i] = Counter()
             for piece in _pieces(raw):
                 counted.update(piece.translate(_TABLE).split())
-            words, weight = list(counted), np.fromiter(counted.values(), np.int64, len(counted))
+            words = list(counted)
         else:
             words = raw.translate(_TABLE).split()
-            weight = np.ones(len(words), np.int64)
         flat += words
         lengths.append(len(words))
-        weights.append(weight)
     coded = pa.array(flat, pa.large_binary()).dictionary_encode()
-    terms = coded.dictionary.to_pylist()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    pairs, place = np.unique(row * max(len(terms), 1) + code, return_inverse=True)
-    occurrences = np.zeros(len(pairs), np.int64)
-    np.add.at(occurrences, place, np.concatenate(weights) if weights else np.zeros(0, np.int64))
-    return pairs // max(len(terms), 1), pairs % max(len(terms), 1), occurrences, terms
-
-
-class _Tries:
-    """The tries of a task, by language and prefix of the given length."""
-
-    def __init__(self, depth: int = 2):
-        self.depth, self.tries, self.sources, self.numbers, self.n = depth, {}, [], {}, 0
-
-    def source(self, name: str) -> int:
-        if name not in self.numbers:
-            self.numbers[name] = len(self.sources)
-            self.sources.append(name)
-        return self.numbers[name]
-
-    def add(self, lang: str, key: bytes, source: int, count: int, docs: int) -> None:
-        place = (lang, key[: self.depth])
-        trie = self.tries.get(place)
-        if trie is None:
-            trie = self.tries[place] = Trie()
-        before = trie.n_counters
-        trie.add(key, source, count, docs)
-        self.n += trie.n_counters - before
-
-    def give(self) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        out, leaves = [], 0
-        for (lang, prefix), trie in self.tries.items():
-            out.append({"lang": lang, "prefix": prefix, "task": task, **to_row(trie, self.sources)})
-            leaves += trie.n_counters
-            if leaves > 100_000 or len(out) >= 2000:
-                yield _batch(out, _ROW)
-                out, leaves = [], 0
-        if out:
-            yield _batch(out, _ROW)
-        self.__init__(self.depth)
-
-
-_ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+    terms, size = coded.dictionary.to_pylist(), max(len(coded.dictionary), 1)
+    pairs = np.repeat(np.arange(len(lengths)) * size, lengths) + coded.indices.to_numpy(zero_copy_only=False)
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(pairs)))
+    pairs = pairs[first]
+    row, code = pairs // size, pairs % size
+    for i, counted in long_rows.items():  # their terms stand here once each
+        own = np.flatnonzero(row == i)
+        times[own] = [counted[terms[c]] for c in code[own].tolist()]
+    return row, code, times, terms
+
+
+def _rows(lang: str, keys: list[bytes], sizes: np.ndarray, src: np.ndarray, n: np.ndarray, docs: np.ndarray, names: list[str], depth: int) -> Iterator[dict]:
+    """A trie for each prefix of `depth` bytes. keys: sorted; src and n: the counters of one key after another."""
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(keys):
+        prefix, b = keys[a][:depth], a + 1
+        while b < len(keys) and keys[b].startswith(prefix) and len(prefix) == depth:
+            b += 1
+        labels, kids, ends = columns(load(keys[a:b]))
+        own = slice(edges[a], edges[b])
+        used, place = np.unique(src[own], return_inverse=True)
+        yield {
+            "lang": lang, "prefix": prefix, "task": task, "n_leaves": len(place), "longest": max(map(len, keys[a:b])), "sources": [names[k] for k in used.tolist()],
+            "labels": labels, "kids": kids, "ends": ends, "docs": docs[a:b], "sizes": sizes[a:b], "src": place, "n": n[own],
+        }
+        a = b
+
+
+def _batches(rows: Iterator[dict], schema: str) -> Iterator[pa.RecordBatch]:
+    waiting, leaves = [], 0
+    for row in rows:
+        waiting.append(row)
+        leaves += row["n_leaves"]
+        if leaves > 100_000 or len(waiting) >= 5000:
+            yield _batch(waiting, schema)
+            waiting, leaves = [], 0
+    if waiting:
+        yield _batch(waiting, schema)
+
+
+_ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def _schema(text: str) -> pa.Schema:
@@ -131,74 +132,126 @@ def _schema(text: str) -> pa.Schema:
 
 
 def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=_schema(schema))
+    fields = _schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name] for row in rows], f.type) for f in fields], schema=fields)
+
+
+class _Counts:
+    """The counts of a task: numbers of groups and terms, and the sums of what was seen of both."""
+
+    def __init__(self):
+        self.groups, self.terms, self.waiting, self.n_waiting = {}, {}, [], 0
+        self.key, self.times, self.docs = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, groups: list[tuple[str, str]], texts: pa.Array) -> None:
+        row, code, times, terms = count_terms(texts)
+        group = np.fromiter((self.groups.setdefault(g, len(self.groups)) for g in groups), np.int64, len(groups))
+        number = np.fromiter((self.terms.setdefault(t, len(self.terms)) for t in terms), np.int64, len(terms))
+        if len(row):
+            self.waiting.append((number[code] << 24 | group[row], times, np.ones(len(row), np.int64)))
+            self.n_waiting += len(row)
+        if self.n_waiting > TASK_LEAVES:
+            self.sum()
+
+    def sum(self) -> None:
+        key, times, docs = (np.concatenate(x) for x in zip((self.key, self.times, self.docs), *self.waiting))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.key = key[first]
+        self.times, self.docs = (np.add.reduceat(x[order], first) if len(first) else x for x in (times, docs))
+        self.waiting, self.n_waiting = [], 0
+
+    def tries(self) -> Iterator[dict]:
+        """Rows of the tries of all that was counted; the counts are empty afterwards."""
+        self.sum()
+        groups, terms = list(self.groups), list(self.terms)
+        langs: dict[str, int] = {}
+        names: dict[str, int] = {}
+        lang = np.array([langs.setdefault(g[0], len(langs)) for g in groups], np.int64)
+        source = np.array([names.setdefault(g[1], len(names)) for g in groups], np.int64)
+        rank = np.empty(len(terms), np.int64)
+        order = pc.sort_indices(pa.array(terms, pa.large_binary())).to_numpy() if terms else np.zeros(0, np.int64)
+        rank[order] = np.arange(len(terms))
+        group, place = self.key & 0xFFFFFF, rank[self.key >> 24]
+        for name, x in langs.items():
+            own = np.flatnonzero(lang[group] == x)
+            own = own[np.argsort(place[own], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], place[own][1:] != place[own][:-1]])) if len(own) else np.zeros(0, np.int64)
+            if len(own):
+                keys = [terms[k] for k in order[place[own][first]].tolist()]
+                sizes = np.diff(np.append(first, len(own)))
+                yield from _rows(name, keys, sizes, source[group[own]], self.times[own], np.add.reduceat(self.docs[own], first), list(names), FIRST_DEPTH)
+        self.__init__()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries = _Tries()
+    counts = _Counts()
     for whole in batches:
         for batch in slices(whole, "text"):
-            langs, sources = batch.column(0).to_pylist(), [tries.source(s) for s in batch.column(1).to_pylist()]
-            row, code, times, terms = count_terms(texts_of(batch, "text"))
-            groups = list(dict.fromkeys(zip(langs, sources)))
-            number = {g: i for i, g in enumerate(groups)}
-            own = np.array([number[g] for g in zip(langs, sources)], np.int64)[row] if len(row) else row
-            size = max(len(terms), 1)
-            keys, place, docs = np.unique(own * size + code, return_inverse=True, return_counts=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, place, times)
-            for key, n, d in zip(keys.tolist(), total.tolist(), docs.tolist()):
-                lang, source = groups[key // size]
-                tries.add(lang, terms[key % size], source, n, d)
-            if tries.n > TASK_LEAVES:
-                yield from tries.give()
-    yield from tries.give()
+            counts.add(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), texts_of(batch, "text"))
+            if len(counts.key) > TASK_LEAVES or len(counts.groups) > MOST_GROUPS:
+                yield from _batches(counts.tries(), _ROW)
+    yield from _batches(counts.tries(), _ROW)
+
+
+class _Merged:
+    """The keys of all tries of a table, in order, with the sums of their counters: keys, docs, and sizes, src, n of counters; names
+    of sources."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch):
+        flat = {}
+        for name in ("labels", "kids", "ends", "docs", "sizes", "src", "n", "sources"):
+            column = table.column(name)
+            flat[name] = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+        number: dict[str, int] = {}
+        of_row = np.array([number.setdefault(s, len(number)) for s in flat["sources"].to_pylist()], np.int64)
+        lengths = lambda name: pc.list_value_length(table.column(name)).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else pc.list_value_length(table.column(name)).to_numpy()
+        shift = np.repeat(np.concatenate([[0], np.cumsum(lengths("sources"))])[:-1], lengths("src"))
+        src = of_row[shift + flat["src"].to_numpy()] if len(shift) else shift
+        found = keys_of(flat["labels"].to_pylist(), flat["kids"].to_pylist(), flat["ends"].to_pylist())
+        self.keys = sorted(set(found))
+        place = {k: i for i, k in enumerate(self.keys)}
+        at = np.fromiter((place[k] for k in found), np.int64, len(found))
+        self.docs = np.zeros(len(self.keys), np.int64)
+        np.add.at(self.docs, at, flat["docs"].to_numpy())
+        self.names = list(number)
+        size = max(len(self.names), 1)
+        pairs, own = np.unique(np.repeat(at, flat["sizes"].to_numpy()) * size + src, return_inverse=True)
+        self.n = np.zeros(len(pairs), np.int64)
+        np.add.at(self.n, own, flat["n"].to_numpy())
+        self.src, self.sizes = pairs % size, np.bincount(pairs // size, minlength=len(self.keys))
 
 
 def _recut(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                tries = _Tries(depth)
-                for key, docs, counts in row_keys(row):
-                    for k, (name, n) in enumerate(counts):
-                        tries.add(row["lang"], key, tries.source(name), n, docs if k == 0 else 0)
-                yield from tries.give()
+                row = batch.slice(i, 1)
+                m = _Merged(row)
+                yield from _batches(_rows(row.column(0)[0].as_py(), m.keys, m.sizes, m.src, m.n, m.docs, m.names, depth), _ROW)
 
     return run
 
 
-def _merged(table: pa.Table) -> tuple[str, bytes, Trie, list[str]]:
-    """The trie of all rows of a table, which are of one range."""
-    trie, numbers = Trie(), {}
-    for batch in table.to_batches(max_chunksize=64):
-        for row in batch.to_pylist():
-            for key, docs, counts in row_keys(row):
-                for k, (name, n) in enumerate(counts):
-                    trie.add(key, numbers.setdefault(name, len(numbers)), n, docs if k == 0 else 0)
-    return table.column("lang")[0].as_py(), table.column("prefix")[0].as_py(), trie, list(numbers)
-
-
 def _merge(table: pa.Table) -> pa.Table:
-    lang, prefix, trie, sources = _merged(table)
-    row = {"lang": lang, "prefix": prefix, "task": table.column("task")[0].as_py(), **to_row(trie, sources)}
-    return pa.Table.from_batches([_batch([row], _ROW)])
+    """All tries of a table, which are of one range, as one."""
+    m = _Merged(table)
+    depth = max(len(table.column("prefix")[0].as_py()), 1)
+    return pa.Table.from_batches(list(_batches(_rows(table.column("lang")[0].as_py(), m.keys, m.sizes, m.src, m.n, m.docs, m.names, depth), _ROW)))
 
 
 def _keep(min_docs: int):
     def run(table: pa.Table) -> pa.Table:
-        lang, _, trie, sources = _merged(table)
-        terms, ends, src, n, totals = [], [], [], [], [0] * len(sources)
-        for key, node in trie.leaves():
-            if node.docs >= min_docs:
-                terms.append(key.decode())
-                for s, count in node.counts.items():
-                    src.append(s)
-                    n.append(count)
-                    totals[s] += count
-                ends.append(len(n))
-        rows = [{"lang": lang, "terms": terms, "ends": ends, "sources": sources, "src": src, "n": n, "totals": totals}] if terms else []
+        m = _Merged(table)
+        kept = np.flatnonzero(m.docs >= min_docs)
+        rows = []
+        if len(kept):
+            own = np.repeat(m.docs >= min_docs, m.sizes)
+            src, n = m.src[own], m.n[own]
+            totals = np.zeros(len(m.names), np.int64)
+            np.add.at(totals, src, n)
+            rows.append({"lang": table.column("lang")[0].as_py(), "terms": [m.keys[i].decode() for i in kept.tolist()], "ends": np.cumsum(m.sizes[kept]), "sources": m.names, "src": src, "n": n, "totals": totals})
         return pa.Table.from_batches([_batch(rows, _KEPT)], _schema(_KEPT))
 
     return run
@@ -209,7 +262,7 @@ def merged_terms(docs: DataFrame, min_docs: int = MIN_DOCS, range_leaves: int =
     folder of that table. docs: lang, source, text without nulls in the first two."""
     spark = docs.sparkSession
     pending, path = materialize(docs.select("lang", "source", "text").mapInArrow(_count, _ROW), "tries")
-    done, paths, depth = [], [path], 2
+    done, paths, depth = [], [path], FIRST_DEPTH
     while True:
         sizes = pending.groupBy("lang", "prefix").agg(F.sum("n_leaves").alias("leaves"), F.max("longest").alias("longest"), F.count(F.lit(1)).alias("rows"))
         hot, hot_path = materialize(sizes.where(F.col("leaves") > range_leaves), "hot-ranges")
@@ -222,11 +275,11 @@ def merged_terms(docs: DataFrame, min_docs: int = MIN_DOCS, range_leaves: int =
         # a range of one term: merged in as many groups of tasks as it is too large; it can't be cut
         single = hot.where(F.col("longest") <= F.length("prefix"))
         parts = F.pmod(F.col("task"), F.ceil(F.col("leaves") / range_leaves))
-        one = pending.join(single.select(*key, "leaves"), key).withColumn("_part", parts).drop("leaves").select("lang", "prefix", "task", *[c.split(" ")[0] for c in _TRIE.split(", ")], "_part")
+        one = pending.join(single.select(*key, "leaves"), key).withColumn("_part", parts).select(*_COLUMNS, "_part")
         done.append(one.groupBy("lang", "prefix", "_part").applyInArrow(lambda t: _merge(t.drop_columns(["_part"])), _ROW))
         depth += 2
         many = pending.join(hot.where(F.col("longest") > F.length("prefix")).select(*key), key, "left_semi")
-        pending, path = materialize(many.select("lang", "prefix", "task", *[c.split(" ")[0] for c in _TRIE.split(", ")]).mapInArrow(_recut(depth), _ROW), "tries")
+        pending, path = materialize(many.select(*_COLUMNS).mapInArrow(_recut(depth), _ROW), "tries")
         paths.append(path)
     ranges = done[0]
     for more in done[1:]:
