@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..dictionary import dictionary
 from ..functions import text
 from ..operators import messages, people, properties
+from ..operators.scratch import written
 from ..sources import sinks
 from . import folders
 
@@ -91,10 +92,12 @@ def export_combined(converted: DataFrame, path: str, folder=None) -> None:
 
 
 def export_individual(converted: DataFrame, path: str) -> int:
-    """Write each message to a file of its own, named by its subject; repeated names are numbered. The number of files."""
-    name = F.concat(text.safe_filename(F.translate(F.coalesce("subject", F.lit("")), " ", "_")), F.lit("."), F.col("kind"))
+    """Write each message to a file of its own, named by its subject; long names are cut, and those that repeat or are there already
+    are numbered. The number of files."""
+    name = sinks.short_name(F.concat(text.safe_filename(F.translate(F.coalesce("subject", F.lit("")), " ", "_")), F.lit("."), F.col("kind")))
     rows = converted.select(name.alias("name"), F.concat_ws("/", "file", "item_id").alias("ord"), "content")
-    return sinks.write_files(sinks.unique_filenames(rows, "name", "ord"), path, "filename", "content")
+    named_rows = sinks.unique_filenames(written(rows, "messages"), "name", "ord", taken=sinks.names_in(converted.sparkSession, path))
+    return sinks.write_files(named_rows, path, "filename", "content")
 
 
 def attachments(rows: DataFrame, tags: dict[int, str] | None = None) -> DataFrame:

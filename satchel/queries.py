@@ -400,12 +400,17 @@ def filename_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.safe_filename(name).alias("safe"), text.combined_filename(F.concat(F.lit("Top/"), "p_type"), F.lit("Mail.mbox")).alias("combined"))
 
 
-@register("SELECT id, CASE WHEN k = 1 THEN name ELSE regexp_replace(name, '(\\.[^.]+)$', '.' || k || '\\1') END AS filename FROM (SELECT p_partkey AS id, p_brand || '.eml' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
+#: Names that repeat, and names that look like numbered ones: those of every ninth part are a brand's name with a number.
+_NAMES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN concat(p_brand, '.', CAST(2 + p_partkey % 23 AS INT), '.eml') ELSE concat(p_brand, '.eml') END AS name FROM part"
+
+
+@register(rf"""WITH n AS ({_NAMES}), p AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS place FROM n),
+ free AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) + 1 AS place FROM (SELECT name AS base, unnest(range(2, CAST(count(*) + 40 AS BIGINT))) AS k FROM n GROUP BY name) WHERE regexp_replace(base, '(\.[^.]+)$', '.' || k || '\1') NOT IN (SELECT name FROM n))
+ SELECT p.id, CASE WHEN p.place = 1 THEN p.name ELSE regexp_replace(p.name, '(\.[^.]+)$', '.' || free.k || '\1') END AS filename FROM p LEFT JOIN free ON free.base = p.name AND free.place = p.place""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.sinks import unique_filenames
 
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit(".eml")).alias("name"))
-    return unique_filenames(rows, "name", "id").select("id", "filename")
+    return unique_filenames(derive(spark, sf_dir, _NAMES), "name", "id").select("id", "filename")
 
 
 _RANGES = "SELECT l_orderkey AS file_id, CAST(l_linenumber * 200 + l_partkey % 50 AS BIGINT) AS offset_, CAST(l_quantity * 5 AS BIGINT) AS size FROM lineitem"

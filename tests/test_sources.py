@@ -1,5 +1,6 @@
 import datetime
 import email
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,57 @@ def test_unique_names(spark):
     assert [plain[f"{i:03}"] for i in (1, 3, 5)] == ["a.eml", "a.2.eml", "a.3.eml"]
     dealt = sinks.unique_filenames(rows, "n", "o", hot_rows=10).where("n = 'a.eml'").collect()
     assert {r.filename for r in dealt} == {"a.eml", *(f"a.{i}.eml" for i in range(2, 31))}
+
+
+def _first_free(rows, taken=()):
+    """What the numbering means, row by row."""
+    used, out, by = set(taken) | {n for _, n in rows if n is not None}, {}, set(taken)
+    for o, n in sorted(rows):
+        if n is None:
+            out[o] = None
+        elif n not in by:
+            by.add(n)
+            out[o] = n
+        else:
+            stem, dot, end = (n.rpartition(".") if n.rpartition(".")[2] and "." in n else (n, "", ""))
+            k = 2
+            while (name := f"{stem}.{k}{dot}{end}") in used:
+                k += 1
+            used.add(name)
+            out[o] = name
+    return out
+
+
+def test_names_that_look_numbered(spark):
+    """Names that are numbered by themselves are nobody else's; what is in the folder already counts as well."""
+    rng = random.Random(5)
+    pool = ["a.eml", "a.2.eml", "a.3.eml", "a.5.eml", "a.2.2.eml", "a", "a.2", "a.3", "a.", "a..2", ".eml", ".2.eml", "b.02.eml", "b.eml", "b.1.eml", "c.9999999999999999999.eml", "c.eml", "a.2.3", "", None]
+    for hot, taken in ((100, []), (4, ["a.eml", "a.4.eml", "b.eml", "x"]), (3, ["a.2.eml", "a.3", ""])):
+        rows = [(f"{i:03}", rng.choice(pool)) for i in range(150)]
+        df = spark.createDataFrame(rows, "o string, n string")
+        got = {r.o: r.filename for r in sinks.unique_filenames(df, "n", "o", hot_rows=hot, taken=spark.createDataFrame([(x,) for x in taken], "filename string")).collect()}
+        names = [x for x in got.values() if x is not None]
+        assert len(got) == 150 and len(set(names)) == len(names) and not set(names) & set(taken)
+        if hot == 100:  # numbers follow the order of rows, where a name isn't dealt out
+            assert got == _first_free(rows, taken)
+        else:
+            assert sorted(names) == sorted(x for x in _first_free(rows, taken).values() if x is not None)
+    three = spark.createDataFrame([("1", "a.eml"), ("2", "a.eml"), ("3", "a.2.eml")], "o string, n string")
+    assert {r.filename for r in sinks.unique_filenames(three, "n", "o").collect()} == {"a.eml", "a.2.eml", "a.3.eml"}
+    assert sinks.unique_filenames(three.limit(0), "n", "o").count() == 0
+
+
+def test_files_are_whole_or_not_there(spark, tmp_path):
+    """Long subjects, names that clash with each other and with earlier files; a job that fails leaves nothing."""
+    rows = [("f", str(i), "eml", s, None, None, f"text {i}") for i, s in enumerate(["x" * 300, "x" * 301, "a", "a", "a.2", "é" * 300])]
+    converted = spark.createDataFrame(rows, "file string, item_id string, kind string, subject string, date timestamp, folder string, content string")
+    out = tmp_path / "each"
+    assert convert.export_individual(converted, str(out)) == 6 and len(list(out.iterdir())) == 6
+    assert convert.export_individual(converted, str(out)) == 6 and len(list(out.iterdir())) == 12 and all(len(p.name) < 255 for p in out.iterdir())
+    assert sorted(p.read_text() for p in out.iterdir()) == sorted([r[-1] for r in rows] * 2)
+    bad = spark.range(40, numPartitions=4).selectExpr("concat('n', id) AS name", "CASE WHEN id = 39 THEN raise_error('broken') ELSE 'x' END AS content")
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_files(bad, str(tmp_path / "failed"), "name", "content")
+    # what a task that is being stopped still writes is in a folder of its own
+    assert not (tmp_path / "failed").exists() or all(p.name.startswith("_staging-") for p in (tmp_path / "failed").iterdir())
+    assert sinks.write_files(bad.limit(0), str(tmp_path / "none"), "name", "content") == 0
