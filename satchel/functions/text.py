@@ -95,6 +95,11 @@ def mboxrd(text: Column) -> Column:
     return F.regexp_replace(text, "(?m)^(>*From )", ">$1")
 
 
+def from_mboxrd(text: Column) -> Column:
+    """What mboxrd was made from."""
+    return F.regexp_replace(text, "(?m)^>(>*From )", "$1")
+
+
 def rfc2822(time: Column) -> Column:
     return F.date_format(time, "EEE, dd MMM yyyy HH:mm:ss Z")
 
@@ -161,11 +166,28 @@ def boundary(item: Column, part: Column) -> Column:
     return F.concat(F.lit("----_=_NextPart_"), F.lpad(part.cast("string"), 3, "0"), F.lit("_"), F.substring(F.sha2(F.concat_ws("/", item.cast("string"), part.cast("string")), 256), 1, 16))
 
 
+def boundary_of(content_type: Column) -> Column:
+    """The boundary that a content type names, null if there is none."""
+    found = F.regexp_extract(content_type, r"(?i);\s*boundary\s*=\s*(\"[^\"]*\"|[^\s;]*)", 1)
+    return F.nullif(F.regexp_replace(found, '^"|"$', ""), F.lit(""))
+
+
+def split_parts(body: Column, mark: Column) -> Column:
+    """preamble, parts, epilogue and closed of a multipart body. A boundary is a line of its own, blanks behind it aside; the line
+    end before it is part of it. What stands behind the closing boundary is the epilogue, null if there is no closing boundary
+    (closed is false then). Of a null body all are null."""
+    quoted = F.concat(F.lit("(?:\\A|\r?\n)--\\Q"), F.replace(mark, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    line_end = F.lit("[ \t]*(?=\r?\n|\\z)")
+    halves = F.split(body, F.concat(quoted, F.lit("--"), line_end), 2)
+    pieces = F.split(F.element_at(halves, 1), F.concat(quoted, line_end))
+    start = lambda p: F.regexp_replace(p, r"\A\r?\n", "")
+    parts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start)
+    return F.struct(F.element_at(pieces, 1).alias("preamble"), parts.alias("parts"), start(F.try_element_at(halves, F.lit(2))).alias("epilogue"), (F.size(halves) > 1).alias("closed"))
+
+
 def split_multipart(body: Column, mark: Column, built: bool = True) -> Column:
-    """preamble, parts and epilogue of a multipart body, without the line ends that belong to boundaries. Of a null body all are
-    null. built: the body is of joined_parts, which writes two line ends behind a part; else one alone is taken off."""
-    pieces = F.split(body, F.concat(F.lit("--\\Q"), mark, F.lit("\\E")))
-    trim = lambda p: F.regexp_replace(p, r"\A\r?\n|\r?\n\z", "")
-    inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
-    own = (lambda p: F.regexp_replace(p, r"\A\r?\n|\r\n\r\n\z|\r?\n\z", "")) if built else trim
-    return F.struct(trim(F.element_at(pieces, 1)).alias("preamble"), F.transform(inner, own).alias("parts"), trim(F.regexp_replace(F.element_at(pieces, -1), "^--", "")).alias("epilogue"))
+    """preamble, parts and epilogue, as split_parts gives them. built: the body is of joined_parts, which writes two line ends behind
+    a part; the second one is taken off as well."""
+    found = split_parts(body, mark)
+    own = (lambda p: F.regexp_replace(p, r"\r?\n\z", "")) if built else (lambda p: p)
+    return F.struct(found["preamble"].alias("preamble"), F.transform(found["parts"], own).alias("parts"), found["epilogue"].alias("epilogue"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import dictionary as names
 from .functions import binary, text
-from .operators import messages, people, properties, store, tree
+from .operators import messages, mime, people, properties, store, tree
 from .operators.scratch import fresh_path, written
 from .plans import synth
 from .plans.synth import derive, table
@@ -305,15 +305,8 @@ def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("h").cast("long").alias("n"), text.header_main(main).alias("main"), F.concat(F.lit("src="), attributes["src"], F.lit(";"), attributes["n"]).alias("shown"))
 
 
-@register("SELECT doc_id, 'intro' AS preamble, text AS first, lang AS second, 'end' AS epilogue FROM documents WHERE text NOT LIKE '%--==b%' AND NOT regexp_matches(text, '^\\n|\\n$')")
-def multipart_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("--==b") & ~F.col("text").rlike(r"\A\n|\n\z"))
-    body = F.concat(F.lit("intro\r\n--==b\r\n"), "text", F.lit("\r\n--==b\r\n"), "lang", F.lit("\r\n--==b--\r\nend"))
-    return docs.withColumn("p", text.split_multipart(body, F.lit("==b"), built=False)).select("doc_id", "p.preamble", F.element_at("p.parts", 1).alias("first"), F.element_at("p.parts", 2).alias("second"), "p.epilogue")
-
-
 @register("SELECT doc_id, CASE WHEN text || lang IS NOT NULL THEN 'intro' END AS preamble, CASE WHEN lang IS NOT NULL THEN text END AS first, CASE WHEN text IS NOT NULL THEN lang END AS second, CASE WHEN text || lang IS NOT NULL THEN 'end' END AS epilogue FROM documents")
-def multipart_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multipart_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with a mark that does not occur in the text. A null text or language makes the whole body null."""
     docs = table(spark, sf_dir, "documents").withColumn("mark", F.concat(F.lit("==b"), F.sha2("text", 256)))
     line = F.concat(F.lit("\r\n--"), "mark")
@@ -321,18 +314,8 @@ def multipart_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("p", text.split_multipart(body, F.col("mark"), built=False)).select("doc_id", "p.preamble", F.element_at("p.parts", 1).alias("first"), F.element_at("p.parts", 2).alias("second"), "p.epilogue")
 
 
-@register("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'from rtf' ELSE text END AS body FROM documents WHERE trim(text) <> ''")
-def body_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions import rtf
-
-    packed = rtf.compress(rb"{\rtf1\ansi from rtf}")
-    docs = table(spark, sf_dir, "documents").where(F.trim("text") != "")
-    docs = docs.withColumns({"body": F.when(F.col("doc_id") % 4 == 0, F.lit(" \n")).otherwise(F.col("text")), "rtf_compressed": F.when(F.col("doc_id") % 4 == 0, F.lit(packed)), "body_html": F.lit(None).cast("string")})
-    return messages.with_bodies(docs).select("doc_id", F.col("text_body").alias("body"))
-
-
 @register("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'from rtf' ELSE text END AS body FROM documents")
-def body_pick_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def body_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: a null, empty or blank text without an RTF stays as it is."""
     from .functions import rtf
 
@@ -342,6 +325,39 @@ def body_pick_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.with_bodies(docs).select("doc_id", F.col("text_body").alias("body"))
 
 
+#: Mails of three levels: a boundary that starts another one, one inside a line, a part without headers, a fifth not closed.
+_MIXED = """SELECT doc_id, concat('Subject: ', lang, e, 'content-type: multipart/mixed; boundary="', m, '"', e, e, 'pre', e, '--', m, e,
+ 'Content-Type: multipart/alternative;', e, chr(9), 'boundary=', m, '.1', e, e, '--', m, '.1', e, 'Content-Type: Text/Plain; charset=x', e, e, 'say --', m, ' inside', e, body, e, '--', m, '.1  ', e,
+ 'Content-Type: multipart/related; boundary="', m, '.1.x"', e, e, '--', m, '.1.x', e, e, source, e, '--', m, '.1.x--', e, '--', m, '.1--', e, e, '--', m, e, e, lang,
+ CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat(e, '--', m, '--', e, 'end') END) AS text
+ FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS body, concat('=b', md5(concat('part', CAST(doc_id AS STRING)))) AS m, concat(chr(13), chr(10)) AS e FROM documents) x"""
+
+
+@register("""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS body, '=b' || md5('part' || doc_id) AS m, chr(13) || chr(10) AS e FROM documents),
+ r AS (SELECT doc_id, '' AS path, 'multipart/mixed' AS content_type, 2 AS n_headers, NULL AS body, 'pre' AS preamble, CASE WHEN doc_id % 5 <> 0 THEN 'end' END AS epilogue, CASE WHEN doc_id % 5 = 0 THEN 'not closed' END AS note FROM d
+ UNION ALL SELECT doc_id, '1', 'multipart/alternative', 1, NULL, '', '', NULL FROM d UNION ALL SELECT doc_id, '1/1', 'text/plain', 1, 'say --' || m || ' inside' || e || body, NULL, NULL, NULL FROM d
+ UNION ALL SELECT doc_id, '1/2', 'multipart/related', 1, NULL, '', '', NULL FROM d UNION ALL SELECT doc_id, '1/2/1', NULL, 0, source, NULL, NULL, NULL FROM d UNION ALL SELECT doc_id, '2', NULL, 0, lang, NULL, NULL, NULL FROM d)
+ SELECT doc_id, path, content_type, n_headers, sha256(body) AS body, preamble, epilogue, note FROM r""")
+def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mime.part_tree(derive(spark, sf_dir, _MIXED), ["doc_id"])
+    return out.select("doc_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "content_type", F.size("headers").alias("n_headers"), F.sha2("body", 256).alias("body"), "preamble", "epilogue", "note")
+
+
+@register(r"""SELECT doc_id, CAST(2 AS INT) AS n_headers, lang AS subject, 'Thu, 01 Jan 1970 00:00:00 +0000' AS date, sha256(CASE WHEN ends_with(cut, chr(13)) THEN cut || chr(10) ELSE cut END) AS body
+ FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS body, rtrim(coalesce(text, ''), chr(10)) AS cut FROM documents)""")
+def mbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as one mbox for each source, whose lines that look like separators are quoted, and read again."""
+    from .sources import mail, sinks
+
+    path = fresh_path(spark, "boxes")
+    entry = F.concat(F.lit("X-Id: "), F.col("doc_id").cast("string"), F.lit("\r\nSubject: "), F.coalesce("lang", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("text", F.lit("")))
+    boxes = table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit(".mbox")).alias("out_name"), F.col("doc_id").alias("ord"), sinks.mbox_entry(entry, F.lit(None).cast("timestamp")).alias("content"))
+    sinks.write_combined(boxes, path)
+    mails = mail.parsed(mail.read_mbox(spark, path))
+    value = lambda name: text.header_joined(F.col("headers"), name)
+    return mails.select(value("X-Id").cast("long").alias("doc_id"), F.size("headers").alias("n_headers"), F.coalesce(value("Subject"), F.lit("")).alias("subject"), F.regexp_replace("separator", r"^\S+ ", "").alias("date"), F.sha2("body", 256).alias("body"))
+
+
 @register("WITH a AS (SELECT o_orderkey AS k, 1 AS code, o_orderstatus AS v FROM orders), b AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INT) AS code, max(l_returnflag) AS v FROM lineitem GROUP BY 1, 2) SELECT coalesce(a.k, b.k) AS item_id, coalesce(a.code, b.code) AS code, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM a FULL JOIN b ON a.k = b.k AND a.code = b.code")
 def attachment_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(1).alias("code"), F.col("o_orderstatus").alias("value"))

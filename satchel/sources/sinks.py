@@ -95,8 +95,9 @@ def output_name(kind: Column, path: Column | None = None) -> Column:
 
 
 def mbox_entry(mime: Column, date: Column, sender: str = "MAILER-DAEMON") -> Column:
-    """A message as an mbox entry: the separator with a sender and the message's own date, and mboxrd quoting."""
-    return F.concat(F.lit(f"From {sender} "), F.coalesce(text.rfc2822(date), F.lit("Thu, 01 Jan 1970 00:00:00 +0000")), F.lit("\n"), text.mboxrd(mime))
+    """A message as an mbox entry: the separator with a sender and the message's own date, and mboxrd quoting. A carriage return at
+    the very end gets its line feed, which would else be the box's."""
+    return F.concat(F.lit(f"From {sender} "), F.coalesce(text.rfc2822(date), F.lit("Thu, 01 Jan 1970 00:00:00 +0000")), F.lit("\n"), F.regexp_replace(text.mboxrd(mime), r"\r\z", "\r\n"))
 
 
 def write_combined(messages: DataFrame, path: str, append: bool = True) -> None:
