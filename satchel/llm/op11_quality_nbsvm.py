@@ -37,6 +37,7 @@ SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 40_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_VISIBLE = bytes(b for b in range(256) if not _BLANK[b])
 _CODES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(17))
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(2 * PIECE_BYTES + 2, _ODD, np.uint64))
@@ -81,17 +82,20 @@ def _pairs(data: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _cuts(raw: bytes) -> Iterator[bytes]:
-    """A long text in pieces that start with the last three words of the one before, so that every n-gram is in one."""
+    """A long text in pieces that end behind a blank and start before the last three words of the piece before, so that every n-gram is
+    in one; the last ends with a blank of its own. A word that fills a piece is cut."""
     at = 0
     while len(raw) - at > PIECE_BYTES:
         end = at + PIECE_BYTES
-        words = raw[max(at, end - 4096) : end].split()
-        kept = len(b" ".join(words[-4:])) if len(words) > 4 else 2
-        yield raw[at:end]
-        at = end - min(kept + 16, PIECE_BYTES // 2)
-        blank = next((i for i in range(at, min(at + 4096, end)) if _BLANK[raw[i]]), None)
-        at = at if blank is None or len(words) <= 4 else blank
-    yield raw[at:]
+        piece = raw[at:end]
+        cut = len(piece.rstrip(_VISIBLE))
+        if cut:
+            piece, end = piece[:cut], at + cut
+        words = piece.rsplit(None, 3)
+        yield piece
+        after = at + len(words[0]) if len(words) == 4 else end - 2
+        at = after if after > at else end - 2
+    yield raw[at:] + b" "
 
 
 def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +114,7 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i, raw in enumerate(texts.cast(pa.binary()).to_pylist()):
         if len(raw) > PIECE_BYTES:
             take()
-            out.append(np.unique(np.concatenate([_pairs(np.frombuffer(x + b" ", np.uint8), np.full(len(x) + 1, i, np.int64)) for x in _cuts(raw)])))
+            out.append(np.unique(np.concatenate([_pairs(np.frombuffer(x, np.uint8), np.full(len(x), i, np.int64)) for x in _cuts(raw)])))
             continue
         if size + len(raw) >= PIECE_BYTES:
             take()
