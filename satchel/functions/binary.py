@@ -115,18 +115,71 @@ def pairs(offsets: Column) -> Column:
     return F.arrays_zip(F.slice(offsets, 1, F.greatest(F.size(offsets) - 1, F.lit(0))).alias("from"), F.slice(offsets, 2, F.greatest(F.size(offsets) - 1, F.lit(0))).alias("to"))
 
 
+def le_hex(digits: Column, at: Column | int, size: int) -> Column:
+    """Little-endian unsigned integer of `size` bytes at a zero-based byte offset of hexadecimal text; null where the text is too
+    short, or the number is none that a long holds. For many numbers of one text."""
+    at = F.lit(at) if isinstance(at, int) else at
+    turned = F.concat(*[F.substring(digits, (at + (size - 1 - i)) * 2 + 1, F.lit(2)) for i in range(size)])
+    return F.when(F.length(digits) >= (at + size) * 2, F.conv(turned, 16, 10).try_cast("long"))
+
+
+def le_long(data: Column) -> Column:
+    """Signed 64-bit little-endian integer of the first 8 bytes."""
+    return F.conv(_turned_hex(F.substring(data, 1, 8)), 16, -10).cast("long")
+
+
+def le_double(data: Column) -> Column:
+    """The number of 8 bytes in the usual binary form, from its sign, exponent and digits."""
+    h = F.hex(data)
+    low, high = le_hex(h, 0, 4), le_hex(h, 4, 4)
+    exponent = F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF))
+    digits = high.bitwiseAND(F.lit(0xFFFFF)) * F.lit(1 << 32) + low
+    finite = F.when(exponent > 0, digits + F.lit(1 << 52)).otherwise(digits).cast("double") * F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 1075)
+    size = F.when(exponent < 0x7FF, finite).when(digits == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(high >= 1 << 31, -size).otherwise(size)
+
+
+#: What the bytes 0x80 to 0x9F mean in Windows-1252, where ISO-8859-1 has control characters.
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
+
+
+def text8(data: Column) -> Column:
+    """An 8-bit string without one trailing NUL: UTF-8 if it is that, else Windows-1252."""
+    size = F.octet_length(data)
+    bare = F.when((size > 0) & (F.hex(F.substring(data, size, F.lit(1))) == "00"), F.substring(data, F.lit(1), size - 1)).otherwise(data)
+    windows = F.translate(F.decode(bare, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), _WINDOWS)
+    return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(windows)
+
+
+def utf16_text(data: Column) -> Column:
+    """UTF-16LE text; what is no character, such as half of a pair or an odd last byte, becomes U+FFFD."""
+    size = F.octet_length(data)
+    even = F.substring(data, F.lit(1), size - size % 2)
+    units = F.regexp_extract_all(F.hex(even), F.lit("(....)"), F.lit(1))
+    high, low = (lambda u: u.rlike("^..D[89AB]")), (lambda u: u.rlike("^..D[CDEF]"))
+    next_ = lambda i: F.coalesce(F.get(units, i + 1), F.lit(""))
+    before = lambda i: F.coalesce(F.get(units, i - 1), F.lit(""))
+    mended = F.transform(units, lambda u, i: F.when((high(u) & ~low(next_(i))) | (low(u) & ~high(before(i))), F.lit("FDFF")).otherwise(u))
+    whole = F.decode(F.when(F.hex(even).rlike("D[89A-F]"), F.unhex(F.array_join(mended, ""))).otherwise(even), "UTF-16LE")
+    return F.when(size % 2 == 1, F.concat(whole, F.lit("\ufffd"))).otherwise(whole)
+
+
 def heap_table(block: Column, at: Column) -> Column:
     """Allocation ranges of a heap block whose table starts at a zero-based offset: a count n, a number that is no offset,
-    and n + 1 offsets. The first range is that of the number and the first offset, so that slots count from 1."""
-    count = le_uint(F.substring(block, at + 1, F.lit(2))).cast("int")
-    offsets = F.transform(F.sequence(F.lit(0), count + 1), lambda i: le_uint(F.substring(block, at + 3 + 2 * i, F.lit(2))).cast("int"))
-    return pairs(offsets)
+    and n + 1 offsets. The first range is that of the number and the first offset, so that slots count from 1. Null if the block
+    ends before its table."""
+    h = F.hex(block)
+    count = le_hex(h, at, 2)
+    offsets = F.transform(F.sequence(F.lit(0).cast("long"), count + 1), lambda i: le_hex(h, at + 2 + 2 * i, 2).cast("int"))
+    return F.when(at + 2 + 2 * (count + 2) <= F.octet_length(block), pairs(offsets))
 
 
 def multi_value(data: Column) -> Column:
-    """Pieces of a counted multi-value blob: a count, as many offsets, and pieces that end where the next starts."""
-    count = le_uint_at(data, 0, 4).cast("int")
-    start = lambda i: le_uint(F.substring(data, 4 * i + 5, F.lit(4))).cast("int")
-    end = lambda i: F.when(i + 1 < count, start(i + 1)).otherwise(F.octet_length(data))
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, start(i) + 1, end(i) - start(i)))
-    return F.when(count > 0, cut).otherwise(F.array().cast("array<binary>"))
+    """Pieces of a counted multi-value blob: a count, as many offsets, and pieces that end where the next starts. Null if the count is
+    more than the blob holds offsets."""
+    h, size = F.hex(data), F.octet_length(data)
+    count = le_hex(h, 0, 4)
+    start = lambda i: le_hex(h, 4 * i + 4, 4).cast("int")
+    end = lambda i: F.when(i + 1 < count, start(i + 1)).otherwise(size)
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.substring(data, start(i) + 1, F.greatest(end(i) - start(i), F.lit(0))))
+    return F.when(4 * count + 4 > size, F.lit(None).cast("array<binary>")).when(count > 0, cut).otherwise(F.array().cast("array<binary>"))
