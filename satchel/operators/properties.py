@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dictionary import PS_MAPI
+from ..dictionary import PS_MAPI, PS_PUBLIC_STRINGS
+from ..functions import binary
 from .joins import small
 
 KEY = ["code", "name", "guid"]
@@ -87,12 +88,70 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def named_keys(props: DataFrame, names: DataFrame) -> DataFrame:
-    """Codes from 0x8000 on replaced by the store's named keys; a code without one stays. names: (pseudo, code, name, guid)."""
-    real = names.select(F.col("pseudo").alias("_p"), F.col("code").alias("_c"), F.col("name").alias("_n"), F.col("guid").alias("_g"))
-    out = props.join(real, (F.col("code") >= 0x8000) & (F.col("code") == F.col("_p")), "left")
+def name_map(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pseudo, code, name, guid): the keys that codes from 0x8000 on stand for. streams: keys, guids (16 bytes each), entries (8
+    bytes each: a number, flags and the code's distance from 0x8000), strings (length and UTF-16 text, found by offset).
+
+    Of the flags the lowest bit says that the number is the offset of a name, the rest counts namespaces: 1 and 2 are well known, 3 and
+    up those of guids. A namespace or name that isn't there gives a null guid or name; of a repeated code the last entry counts."""
+    h = F.hex("entries")
+    many = F.floor(F.octet_length("entries") / 8).cast("int")
+    rows = streams.where(many > 0).select(*keys, "guids", "strings", h.alias("_h"), F.explode(F.sequence(F.lit(0), many - 1)).alias("_i"))
+    at = lambda i, n: binary.le_hex(F.col("_h"), F.col("_i") * 8 + i, n)
+    rows = rows.select(*keys, "guids", "strings", "_i", at(0, 4).alias("_number"), at(4, 2).alias("_flags"), at(6, 2).alias("_offset"))
+    space = F.shiftright("_flags", 1).cast("int")
+    listed = binary.guid_text(F.substring("guids", 16 * (space - 3) + 1, F.lit(16)))
+    guid = F.when(space == 1, PS_MAPI).when(space == 2, PS_PUBLIC_STRINGS).when(space > 2, listed)
+    is_name = F.col("_flags") % 2 == 1
+    place = F.col("_number").cast("int")
+    size = binary.le_hex(F.hex(F.substring("strings", place + 1, F.lit(4))), 0, 4).cast("int")
+    name = F.when(place + 4 + size <= F.octet_length("strings"), binary.utf16_text(F.substring("strings", place + 5, size)))
+    out = rows.select(*keys, (F.lit(0x8000) + F.col("_offset")).cast("int").alias("pseudo"), "_i", F.when(~is_name, (F.col("_number") % 65536).cast("int")).alias("code"), F.when(is_name, name).alias("name"), guid.alias("guid"))
+    best = out.groupBy(*keys, "pseudo").agg(F.max_by(F.struct("code", "name", "guid"), "_i").alias("_x"))
+    return best.select(*keys, "pseudo", "_x.code", "_x.name", "_x.guid")
+
+
+def named_keys(props: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Codes from 0x8000 on replaced by the store's named keys; a code without one stays. names: (pseudo, code, name, guid), and keys,
+    the columns of both tables that tell files apart."""
+    keys = keys or []
+    real = names.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("pseudo").alias("_p"), F.col("code").alias("_c"), F.col("name").alias("_n"), F.col("guid").alias("_g"))
+    same = (F.col("code") >= 0x8000) & (F.col("code") == F.col("_p"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_{k}")
+    out = props.join(real, same, "left")
     hit = F.col("_p").isNotNull()
-    return out.withColumns({"code": F.when(hit, F.col("_c")).otherwise(F.col("code")), "name": F.when(hit, F.col("_n")), "guid": F.when(hit, F.col("_g")).otherwise(F.lit(PS_MAPI))}).drop("_p", "_c", "_n", "_g")
+    return out.withColumns({"code": F.when(hit, F.col("_c")).otherwise(F.col("code")), "name": F.when(hit, F.col("_n")), "guid": F.when(hit, F.col("_g")).otherwise(F.lit(PS_MAPI))}).drop("_p", "_c", "_n", "_g", *[f"_{k}" for k in keys])
+
+
+def changed(props: DataFrame, changes: DataFrame, absent: str = "insert", order: str = "change", owner: str = "item_id") -> DataFrame:
+    """props after changes: rows of owner, a key, the other columns of props, the order of the change and deleted (true: the key goes).
+    Of several changes of one key the last counts. A changed key keeps the first of its places (ord); a new one stands behind all
+    others of its owner, in order of change. absent: what becomes of a change to a key that the owner hasn't got: `insert` it, `ignore` it, or `fail` the job;
+    deleting such a key changes nothing unless it is `fail`.
+
+    A key that repeats in props becomes one row: the last value at the first place.
+
+    One aggregation over both tables by owner and key; owners without changes take part in it as well."""
+    if absent not in ("insert", "ignore", "fail"):
+        raise ValueError(f"unknown way with absent keys: {absent}")
+    rest = [c for c in props.columns if c not in (owner, *KEY, "ord")]
+    old = props.select(owner, *KEY, F.struct("ord", *rest).alias("_old"), F.lit(None).cast("long").alias("_change"), F.lit(None).cast("boolean").alias("_gone"), F.lit(None).cast(props.select(F.struct(*rest)).schema[0].dataType).alias("_new"))
+    new = changes.select(owner, *KEY, F.lit(None).cast(old.schema["_old"].dataType).alias("_old"), F.col(order).cast("long").alias("_change"), F.coalesce("deleted", F.lit(False)).alias("_gone"), F.struct(*rest).alias("_new"))
+    # the first place and the last value of a key, and its last change
+    both = old.unionByName(new).groupBy(owner, *KEY).agg(
+        F.min("_old.ord").alias("_at"), F.max_by("_old", "_old.ord").alias("_old"), F.max("_change").alias("_change"), F.max_by(F.struct("_gone", "_new"), "_change").alias("_last")
+    )
+    there, touched = F.col("_old").isNotNull(), F.col("_change").isNotNull()
+    if absent == "fail":
+        refused = F.raise_error(F.concat(F.lit("no such property: "), F.to_json(F.struct(owner, *KEY))))
+        both = both.withColumn("_change", F.when(touched & ~there, refused.cast("long")).otherwise(F.col("_change")))
+    kept = both.where(~(touched & F.col("_last._gone")) & (there | (F.lit(absent == "insert") & touched)))
+    last = F.max("_at").over(Window.partitionBy(owner))
+    behind = F.row_number().over(Window.partitionBy(owner, F.col("_at").isNull()).orderBy("_change", *KEY))
+    place = F.when(F.col("_at").isNotNull(), F.col("_at")).otherwise(F.coalesce(last, F.lit(-1)) + behind)
+    values = [F.when(touched, F.col(f"_last._new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in rest]
+    return kept.select(owner, *KEY, place.cast(props.schema["ord"].dataType).alias("ord"), *values).select(*props.columns)
 
 
 def assemble(pieces: DataFrame, keys: list[str], place: str = "place", value: str = "value") -> DataFrame:

@@ -53,8 +53,8 @@ def expand_chains(heads: DataFrame, links: DataFrame, keys: list[str] | None = N
         if not seen["open"]:
             break
         level = joined.where("not leaf").select(*keys, "head_id", F.col("child_id").alias("block_id"), F.array_append("place", F.col("_place")).alias("place"), F.array_append("seen", F.col("child_id")).alias("seen"), F.array_contains("seen", F.col("child_id")).alias("circle"))
-    placed = out.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "head_id").orderBy("place")) - 1)
-    return placed if circles else placed.where("not circle").drop("circle")
+    out = out if circles else out.where("not circle").drop("circle")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "head_id").orderBy("place")) - 1)
 
 
 def expand_submaps(roots: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import dictionary as names
 from .functions import binary, text
 from .operators import messages, mime, people, properties, store, tree
+from .operators.checks import Notes, checked
 from .operators.scratch import fresh_path, written
 from .plans import synth
 from .plans.synth import derive, table
@@ -466,13 +467,18 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(store.block_kind(F.col("l_orderkey"), F.col("l_linenumber")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LINKS = "SELECT CAST(100 + r_regionkey AS BIGINT) AS block_id, r_regionkey AS place, CAST(0 AS BIGINT) AS child_id FROM region WHERE 1 = 0 UNION ALL SELECT CAST(1 AS BIGINT), r_regionkey, CAST(100 + r_regionkey AS BIGINT) FROM region UNION ALL SELECT CAST(100 + n_regionkey AS BIGINT), n_nationkey, CAST(1000 + n_nationkey AS BIGINT) FROM nation"
+#: Orders of eight files as blocks: block k of a file lists blocks 2k and 2k + 1, so that chains are as deep as the file is long, and
+#: block 3 lists block 1, inside which it stands.
+_TREES = "SELECT CAST(o_custkey % 8 AS BIGINT) AS file_id, CAST(row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) AS BIGINT) AS k FROM orders"
 
 
-@register("SELECT CAST(1 AS BIGINT) AS head_id, CAST(1000 + n_nationkey AS BIGINT) AS block_id, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INT) AS place FROM nation")
+@register(f"""WITH RECURSIVE b AS ({_TREES}), c(head_id, file_id, k, path) AS (SELECT k, file_id, k, '' FROM b WHERE k = 1 UNION ALL SELECT c.head_id, c.file_id, b.k, c.path || CASE WHEN b.k % 2 = 0 THEN '0' ELSE '1' END FROM c JOIN b ON c.file_id = b.file_id AND b.k // 2 = c.k)
+ SELECT c.file_id, c.head_id, c.k AS block_id, CAST(row_number() OVER (PARTITION BY c.file_id ORDER BY path) - 1 AS INT) AS place FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.file_id = c.file_id AND b.k = 2 * c.k)""")
 def chain_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = spark.createDataFrame([(1,)], "head_id long")
-    return store.expand_chains(heads, derive(spark, sf_dir, _LINKS))
+    blocks = written(derive(spark, sf_dir, _TREES), "blocks")
+    links = blocks.where("k > 1").select("file_id", F.floor(F.col("k") / 2).alias("block_id"), F.col("k").alias("place"), F.col("k").alias("child_id"))
+    links = links.unionByName(blocks.where("k = 3").select("file_id", F.col("k").alias("block_id"), F.lit(0).cast("long").alias("place"), F.lit(1).cast("long").alias("child_id")))
+    return store.expand_chains(blocks.where("k = 1").select("file_id", F.col("k").alias("head_id")), links, ["file_id"]).select("file_id", "head_id", "block_id", "place")
 
 
 @register("SELECT l_orderkey AS head_id FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT (l_partkey & 2)) > 1")
@@ -553,6 +559,137 @@ def multi_value_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.transform(binary.multi_value(data), lambda b: F.decode(b, "UTF-8")), "|").alias("pieces"))
 
 
+def _number(value, size: int):
+    """Little-endian bytes of a number."""
+    pad = F.lpad(F.hex((F.lit(value) if isinstance(value, int) else value).cast("long")), 2 * size, "0")
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(pad, F.lit("(..)"), F.lit(1))), ""))
+
+
+#: Lines of orders, each number once.
+_LINES = "SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS line, max(l_partkey) AS part, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@register(f"""SELECT id, CASE WHEN note IS NULL THEN value END AS value, n_bytes, note FROM (SELECT id, value, n_bytes, CASE WHEN coded > 0 AND coded < n THEN 'mixed encryption' WHEN n_bytes > 24 THEN 'too long' END AS note
+ FROM (SELECT id, string_agg(flag || part, '' ORDER BY line) AS value, CAST(sum(length(flag || part)) AS BIGINT) AS n_bytes, count(*) FILTER (id % 10 = 0 AND line = 2) AS coded, count(*) AS n FROM ({_LINES}) GROUP BY id))""")
+def chained_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in pieces put together up to 24 bytes; every tenth order has a block of the other kind among its pieces."""
+    data = F.encode(F.concat("flag", F.col("part").cast("string")), "UTF-8")
+    rows = derive(spark, sf_dir, _LINES).select("id", F.col("line").alias("place"), (F.col("part") * 4 + F.when((F.col("id") % 10 == 0) & (F.col("line") == 2), 2).otherwise(0)).alias("block_id"), data.alias("data"))
+    out = store.concatenated(rows.withColumn("size", F.octet_length("data").cast("long")), ["id"], 24)
+    return out.select("id", F.decode("data", "UTF-8").alias("value"), "n_bytes", "note")
+
+
+@register(f"""WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY line) - 1 AS INT) AS row FROM ({_LINES}))
+ SELECT id, row, 3592 AS code, part AS raw, '' AS wide FROM l UNION ALL SELECT id, row, 3093, CAST(line AS BIGINT), '' FROM l WHERE id % 2 = 0
+ UNION ALL SELECT id, row, 12289, -1, rpad(flag, 8, 'x') FROM l WHERE id % 2 = 1 UNION ALL SELECT id, row, 3599, CAST(line % 2 AS BIGINT), '' FROM l WHERE id % 2 = 1""")
+def described_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of two layouts, read by the descriptors that each carries: orders are tables and their lines records."""
+    even = F.col("id") % 2 == 0
+    short = F.concat(_number(F.col("part"), 4), _number(F.col("line"), 2))
+    long = F.concat(_number(F.col("line") % 2, 1), F.unhex(F.lit("00")), F.encode(F.rpad("flag", 8, "x"), "UTF-8"), _number(F.col("part"), 4), F.unhex(F.lit("0000")))
+    rows = derive(spark, sf_dir, _LINES).select("id", "line", F.when(even, short).otherwise(long).alias("record"))
+    # type, code, offset, size and slot of each column
+    layouts = [bytes.fromhex("0300080E00000400" "0200150C04000201"), bytes.fromhex("1E00013002000800" "0B000F0E00000101" "0300080E0A000402")]
+    tables = rows.groupBy(F.col("id").alias("table_id")).agg(F.expr("listagg(record) WITHIN GROUP (ORDER BY line)").alias("data"))
+    first = F.col("table_id") % 2 == 0
+    tables = tables.select("table_id", "data", F.when(first, 6).otherwise(16).alias("rec_size"), F.when(first, F.lit(layouts[0])).otherwise(F.lit(layouts[1])).alias("schema"))
+    cells = store.cells(store.table_rows(tables), store.column_descriptors(tables, ["table_id"]), ["table_id"])
+    return cells.select(F.col("table_id").alias("id"), "row", "code", _or(-1, "raw"), F.when(F.col("raw").isNull(), F.decode("cell", "UTF-8")).otherwise("").alias("wide"))
+
+
+def _customer_stores(spark: SparkSession, sf_dir: str):
+    """Each customer as a store of one node: a heap block with a property list, and a sub-node with a longer text. That of every
+    seventh customer says it is longer than the file; every eleventh's isn't there."""
+    from .sources import store_frames
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.encode("c_name", "UTF-8").alias("name"), F.encode("c_mktsegment", "UTF-16LE").alias("wide"), F.encode("c_mktsegment", "UTF-8").alias("segment"), F.encode(F.repeat("c_name", 3), "UTF-8").alias("body"))
+    ref = lambda slot: F.lit(slot << 5)
+    entries = [
+        (0x0037, 0x1E, ref(3)), (0x0017, 3, F.pmod(-F.col("k"), F.lit(1 << 32))), (0x0E06, 0x40, ref(4)), (0x3001, 0x1F, ref(5)), (0x802B, 0x101E, ref(6)), (0x1000, 0x1E, F.lit(0x700F)),
+        (0x0029, 0x0B, F.col("k") % 2), (0x0070, 0x1E, F.lit(0x11)), (0x007D, 0x1E, F.lit(0)), (0x1013, 0x0102, ref(9)), (0x3602, 2, F.lit(65535)),
+    ]
+    tuples = F.concat(*[F.concat(_number(code, 2), _number(kind, 2), _number(raw, 4)) for code, kind, raw in entries])
+    values = [
+        F.concat(_number(0x000602B5, 4), _number(ref(2), 4)), tuples, F.col("name"), _number(F.lit(binary.FILETIME_EPOCH) + F.col("k") * 10_000_000, 8), F.col("wide"),
+        F.concat(_number(2, 4), _number(12, 4), _number(F.octet_length("name") + 12, 4), F.col("name"), F.col("segment")),
+    ]
+    ends = [F.lit(8)]
+    for v in values:
+        ends.append(ends[-1] + F.octet_length(v))
+    heap = F.concat(_number(ends[-1], 2), _number(0xBCEC, 2), _number(ref(1), 4), *values, _number(len(values), 2), _number(0, 2), *[_number(e, 2) for e in ends])
+    made = written(c.select(F.col("k").cast("string").alias("file"), "k", heap.alias("heap"), "body"), "stores")
+    size = F.octet_length("heap").cast("long")
+    blocks = made.select("file", F.lit(4).cast("long").alias("block_id"), F.lit(0).cast("long").alias("offset"), size.alias("size"))
+    blocks = blocks.unionByName(made.where("k % 11 <> 0").select("file", F.lit(8).cast("long").alias("block_id"), size.alias("offset"), (F.octet_length("body") + F.when(F.col("k") % 7 == 0, 10).otherwise(0)).cast("long").alias("size")))
+    nodes = made.select("file", F.col("k").alias("node_id"), F.lit(4).cast("long").alias("data_block"), F.lit(6).cast("long").alias("sub_block"), F.lit(33).cast("long").alias("parent_id"))
+    maps = made.select("file", F.lit(6).cast("long").alias("owner"), F.lit(0x700F).cast("long").alias("id2"), F.lit(8).cast("long").alias("block_id"))
+    heads = made.select("file", F.lit(False).alias("wide"), F.lit(0).alias("encryption"))
+    cut = made.select("file", F.lit(0).alias("seg"), F.concat("heap", "body").alias("data"))
+    none = spark.createDataFrame([], "file string, block_id long, place long, child_id long")
+    tables = store_frames.Relations(heads, heads.where("false"), cut, blocks, nodes, none, none, maps, Notes(), None)
+    heaps = nodes.select("file", "node_id", F.lit("message").alias("owner"), F.lit(-1).alias("child_ix"), F.col("data_block").alias("head_block"), F.col("sub_block").alias("owner_map"))
+    return tables, store_frames.heap_values(tables, heaps)
+
+
+@register("""SELECT c_custkey AS id, code, value FROM customer, (VALUES (55), (23), (3590), (12289), (32811), (4096), (41), (112), (125), (4115), (13826)) t(code), LATERAL (SELECT CASE code WHEN 55 THEN c_name WHEN 23 THEN CAST(-c_custkey AS VARCHAR) WHEN 3590 THEN CAST(c_custkey AS VARCHAR) WHEN 12289 THEN c_mktsegment
+ WHEN 32811 THEN c_name || '|' || c_mktsegment WHEN 4096 THEN CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name || c_name || c_name END WHEN 41 THEN CASE WHEN c_custkey % 2 = 1 THEN 'true' ELSE 'false' END WHEN 112 THEN '' WHEN 4115 THEN '' WHEN 13826 THEN '-1' END AS value) v""")
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the bytes of blocks to typed values, by joins: chunks, slots, references, sub-nodes."""
+    _, found = _customer_stores(spark, sf_dir)
+    value = F.coalesce("v_str", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.unix_seconds("v_ts").cast("string"), F.array_join("v_arr", "|"), F.hex("v_bin"))
+    return found.select(F.col("node_id").alias("id"), "code", value.alias("value"))
+
+
+@register("SELECT code, count(*) AS n FROM (SELECT 'bad reference' AS code FROM customer UNION ALL SELECT 'bad reference' FROM customer UNION ALL SELECT 'no block' FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT 'short read' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 11 <> 0) GROUP BY code")
+def store_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was odd in the stores of typed_values, told from the steps' own tables."""
+    tables, _ = _customer_stores(spark, sf_dir)
+    return tables.notes.rows(spark).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("""WITH l AS (SELECT *, l_quantity <= 40 AS a, l_discount < 0.08 AS b, l_shipdate IS NOT NULL AND l_extendedprice > 2000 AS c FROM lineitem)
+ SELECT 'good' AS rule, count(*) AS n FROM l WHERE a AND b AND c UNION ALL SELECT 'quantity', count(*) FROM l WHERE NOT a UNION ALL SELECT 'discount', count(*) FROM l WHERE NOT b UNION ALL SELECT 'price', count(*) FROM l WHERE NOT c""")
+def checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"quantity": F.col("l_quantity") <= 40, "discount": F.col("l_discount") < 0.08, "price": F.col("l_shipdate").isNotNull() & (F.col("l_extendedprice") > 2000)}
+    good, bad, _ = checked(table(spark, sf_dir, "lineitem"), rules)
+    return bad.select(F.explode("broken").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).unionByName(good.agg(F.lit("good").alias("rule"), F.count(F.lit(1)).alias("n")))
+
+
+@register(f"""SELECT id, 32768 + line AS pseudo, coalesce(CASE WHEN line % 2 = 1 THEN CAST(part % 65536 AS INT) END, -1) AS code, CASE WHEN line % 2 = 0 THEN 'Näme ' || part END AS name,
+ CASE line % 4 WHEN 0 THEN '{names.PS_MAPI}' WHEN 1 THEN '{names.PS_PUBLIC_STRINGS}' WHEN 2 THEN '{names.PSETID_ADDRESS}' ELSE printf('%08x', id) || '-0000-0000-c000-000000000046' END AS guid FROM ({_LINES})""")
+def name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three streams of a message file's name map, built from the lines of an order and decoded again."""
+    from pyspark.sql import Window
+
+    named = F.col("line") % 2 == 0
+    text16 = F.encode(F.concat(F.lit("Näme "), F.col("part").cast("string")), "UTF-16LE")
+    piece = F.when(named, F.concat(_number(F.octet_length(text16), 4), text16)).otherwise(F.lit(b""))
+    rows = derive(spark, sf_dir, _LINES).withColumn("piece", piece)
+    before = F.sum(F.octet_length("piece")).over(Window.partitionBy("id").orderBy("line")) - F.octet_length("piece")
+    flags = (1 + F.col("line") % 4) * 2 + F.when(named, 1).otherwise(0)
+    rows = rows.withColumn("entry", F.concat(_number(F.when(named, before).otherwise(F.col("part") % 65536), 4), _number(flags, 2), _number(F.col("line"), 2)))
+    tail = F.unhex(F.lit("00000000C000000000000046"))
+    guids = F.concat(_number(0x00062004, 4), tail, _number(F.col("id"), 4), tail)
+    streams = rows.groupBy("id").agg(F.expr("listagg(entry) WITHIN GROUP (ORDER BY line)").alias("entries"), F.expr("listagg(piece) WITHIN GROUP (ORDER BY line)").alias("strings")).withColumn("guids", guids)
+    return properties.name_map(streams, ["id"]).select("id", "pseudo", _or(-1, "code"), "name", "guid")
+
+
+_CHANGES = f"""SELECT c_custkey AS item_id, CAST(55 AS INT) AS code, CAST(NULL AS STRING) AS name, '{names.PS_MAPI}' AS guid, 1 AS change, FALSE AS deleted, 'first' AS value FROM customer WHERE c_custkey % 4 = 0
+ UNION ALL SELECT c_custkey, 55, NULL, '{names.PS_MAPI}', 2, c_custkey % 8 = 0, 'second' FROM customer WHERE c_custkey % 4 = 0
+ UNION ALL SELECT c_custkey, CAST(NULL AS INT), 'Keywords', '{names.PS_PUBLIC_STRINGS}', 3, TRUE, NULL FROM customer WHERE c_custkey % 6 = 0
+ UNION ALL SELECT c_custkey, 14929, NULL, '{names.PS_MAPI}', 4, FALSE, c_name FROM customer WHERE c_custkey % 3 = 0
+ UNION ALL SELECT c_custkey, 16000, NULL, '{names.PS_MAPI}', 5, c_custkey % 2 = 0, 'more' FROM customer WHERE c_custkey % 3 = 0"""
+
+
+@register(f"""{_PROPS}, c AS ({_CHANGES}), o AS (SELECT item_id, code, name, guid, min(ord) AS ord, arg_max(value, ord) AS value FROM props GROUP BY ALL), l AS (SELECT item_id, code, name, guid, max(change) AS change, arg_max(deleted, change) AS deleted, arg_max(coalesce(value, ''), change) AS value FROM c GROUP BY ALL),
+ b AS (SELECT coalesce(o.item_id, l.item_id) AS item_id, coalesce(o.code, l.code) AS code, coalesce(o.name, l.name) AS name, coalesce(o.guid, l.guid) AS guid, o.ord, l.change, l.deleted, CASE WHEN l.change IS NULL THEN o.value ELSE l.value END AS value
+  FROM o FULL JOIN l ON o.item_id = l.item_id AND o.code IS NOT DISTINCT FROM l.code AND o.name IS NOT DISTINCT FROM l.name AND o.guid = l.guid)
+ SELECT item_id, coalesce(code, -1) AS code, name, guid, value, CAST(coalesce(ord, max(ord) OVER (PARTITION BY item_id) + row_number() OVER (PARTITION BY item_id, ord IS NULL ORDER BY change)) AS INT) AS ord FROM b WHERE NOT coalesce(deleted, FALSE)""")
+def property_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = properties.changed(_props(spark, sf_dir), derive(spark, sf_dir, _CHANGES))
+    return out.select("item_id", _or(-1, "code"), "name", "guid", "value", "ord")
+
+
 @register("SELECT doc_id, CAST(0 AS INT) AS a, CAST(length(lang) AS INT) AS b, CAST(length(lang) + length(source) AS INT) AS c FROM documents")
 def heap_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(2).alias("count"), F.lit(0).alias("p0"), F.length("lang").alias("p1"), (F.length("lang") + F.length("source")).alias("p2"))

@@ -15,6 +15,8 @@ from .rows import from_filetime, scan, typed
 
 _STREAM = re.compile(r"^__substg1\.0_([0-9A-F]{4})([0-9A-F]{4})(?:-([0-9A-F]{8}))?$")
 _PART = re.compile(r"^__(substg1|properties_version1|nameid_version1|attach_version1|recip_version1)\.0")
+#: Pieces of a multi-valued property that may be missing before its number is taken for a fault.
+MOST_GAPS = 4096
 _STREAMED = {0x0102, 0x001E, 0x001F, 0x101E, 0x101F, 0x000D, 0x1102}
 
 
@@ -111,6 +113,9 @@ def properties(storage: compound.Entry, names: dict) -> Iterator[dict]:
                 continue
             yield row(code, kind, decode_stream(kind, c.data))
     for (code, kind), found in pieces.items():
+        if max(found) > 2 * len(found) + MOST_GAPS:
+            yield {"owner": "error", "v_str": f"piece {max(found)} of {len(found)} of property 0x{code:04x}"}
+            continue
         yield row(code, kind, [found.get(i) for i in range(max(found) + 1)])
 
 
@@ -124,22 +129,25 @@ def is_message(storage: compound.Entry) -> bool:
     return sum(bool(_PART.match(c.name)) for c in storage.children) > 2
 
 
-def message_rows(storage: compound.Entry, item_id: str, names: dict, parent_id: str | None = None, depth: int = 0) -> Iterator[dict]:
-    """Rows of a message, its recipients and attachments; embedded messages are items `item/attachment`."""
-    names = name_map(storage.child("__nameid_version1.0")) or names
-    for p in properties(storage, names):
-        yield {"item_id": item_id, "parent_id": parent_id, "owner": "message", **p}
-    for owner, mark in (("recipient", "__recip_version1.0_"), ("attachment", "__attach_version1.0_")):
-        places = [c for c in storage.children if not c.is_stream and c.name.startswith(mark)]
-        for ix, place in enumerate(places):
-            found = list(properties(place, names))
-            if not found and owner == "attachment":
-                continue
-            for p in found:
-                yield {"item_id": item_id, "parent_id": parent_id, "owner": owner, "child_ix": ix, **p}
-            inner = place.child("__substg1.0_3701000D")
-            if inner is not None and not inner.is_stream and is_message(inner) and depth < 16:
-                yield from message_rows(inner, f"{item_id}/{ix}", names, item_id, depth + 1)
+def message_rows(storage: compound.Entry, item_id: str, names: dict, parent_id: str | None = None) -> Iterator[dict]:
+    """Rows of a message, its recipients and attachments; embedded messages are items `item/attachment`, at any depth."""
+    waiting = [(storage, item_id, names, parent_id)]
+    while waiting:
+        storage, item_id, names, parent_id = waiting.pop()
+        names = name_map(storage.child("__nameid_version1.0")) or names
+        for p in properties(storage, names):
+            yield {"item_id": item_id, "parent_id": parent_id, "owner": "message", **p}
+        for owner, mark in (("recipient", "__recip_version1.0_"), ("attachment", "__attach_version1.0_")):
+            places = [c for c in storage.children if not c.is_stream and c.name.startswith(mark)]
+            for ix, place in enumerate(places):
+                found = list(properties(place, names))
+                if not found and owner == "attachment":
+                    continue
+                for p in found:
+                    yield {"item_id": item_id, "parent_id": parent_id, "owner": owner, "child_ix": ix, **p}
+                inner = place.child("__substg1.0_3701000D")
+                if inner is not None and not inner.is_stream and is_message(inner):
+                    waiting.append((inner, f"{item_id}/{ix}", names, item_id))
 
 
 def parse(name: str, content: bytes) -> Iterator[dict]:

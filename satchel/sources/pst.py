@@ -116,16 +116,18 @@ class Store:
         data = self.data[offset : offset + size]
         return data.translate(self.cipher) if self.cipher and not block & 2 else data
 
-    def chain(self, block: int, depth: int = 0) -> list[int]:
+    def chain(self, block: int, inside: tuple[int, ...] = ()) -> list[int]:
         """Data blocks behind a block: itself, or those that a chain lists, level by level."""
         if not block & 2:
             return [block]
+        if block in inside:
+            raise ValueError(f"chain block {block} is inside itself")
         data = self.raw(block)
         kind, levels, count = struct.unpack_from("<BBH", data)
-        if kind != 1 or depth > 8:
+        if kind != 1:
             return [block]
         ids = struct.unpack_from(f"<{count}{self.layout.word}", data, 8)
-        return list(ids) if levels == 1 else [b for i in ids for b in self.chain(i, depth + 1)]
+        return list(ids) if levels == 1 else [b for i in ids for b in self.chain(i, (*inside, block))]
 
     def chunks(self, block: int) -> list[bytes]:
         return [self.raw(b) for b in self.chain(block)]
@@ -269,7 +271,7 @@ def node_rows(store: Store, node: tuple[int, int, int, int]) -> Iterator[dict]:
         for ix, row in enumerate(Heap(store, sub[ATTACHMENTS], sub).rows()):
             merged = {code: (code, kind, value) for code, kind, value in row}
             own = merged.get(ATTACHMENT_ID)
-            if own and own[2] in sub:
+            if own and isinstance(own[2], int) and own[2] in sub:
                 merged |= {p[0]: p for p in Heap(store, sub[own[2]], sub).properties()}
             yield from _rows(list(merged.values()), **base, owner="attachment", child_ix=ix)
 

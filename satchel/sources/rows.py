@@ -77,7 +77,7 @@ def parse_files(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]],
                         if len(rows) >= batch_rows or size > 8 << 20:
                             yield give(rows)
                             rows, size = [], 0
-                except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
+                except (ValueError, IndexError, KeyError, OverflowError, RecursionError, struct.error) as e:
                     rows.append({"file": name, "owner": "error", "v_str": f"{type(e).__name__}: {e}"})
                 if rows:
                     yield give(rows)
