@@ -18,6 +18,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -128,9 +129,24 @@ class Backtracker:
         return out
 
 
+def _as_tiktoken_has_it(name: str) -> str:
+    """A character class for Python that holds what `name` (such as `\\p{L}`) matches in the tiktoken library, whose Unicode version
+    may be another one: the library is asked once for all code points, and where it differs from Python's class these are named."""
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    bytes_alone = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    theirs = set(bytes(bytes_alone.encode_ordinary(every)).decode())  # what the pattern doesn't match has no ids
+    ours = set(regex.findall(name, every))
+    listed = lambda chars: "".join(f"\\U{ord(c):08x}" for c in sorted(chars))
+    out = f"[{name}||[{listed(theirs - ours)}]]" if theirs - ours else name
+    return f"[{out}--[{listed(ours - theirs)}]]" if ours - theirs else out
+
+
 def pattern_of(pattern: str):
-    """The pre-token pattern with white space as the tiktoken library takes it (Python's has four control characters more)."""
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    """The pre-token pattern, with letters, numbers and white space as the tiktoken library takes them."""
+    for name in (r"\p{L}", r"\p{N}"):
+        if name in pattern:
+            pattern = pattern.replace(name, _as_tiktoken_has_it(name))
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), regex.V1)
 
 
 class Codec:
