@@ -46,6 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def written_counting(df: DataFrame, name: str, **conditions: str) -> tuple[DataFrame, dict[str, int]]:
     """As written, with the number of rows for which each condition holds, observed while they are written."""
+    if not conditions:
+        return written(df, name), {}
     seen = Observation()
     counted = df.observe(seen, *[F.count_if(F.expr(c)).alias(k) for k, c in conditions.items()])
     out = written(counted, name)
