@@ -143,10 +143,11 @@ def changed(props: DataFrame, changes: DataFrame, absent: str = "insert", order:
         F.min("_old.ord").alias("_at"), F.max_by("_old", "_old.ord").alias("_old"), F.max("_change").alias("_change"), F.max_by(F.struct("_gone", "_new"), "_change").alias("_last")
     )
     there, touched = F.col("_old").isNotNull(), F.col("_change").isNotNull()
+    stays = ~(touched & F.col("_last._gone")) & (there | (F.lit(absent == "insert") & touched))
     if absent == "fail":
         refused = F.raise_error(F.concat(F.lit("no such property: "), F.to_json(F.struct(owner, *KEY))))
-        both = both.withColumn("_change", F.when(touched & ~there, refused.cast("long")).otherwise(F.col("_change")))
-    kept = both.where(~(touched & F.col("_last._gone")) & (there | (F.lit(absent == "insert") & touched)))
+        stays = F.when(touched & ~there, refused.cast("boolean")).otherwise(stays)
+    kept = both.where(stays)
     last = F.max("_at").over(Window.partitionBy(owner))
     behind = F.row_number().over(Window.partitionBy(owner, F.col("_at").isNull()).orderBy("_change", *KEY))
     place = F.when(F.col("_at").isNotNull(), F.col("_at")).otherwise(F.coalesce(last, F.lit(-1)) + behind)
