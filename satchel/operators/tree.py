@@ -110,6 +110,6 @@ def tree_text(walked: DataFrame, label: str) -> DataFrame:
     return walked.select("place", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col(label)).alias("line"))
 
 
-def store_name(nodes: DataFrame) -> DataFrame:
-    """The root's display name. nodes: kind, display_name."""
-    return nodes.where("kind = 'root'").select(F.col("display_name").alias("name"))
+def store_name(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The display name of each store's root. nodes: kind, display_name, and the columns that tell stores apart."""
+    return nodes.where("kind = 'root'").select(*(keys or []), F.col("display_name").alias("name"))

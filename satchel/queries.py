@@ -722,9 +722,13 @@ def header_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _notes(spark, sf_dir).select("item_id", F.array_join(F.try_element_at(text.header_map(F.col("transport")), F.lit("X-Seen")), "|").alias("seen"))
 
 
-@register("SELECT 'Root' AS name")
+#: Each nation is a store, whose root is its own parent; its customers are folders below.
+_STORES = "SELECT CAST(n_nationkey AS BIGINT) AS file_id, CAST(33 AS BIGINT) AS node_id, 'root' AS kind, n_name AS display_name FROM nation UNION ALL SELECT CAST(c_nationkey AS BIGINT), 100 + c_custkey, 'folder', c_name FROM customer"
+
+
+@register("SELECT CAST(n_nationkey AS BIGINT) AS file_id, n_name AS name FROM nation")
 def store_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.store_name(derive(spark, sf_dir, synth.NODES))
+    return tree.store_name(derive(spark, sf_dir, _STORES), ["file_id"])
 
 
 @register(f"{_WALK}, {_PLACES} SELECT place, repeat('  ', depth) || '- ' || display_name AS line FROM w JOIN o USING (node_id)")
@@ -767,9 +771,9 @@ def remaining_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT concat(c_name, '.msg') AS file, 'vcf' AS kind, c_name AS subject, concat('BEGIN:VCARD', chr(10), 'VERSION:3.0', chr(10), 'N:;;;;', chr(10), 'FN:', c_name, chr(10), 'URL:', c_mktsegment, chr(10), 'END:VCARD', chr(10)) AS content FROM customer""")
 def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as message files in the shared folder, read back as property rows and converted to vCards."""
+    """Customers packed as message files, read by joins as property rows and converted to vCards."""
     from .plans import convert
-    from .sources import compound, msg, rows
+    from .sources import compound, message_frames
 
     def build(name: str, mail: str) -> bytes:
         stream = lambda code, value: compound.Entry(f"__substg1.0_{code:04X}001F", value.encode("utf-16-le"))
@@ -780,7 +784,8 @@ def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series([build(n, m) for n, m in zip(name, mail)])
 
     files = table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit(".msg")).alias("path"), built("c_name", "c_mktsegment").alias("content"))
-    return convert.convert(rows.parse_files(files, msg.parse)).select("file", "kind", "subject", "content")
+    rows, _ = message_frames.property_rows(written(files, "message-files"))
+    return convert.convert(written(rows, "message-rows")).select("file", "kind", "subject", "content")
 
 
 _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
