@@ -11,6 +11,7 @@ Null and empty texts have no ids. Rows are kept as they are.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from itertools import chain
 
@@ -18,7 +19,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -131,31 +131,40 @@ class Backtracker:
 
 def _as_tiktoken_has_it(name: str) -> str:
     """A character class for Python that holds what `name` (such as `\\p{L}`) matches in the tiktoken library, whose Unicode version
-    may be another one: the library is asked once for all code points, and where it differs from Python's class these are named."""
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    bytes_alone = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    theirs = set(bytes(bytes_alone.encode_ordinary(every)).decode())  # what the pattern doesn't match has no ids
-    ours = set(regex.findall(name, every))
-    listed = lambda chars: "".join(f"\\U{ord(c):08x}" for c in sorted(chars))
-    out = f"[{name}||[{listed(theirs - ours)}]]" if theirs - ours else name
-    return f"[{out}--[{listed(ours - theirs)}]]" if ours - theirs else out
-
+    may be another one: the library is asked for all code points, and where it differs from Python's class these are named."""
+    import tiktoken  # on the driver alone
 
-def pattern_of(pattern: str):
-    """The pre-token pattern, with letters, numbers and white space as the tiktoken library takes them."""
+    bytes_alone = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    find, more, fewer = regex.compile(name).findall, [], []
+    for first in range(0, 0x110000, 0x800):
+        if 0xD800 <= first < 0xE000:
+            continue
+        block = "".join(map(chr, range(first, first + 0x800)))
+        theirs, ours = set(bytes(bytes_alone.encode_ordinary(block)).decode()), set(find(block))  # what the pattern doesn't match has no ids
+        more += sorted(theirs - ours)
+        fewer += sorted(ours - theirs)
+    listed = lambda chars: "".join(f"\\U{ord(c):08x}" for c in chars)
+    out = f"[{name}||[{listed(more)}]]" if more else name
+    return f"[{out}--[{listed(fewer)}]]" if fewer else out
+
+
+@functools.lru_cache
+def library_pattern(pattern: str) -> str:
+    """The pre-token pattern for Python, with letters, numbers and white space as the tiktoken library takes them. It is made on the
+    driver and travels to the workers as text."""
     for name in (r"\p{L}", r"\p{N}"):
         if name in pattern:
             pattern = pattern.replace(name, _as_tiktoken_has_it(name))
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), regex.V1)
+    return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
 class Codec:
     """Encoding and decoding of Arrow string arrays. Texts are cut into pieces where CUT_PATTERN allows; with another pattern each
     text is taken whole."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, own_pattern: str | None = None):
         self.core = Backtracker(read_ranks(ranks_path))
-        self.find = pattern_of(pattern).findall
+        self.find = regex.compile(own_pattern or library_pattern(pattern), regex.V1).findall
         self.memo: dict[str, list[int]] = {}
         self.table = PieceTable(self._words, self._others) if pattern == CUT_PATTERN else None
         n = max(self.core.bytes, default=-1) + 1
@@ -190,16 +199,18 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
-def codec_of(ranks: str, pattern: str) -> Codec:
-    """A worker makes it once and keeps it."""
-    return per_worker(f"codec {pattern}", ranks, lambda path: Codec(path, pattern))
+def codec_of(ranks: str, pattern: str, own_pattern: str) -> Codec:
+    """A worker makes it once and keeps it. own_pattern: library_pattern(pattern), from the driver."""
+    return per_worker(f"codec {pattern}", ranks, lambda path: Codec(path, pattern, own_pattern))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """docs with an array of token ids."""
 
+    own = library_pattern(pattern)
+
     def make():
-        codec = codec_of(ranks, pattern)
+        codec = codec_of(ranks, pattern, own)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             ids, n = codec.encode(texts)
@@ -213,9 +224,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
 def decode(docs: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """docs with the bytes of an array of token ids (null ids: no bytes)."""
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != out_col), T.StructField(out_col, T.BinaryType())])
+    own = library_pattern(pattern)
 
     def run(batches):
-        decode = codec_of(ranks, pattern).decode
+        decode = codec_of(ranks, pattern, own).decode
         for batch in batches:
             lists = batch.column(ids_col).to_pylist()
             names = [n for n in batch.schema.names if n != out_col]
@@ -228,8 +240,10 @@ def decode(docs: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out_
 def encode_digests(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256: ids are encoded, decoded again, and only digests leave the batch."""
 
+    own = library_pattern(pattern)
+
     def make():
-        codec = codec_of(ranks, pattern)
+        codec = codec_of(ranks, pattern, own)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             ids, n = codec.encode(texts)
