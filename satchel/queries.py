@@ -626,7 +626,7 @@ def _customer_stores(spark: SparkSession, sf_dir: str):
     heads = made.select("file", F.lit(False).alias("wide"), F.lit(0).alias("encryption"))
     cut = made.select("file", F.lit(0).alias("seg"), F.concat("heap", "body").alias("data"))
     none = spark.createDataFrame([], "file string, block_id long, place long, child_id long")
-    tables = store_frames.Relations(heads, heads.where("false"), cut, blocks, nodes, none, none, maps, Notes(), None)
+    tables = store_frames.Relations(heads, heads.where("false"), cut, blocks, nodes, Notes(), links=none, maps=maps)
     heaps = nodes.select("file", "node_id", F.lit("message").alias("owner"), F.lit(-1).alias("child_ix"), F.col("data_block").alias("head_block"), F.col("sub_block").alias("owner_map"))
     return tables, store_frames.heap_values(tables, heaps)
 

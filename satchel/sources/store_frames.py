@@ -120,19 +120,18 @@ def blocks_and_nodes(records: DataFrame, notes: Notes) -> tuple[DataFrame, DataF
 
 @dataclass
 class Relations:
-    """The tables of stores: heads (of those whose header is good), bad heads, segments, blocks, nodes, chain links, sub-node entries and
-    maps (of the nodes), and the notes."""
+    """The tables of stores: heads (of those whose header is good), bad heads, segments, blocks, nodes, notes; then chain links and the
+    sub-node maps of the nodes, which follow from the blocks."""
 
     heads: DataFrame
     bad: DataFrame
     cut: DataFrame
     blocks: DataFrame
     nodes: DataFrame
-    links: DataFrame
-    entries: DataFrame
-    maps: DataFrame
     notes: Notes
-    cipher: bytes | None
+    cipher: bytes | None = None
+    links: DataFrame | None = None
+    maps: DataFrame | None = None
 
     def fetch(self, refs: DataFrame) -> DataFrame:
         """refs (file, block_id, ...) with wide, size, data and note: the decoded bytes of blocks, by two joins. A block that isn't there
@@ -165,7 +164,7 @@ def relations(files: DataFrame, cipher: bytes | None = None, mode: str = "quaran
     heads, bad, _ = checked(headers(files), header_rules(cipher is not None), mode, "headers")
     notes.add(bad, F.array_join("broken", ", "), "header")
     blocks, nodes = blocks_and_nodes(index_records(heads, cut, notes), notes)
-    tables = Relations(heads, bad, cut, blocks, nodes, blocks, blocks, blocks, notes, cipher)
+    tables = Relations(heads, bad, cut, blocks, nodes, notes, cipher)
     inner = tables.fetch(blocks.where(F.col("block_id").bitwiseAND(F.lit(2)) != 0).select("file", "block_id")).withColumn("h", F.hex("data"))
     kind = store.block_kind(F.col("block_id"), le(F.col("h"), 0, 1))
     inner = written(inner.select("file", "block_id", "wide", "h", "note", kind.alias("kind"), le(F.col("h"), 1, 1).alias("depth"), le(F.col("h"), 2, 2).alias("count")), "internal")
@@ -173,10 +172,9 @@ def relations(files: DataFrame, cipher: bytes | None = None, mode: str = "quaran
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("place")
     listed = lambda kind, *more: inner.where((F.col("kind") == kind) & (F.col("count") > 0)).select("file", "block_id", "wide", "h", *more, each)
     word = lambda at, n=None: F.when(F.col("wide"), le(F.col("h"), at, n or 8)).otherwise(le(F.col("h"), at, n or 4))
-    links = listed("chain").select("file", "block_id", "place", word(8 + F.col("place") * _by(8, 4)).alias("child_id")).where("child_id is not null")
+    tables.links = listed("chain").select("file", "block_id", "place", word(8 + F.col("place") * _by(8, 4)).alias("child_id")).where("child_id is not null")
     at = F.when(F.col("wide"), 8 + F.col("place") * 24).otherwise(4 + F.col("place") * 12)
     entries = listed("submap").select("file", F.col("block_id").alias("owner"), F.col("place").alias("ord"), le(F.col("h"), at, 4).alias("id2"), word(at + _by(8, 4)).alias("block_id"), word(at + _by(16, 8)).alias("nested")).where("nested is not null")
-    tables.links, tables.entries = links, entries
     roots = nodes.where("sub_block <> 0").select("file", F.col("sub_block").alias("owner"))
     maps = store.expand_submaps(roots, entries.distinct(), ["file"])
     tables.maps = written(maps.groupBy("file", "owner", "id2").agg(F.min_by("block_id", "ord").alias("block_id"), F.count(F.lit(1)).alias("copies")), "maps")
@@ -305,8 +303,9 @@ def property_rows(tables: Relations, most_bytes: int = MOST_BYTES) -> DataFrame:
     found = heap_values(tables, message.unionByName(parts), most_bytes)
     ids = found.where((F.col("owner") == "attachment") & (F.col("code") == ATTACHMENT_ID)).select("file", "node_id", F.lit("own").alias("owner"), "child_ix", "owner_map", F.col("raw").alias("id2"))
     lists = ids.join(tables.maps.select("file", F.col("owner").alias("owner_map"), "id2", F.col("block_id").alias("head_block")), ["file", "owner_map", "id2"]).select(*HEAP, "head_block", "owner_map")
-    if seen_any(lists):
-        own = heap_values(tables, written(lists, "attachment-lists"), most_bytes)
+    lists, seen = written_counting(lists, "attachment-lists", any="true")
+    if seen["any"]:
+        own = heap_values(tables, lists, most_bytes)
         both = found.where("owner = 'attachment'").withColumn("_rank", F.lit(0)).unionByName(own.withColumn("owner", F.lit("attachment")).withColumn("_rank", F.lit(1)))
         rest = [c for c in found.columns if c not in (*_KEY, "code")]
         best = both.groupBy(*_KEY, "code").agg(F.max_by(F.struct(*rest), F.struct("_rank", "ord")).alias("_x"), F.min(F.struct("_rank", "ord")).alias("_at"))
@@ -326,10 +325,6 @@ def property_rows(tables: Relations, most_bytes: int = MOST_BYTES) -> DataFrame:
     return whole.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields])
 
 
-def seen_any(rows: DataFrame) -> bool:
-    return len(rows.limit(1).take(1)) > 0
-
-
 def read(spark: SparkSession, path: str, cipher: bytes | None = None, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """(property rows, notes) of all stores under path, of any size that binaryFile reads (2 GB)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][sS][tT]").option("recursiveFileLookup", "true").load(path).select("path", "content")
