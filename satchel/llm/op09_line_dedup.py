@@ -1,9 +1,10 @@
-"""Line dedup: suffix order over line-ID sequences by distributed prefix doubling, in DataFrame functions only.
+"""Line dedup: repeated runs of lines by distributed prefix doubling of line names, in DataFrame functions only.
 
 A text is the sequence of its lines with a word (trimmed of separators), each named by XXH64. Prefix doubling names the run
 of 2^j lines at each place by the pair of names of its two halves; lines that occur once end a run (discarding), since no
-repeated run holds them. Two runs of n lines are equal if their first and their last 2^j lines are, for 2^j <= n < 2^(j+1):
-so equal (n, first name, last name) is an interval of suffixes whose common prefix has n lines or more.
+repeated run holds them. Two runs of n lines count as equal if their first and their last 2^j lines have equal names, for
+2^j <= n < 2^(j+1). There is no suffix array: runs are grouped by (n, first name, last name), 128 bits of hash for several
+lines and 64 for one, and their texts are not compared.
 
 A run repeats if it has `min_words` words or more and occurs at an earlier place, in order of doc_id and line. A maximal
 repeated run is the union of its shortest sub-runs of min_words words from each line on and up to each line, so only these
