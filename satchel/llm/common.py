@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import re
 import shutil
@@ -96,6 +97,13 @@ def per_worker(kind: str, path: str, make: Callable[[str], Any]) -> Any:
     return _KEPT[key]
 
 
+def release_memory() -> None:
+    """Give back what a task has freed: a worker lives on, and what its allocators keep counts against the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -137,11 +145,14 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for whole in batches:
-            for batch in slices(whole, hidden):
-                new = compute(texts_of(batch, hidden))
-                columns = [batch.column(c) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, *new], names=[*batch.schema.names[:-1], *names])
+        try:
+            for whole in batches:
+                for batch in slices(whole, hidden):
+                    new = compute(texts_of(batch, hidden))
+                    columns = [batch.column(c) for c in range(batch.num_columns - 1)]
+                    yield pa.RecordBatch.from_arrays([*columns, *new], names=[*batch.schema.names[:-1], *names])
+        finally:
+            release_memory()
 
     return source.mapInArrow(run, schema)
 
