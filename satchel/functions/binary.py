@@ -34,7 +34,7 @@ def le_int32(data: Column) -> Column:
 
 def tag_code(tag: Column) -> Column:
     """Upper half of a 32-bit property tag."""
-    return F.shiftrightunsigned(tag.cast("long"), 16).cast("int")
+    return F.shiftrightunsigned(tag.cast("long"), 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
 def tag_type(tag: Column) -> Column:
@@ -47,8 +47,9 @@ def parse_hex(text: Column) -> Column:
 
 
 def hex4(code: Column) -> Column:
-    """A code as four lower-case hex digits."""
-    return F.lpad(F.lower(F.hex(code.cast("long"))), 4, "0")
+    """A code as four lower-case hex digits, more if it has more."""
+    digits = F.lower(F.hex(code.cast("long")))
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
 
 
 def guid_text(data: Column) -> Column:

@@ -509,14 +509,14 @@ def embedded_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _le(column: str, size: int):
-    """Little-endian bytes of a number column, for queries over bytes."""
-    pad = F.lpad(F.hex(F.col(column).cast("long")), 2 * size, "0")
-    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(pad, F.lit("(..)"), F.lit(1))), ""))
+    """Little-endian bytes of a number column, its lowest `size`, for queries over bytes."""
+    digits = F.lpad(F.hex(F.col(column).cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)]))
 
 
 @register("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey * 65536 + 30 AS BIGINT) AS tag, CAST(l_partkey & 65535 AS INT) AS code, 30 AS type, printf('%04x', l_linenumber) AS hex FROM lineitem")
 def little_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _le("l_partkey", 4).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _le("l_partkey", 7).alias("b"))
     rows = rows.select("l_orderkey", "l_linenumber", binary.le_uint(F.col("b")).cast("long").alias("l_partkey"))
     tag = (F.col("l_partkey") * 65536 + 30).alias("tag")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", tag, binary.tag_code(F.col("l_partkey") * 65536).alias("code"), binary.tag_type(F.col("l_partkey") * 65536 + 30).alias("type"), binary.hex4(F.col("l_linenumber")).alias("hex"))
