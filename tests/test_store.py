@@ -168,3 +168,16 @@ def test_empty_tables(spark):
     assert tree.orphans(nodes).count() == 0 and tree.children(nodes).count() == 0 and tree.walk(nodes, nodes).count() == 0
     ranges = spark.createDataFrame([], "file_id long, offset long, size long")
     assert store.range_gaps(ranges).count() == 0
+
+
+def test_compression_time():
+    """A text without repeats is compressed in a time that follows its length, not its length times the ring's."""
+    import random
+    import time
+
+    plain = random.Random(4).randbytes(300_000)
+    begun = time.process_time()
+    packed = rtf.compress(plain)
+    assert time.process_time() - begun < 2.5 and rtf.decompress(packed) == plain
+    repeats = rtf.compress(b"one two three " * 1000)
+    assert len(repeats) < 3000 and rtf.decompress(repeats) == b"one two three " * 1000
