@@ -771,7 +771,8 @@ def remaining_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT concat(c_name, '.msg') AS file, 'vcf' AS kind, c_name AS subject, concat('BEGIN:VCARD', chr(10), 'VERSION:3.0', chr(10), 'N:;;;;', chr(10), 'FN:', c_name, chr(10), 'URL:', c_mktsegment, chr(10), 'END:VCARD', chr(10)) AS content FROM customer""")
 def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers packed as message files, read by joins as property rows and converted to vCards."""
+    """Customers packed as message files, read by joins as property rows and converted to vCards. Customers of one name have a folder
+    each, since a path stands for one file."""
     from .plans import convert
     from .sources import compound, message_frames
 
@@ -783,9 +784,10 @@ def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def built(name: pd.Series, mail: pd.Series) -> pd.Series:
         return pd.Series([build(n, m) for n, m in zip(name, mail)])
 
-    files = table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit(".msg")).alias("path"), built("c_name", "c_mktsegment").alias("content"))
+    path = F.concat(F.monotonically_increasing_id().cast("string"), F.lit("/"), "c_name", F.lit(".msg"))
+    files = table(spark, sf_dir, "customer").select(path.alias("path"), built("c_name", "c_mktsegment").alias("content"))
     rows, _ = message_frames.property_rows(written(files, "message-files"))
-    return convert.convert(written(rows, "message-rows")).select("file", "kind", "subject", "content")
+    return convert.convert(written(rows, "message-rows")).select(F.regexp_replace("file", "^[0-9]+/", "").alias("file"), "kind", "subject", "content")
 
 
 _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"

@@ -5,7 +5,7 @@ rows with their bytes, storages are told by joins, and properties of all files a
     -> messages, recipients, attachments, embedded messages -> streams, fixed values, name maps -> typed property rows
 
 A chain of sectors is ranked by pointer doubling over the allocation table as an array: after log2 of its length rounds each sector
-knows the last one of its chain and its distance from it, which tells the members of any chain and their order. A file is one row
+knows the last one of its chain and its distance from it; sorted by these, each chain is a slice. A file is one row
 up to its directory entries, so a file's sectors never travel; everything is Spark expressions, without Python workers.
 """
 
@@ -28,9 +28,10 @@ _RECIPIENT, _ATTACHMENT, _NAMES, _FIXED, _OBJECT = "__recip_version1.0_", "__att
 
 
 def _le(data: Column, at: Column | int, size: int) -> Column:
-    """A number of binary data at a zero-based offset."""
+    """A number of binary data at a zero-based offset; null where the data is too short."""
     at = F.lit(at) if isinstance(at, int) else at
-    return binary.le_hex(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(size))), 0, size)
+    turned = F.concat(*[F.hex(F.substring(data, (at + (size - i)).cast("int"), F.lit(1))) for i in range(size)])
+    return F.when(F.octet_length(data) >= at + size, F.conv(turned, 16, 10).try_cast("long"))
 
 
 def _power(n: Column) -> Column:
@@ -55,8 +56,8 @@ HEADER_RULES = {
 
 def _numbers(data: Column) -> Column:
     """Binary data as an array of 4-byte numbers."""
-    many = F.floor(F.octet_length(data) / 4).cast("int")
-    return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda i: _le(data, i * 4, 4))).otherwise(F.array().cast("array<long>"))
+    turned = F.regexp_replace(F.hex(data), "(..)(..)(..)(..)", "$4$3$2$1")
+    return F.transform(F.regexp_extract_all(turned, F.lit("(.{8})"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def _ranked(links: Column) -> Column:
@@ -75,15 +76,28 @@ def _ranked(links: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), rounds), start, double)
 
 
-def _chain(start: Column, ranked: Column, links: Column) -> Column:
-    """The places of a chain in order, none for a start that is no place or lies on a circle."""
+def _with_chains(df: DataFrame, links: str, name: str) -> DataFrame:
+    """df with what chain() reads of a column of links. Sectors stand in order of their chain's end and of their distance from it, so
+    that a chain is a slice; where chains run into one another, two sectors are as far from one end, and chains are followed instead."""
     size = F.size(links)
-    first = F.when(start < size, start.cast("int"))
-    end = F.get(ranked["last"], first)
-    ends = F.coalesce((F.get(links, end) >= size) | (F.get(links, end) == end.cast("long")), F.lit(False))
-    own = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda s: (F.get(ranked["last"], s) == end) & (F.get(ranked["steps"], s) <= F.get(ranked["steps"], first)))
-    ordered = F.array_sort(F.transform(own, lambda s: F.struct((-F.get(ranked["steps"], s)).alias("k"), s.alias("s"))))
-    return F.when(ends & (size > 0), F.transform(ordered, lambda x: x["s"])).otherwise(F.array().cast("array<int>"))
+    out = df.withColumn("_ranked", _ranked(F.col(links)))
+    last, steps = F.col("_ranked.last"), F.col("_ranked.steps")
+    out = out.withColumn("_sorted", F.sort_array(F.transform(last, lambda x, i: F.struct(x.alias("last"), (-F.get(steps, i)).alias("k"), i.alias("s")))))
+    at = F.sort_array(F.transform("_sorted", lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"))))
+    ends = F.transform(last, lambda x: (F.get(F.col(links), x) >= size) | (F.get(F.col(links), x) == x))
+    merged = F.size(F.array_distinct(F.transform("_sorted", lambda x: F.struct(x["last"], x["k"])))) < size
+    chains = F.struct(F.transform("_sorted", lambda x: x["s"]).alias("order"), F.transform(at, lambda x: x["i"]).alias("at"), steps.alias("steps"), ends.alias("ends"), merged.alias("merged"))
+    return out.withColumn(name, chains).drop("_ranked", "_sorted")
+
+
+def _chain(start: Column, chains: Column, links: Column) -> Column:
+    """The places of a chain in order, none for a start that is no place or comes to a circle."""
+    first = F.when(start < F.size(links), start.cast("int"))
+    steps = F.get(chains["steps"], first)
+    follow = lambda found, _: F.array_append(found, F.get(links, F.element_at(found, -1)).cast("int"))
+    followed = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), F.array(first), follow)
+    found = F.when(chains["merged"], followed).otherwise(F.slice(chains["order"], F.get(chains["at"], first) + 1, steps + 1))
+    return F.when(F.coalesce(F.get(chains["ends"], first), F.lit(False)), found).otherwise(F.array().cast("array<int>"))
 
 
 def _joined(data: Column, places: Column, size: Column, skip: int) -> Column:
@@ -105,19 +119,23 @@ def directory(heads: DataFrame) -> DataFrame:
     )
     listed = F.filter(F.concat(_numbers(F.substring(c, 77, 436)), more), lambda x: x < F.lit(_NO_SECTOR))
     out = heads.withColumn("fat", F.flatten(F.transform(F.slice(listed, F.lit(1), F.greatest(F.col("n_fat").cast("int"), F.lit(0))), lambda s: _numbers(sector(s)))))
-    out = out.withColumn("ranked", _ranked(F.col("fat")))
-    whole = lambda start: _joined(c, _chain(start, F.col("ranked"), F.col("fat")), size, 1)
+    # a file has no more sectors than its length holds, of whatever size its table is
+    out = out.withColumn("fat", F.slice("fat", F.lit(1), F.greatest(F.ceil(F.col("length") / size).cast("int") - 1, F.lit(0))))
+    out = _with_chains(out, "fat", "chains")
+    whole = lambda start: _joined(c, _chain(start, F.col("chains"), F.col("fat")), size, 1)
     out = out.withColumns({"dir": whole(F.col("first_dir")), "mini": _numbers(whole(F.col("first_mini")))})
-    out = out.withColumns({"mini_ranked": _ranked(F.col("mini")), "mini_data": whole(_le(F.col("dir"), 116, 4))})
+    out = out.withColumn("mini_data", whole(_le(F.col("dir"), 116, 4)))
+    out = out.withColumn("mini", F.slice("mini", F.lit(1), F.ceil(F.octet_length("mini_data") / F.col("mini_size")).cast("int")))
+    out = _with_chains(out, "mini", "mini_chains")
     many = F.floor(F.octet_length("dir") / 128).cast("int")
     raw = F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(i.alias("sid"), F.substring(F.col("dir"), i * 128 + 1, F.lit(128)).alias("r"))))
+    raw = F.transform(raw, lambda x: F.struct(x["sid"].alias("sid"), x["r"].alias("r"), _le(x["r"], 66, 1).alias("kind"), _le(x["r"], 116, 4).alias("start"), _le(x["r"], 120, 4).alias("n")))
 
     def entry(x: Column) -> Column:
         r = x["r"]
-        start, n = _le(r, 116, 4), _le(r, 120, 4)
-        small = _joined(F.col("mini_data"), _chain(start, F.col("mini_ranked"), F.col("mini")), F.col("mini_size"), 0)
+        kind, start, n = x["kind"], x["start"], x["n"]
+        small = _joined(F.col("mini_data"), _chain(start, F.col("mini_chains"), F.col("mini")), F.col("mini_size"), 0)
         data = F.substring(F.when(n < F.col("cutoff"), small).otherwise(whole(start)), F.lit(1), n.cast("int"))
-        kind = _le(r, 66, 1)
         return F.struct(
             x["sid"].alias("sid"), binary.utf16_text(F.substring(r, F.lit(1), F.greatest(_le(r, 64, 2).cast("int") - 2, F.lit(0)))).alias("name"), kind.alias("type"), _le(r, 68, 4).alias("left"), _le(r, 72, 4).alias("right"),
             _le(r, 76, 4).alias("child"), binary.le_long(F.substring(r, 101, 8)).alias("created"), binary.le_long(F.substring(r, 109, 8)).alias("modified"), n.alias("n_bytes"), F.when(kind == _STREAM, data).alias("data"),

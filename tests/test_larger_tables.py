@@ -21,3 +21,9 @@ def test_large_keys(spark, tmp_path):
     keys = [0, 1, 65535, 65536, 65537, 119999, 7199999, (1 << 31) + 5, (1 << 32) - 1, (1 << 32) + 70000, (1 << 46) + 3]
     rows = [(i, k, n) for i, k in enumerate(keys) for n in (1, 7, 65535, 65536, 1 << 30)]
     against_sql(spark, tmp_path, "little_endian", "lineitem", rows, "l_orderkey long, l_partkey long, l_linenumber int")
+
+
+def test_repeated_names(spark, tmp_path):
+    """Customers that share a name are messages of their own."""
+    rows = [(i, f"Customer#{i % 7}", f"SEGMENT{i % 5}") for i in range(40)]
+    against_sql(spark, tmp_path, "message_scan", "customer", rows, "c_custkey long, c_name string, c_mktsegment string")

@@ -58,3 +58,17 @@ def test_faults(spark):
     assert all(len(x or b"") < 5120 for x in data)
     with pytest.raises(Exception, match="broken rules"):
         message_frames.property_rows(_files(spark, {"e": b""}), mode="fail")
+
+
+def test_chains(spark):
+    """Chains by slices and, where two run into one another, by following; circles and links to nowhere."""
+    end = 0xFFFFFFFE
+    tables = [[1, 2, end, end], [2, 2, 3, end, 1], [3, 0, end, 1, 1, 5, 9], [2, 2, end, 2], [], [end], [1, 0, 0]]
+    rows = [(k, links, at) for k, links in enumerate(tables) for at in range(len(links) + 2)]
+    out = message_frames._with_chains(spark.createDataFrame(rows, "k int, links array<long>, at long"), "links", "chains")
+    for r in out.select("links", "at", message_frames._chain(F.col("at"), F.col("chains"), F.col("links")).alias("found")).collect():
+        want, now = [], r["at"]
+        while now < len(r.links) and now not in want:
+            want.append(now)
+            now = r.links[now] if r.links[now] != now else end
+        assert r.found == ([] if now in want else want), r
