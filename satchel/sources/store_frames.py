@@ -1,6 +1,6 @@
 """PST stores as relations: header, index pages, blocks, nodes, chains, sub-node maps, heaps, property lists and tables, each a table
 that the next is joined from. A file's bytes are cut into segments first, so that all further work on a large store is spread over
-the cluster, and everything but the cipher of encoded stores runs as Spark expressions.
+the cluster, and everything runs as Spark expressions, the cipher of encoded stores too.
 
     files -> segments, headers (format rules) -> index pages, level by level -> blocks, nodes
     internal blocks -> chain links, sub-node entries -> expanded chains and maps

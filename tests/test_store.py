@@ -181,3 +181,14 @@ def test_compression_time():
     assert time.process_time() - begun < 2.5 and rtf.decompress(packed) == plain
     repeats = rtf.compress(b"one two three " * 1000)
     assert len(repeats) < 3000 and rtf.decompress(repeats) == b"one two three " * 1000
+
+
+def test_cipher_columns(spark):
+    """All bytes by Spark expressions, without Python workers."""
+    table = bytes((i * 167 + 41) % 256 for i in range(256))
+    rows = [(0, bytearray(range(256)) * 3), (1, bytearray()), (2, None), (3, bytearray([table.index(0)] * 5)), (4, bytearray(b"\x00\x00a"))]
+    out = spark.createDataFrame(rows, "k int, b binary").select("k", "b", cipher.substitute(F.col("b"), table).alias("c"))
+    out = out.withColumn("back", cipher.substitute(F.col("c"), cipher.inverse(table)))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        assert r.c == (None if r.b is None else bytes(r.b).translate(table)) and r.back == r.b
