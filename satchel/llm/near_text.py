@@ -1,7 +1,9 @@
 """Near-duplicate texts by the Jaccard similarity of their sets of word shingles.
 
 Texts with equal sets are one class from the start. Two classes are linked if their similarity is `similarity` or more; a
-component is what is reachable over links. Candidates share a band: BANDS keys of ROWS minimum hashes each, so that a pair of
+component is what is reachable over links. First come the neighbours by SimHash: each set has a fingerprint, and those that differ in
+few bits are found by op3's pivot tables and compared in full. A pair of similarity 0.8 differs in about ten of 64 bits, which
+no such search reaches, so the links it leaves are found by bands, between sets that it did not bring together: BANDS keys of ROWS minimum hashes each, so that a pair of
 similarity 0.8 shares none with a probability of (1 - 0.8^5)^36, below 1e-6 and less for closer pairs. A candidate is linked
 only if its shingle sets, intersected in full, are similar enough.
 
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import append_columns, drop_path, materialize, release_memory
-from .op03_simhash import SEED, components
+from .op03_simhash import SEED, components, links, majority, with_pivots
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -61,17 +63,18 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """docs (doc_id, th, text) to doc_id, th, set (name of the shingle set), size and bands."""
+    """docs (doc_id, th, text) to doc_id, th, set (name of the shingle set), size, fp (the set's SimHash) and bands."""
 
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = [shingles(t, width) for t in texts.to_pylist()]
         names = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
         full = [s for s in sets if len(s)]
         rows = iter(_bands(full) if full else ())
         bands = [next(rows) if len(s) else None for s in sets]
-        return [pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return [pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))]
 
-    fields = [("set", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    fields = [("set", T.LongType()), ("size", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     return append_columns(docs, "text", fields, lambda: run, ["doc_id", "th"])
 
 
@@ -92,21 +95,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _neighbours(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are linked by op3's search, one edge a member; equal ones with their smallest set."""
+    full = classes.where("size > 0")
+    heads, _ = materialize(with_pivots(full.groupBy("fp").agg(F.min("set").alias("hub"))), "heads")
+    equal = full.join(heads.select("fp", "hub"), "fp").where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("hub").alias(f"{c}_hub"))
+    close = links(heads.select("fp", "pivots")).join(end("a"), "a").join(end("b"), "b")
+    return equal.unionByName(close.select(F.least("a_hub", "b_hub").alias("a"), F.greatest("a_hub", "b_hub").alias("b"))).distinct()
+
+
 def _edges(classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between shingle sets that join exactly the components over pairs that share a band."""
+    """Links (a, b) between shingle sets that join exactly the components over similar pairs that are neighbours by SimHash or share a
+    band."""
+    near, _ = materialize(_neighbours(classes), "simhash")
     blocks, blocks_path = materialize(classes.select("set", "size", F.explode("bands").alias("key")), "bands")
     hubs = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("hub")).where("n > 1").select("key", "hub")
     members, _ = materialize(blocks.join(hubs, "key"), "members")
     drop_path(classes.sparkSession, blocks_path)
-    wanted = members.select("set").distinct().join(classes.select("set", "th"), "set")
+    wanted = members.select("set").unionByName(near.select(F.explode(F.array("a", "b")).alias("set"))).distinct().join(classes.select("set", "th"), "set")
     texts = docs.select("th", "text").join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"]).join(wanted, "th").select("set", "text")
 
     def run(texts: pa.Array) -> list[pa.Array]:
         return [pa.array([shingles(t, width).tobytes() for t in texts.to_pylist()], pa.binary())]
 
     sets, _ = materialize(append_columns(texts, "text", [("data", T.BinaryType())], lambda: run, ["set"]), "sets")
-    first, _ = materialize(members.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
-    linked, _ = materialize(_verified(first, sets, similarity), "linked")
+    alike, _ = materialize(_verified(near, sets, similarity), "alike")
+    known, _ = materialize(components(alike), "known")
+    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    first = members.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    first, _ = materialize(first.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "pairs")
+    linked, _ = materialize(alike.unionByName(_verified(first, sets, similarity)), "linked")
     tied, _ = materialize(components(linked), "tied")
     placed = members.join(tied.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "size", F.coalesce("root", "set").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -176,7 +195,7 @@ def keep_first_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id comes after all others; of a component with null ids alone one row stays."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows, _ = materialize(_described(source, width), "shingled")
-    classes, _ = materialize(rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes, _ = materialize(rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
     linked, _ = materialize(_edges(classes, source, width, similarity), "links")
     tied, _ = materialize(components(linked), "tied")
     named = classes.select("set", "least").join(tied.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))

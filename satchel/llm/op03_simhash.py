@@ -44,6 +44,12 @@ WALK_ROWS = 1_000
 PIVOTS = np.array([xxh64_intdigest(str(i), 7) for i in range(16)], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, width: int = 4) -> int:
     words = text.encode().lower().split()  # bytes: ASCII only, both the case and the white space
     n = len(words)
@@ -55,8 +61,7 @@ def fingerprint(text: str, width: int = 4) -> int:
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     shingles = [line[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends[width - 1 :])]
     hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", width: int = 4, keep: list[str] | None = None) -> DataFrame:

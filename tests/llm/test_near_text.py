@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from satchel.llm import near_text
+from satchel.llm import near_text, op03_simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -121,3 +121,20 @@ def test_alike():
     x, y = near_text._alike(sets, np.arange(len(sets)), 0.8)
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
     assert set(zip(x.tolist(), y.tolist())) == want and len(want) >= 10
+
+
+def test_simhash_neighbours(spark, monkeypatch):
+    """The stage's first links come from op3's search over fingerprints; what that brings together is compared in full."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = [say(600) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    near = []
+
+    def seen(values, *rest):
+        out = op03_simhash.links(values, *rest)
+        near.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "links", seen)
+    assert sorted(i for i, _ in stage(spark, rows)) == list(range(20)) and len(near) == 1 and near[0] >= 15
