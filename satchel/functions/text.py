@@ -172,17 +172,35 @@ def boundary_of(content_type: Column) -> Column:
     return F.nullif(F.regexp_replace(found, '^"|"$', ""), F.lit(""))
 
 
+def _boundary_line(mark: Column, closing: bool) -> Column:
+    """The pattern of a boundary: a line of its own, blanks behind it aside, with the line end before it."""
+    quoted = F.concat(F.lit("(?:\\A|\r?\n)--\\Q"), F.replace(mark, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(quoted, F.lit("--" if closing else ""), F.lit("[ \t]*(?=\r?\n|\\z)"))
+
+
+def around_end(body: Column, mark: Column) -> Column:
+    """What stands before and behind the closing boundary of a multipart body; one text if there is none."""
+    return F.split(body, _boundary_line(mark, True), 2)
+
+
+def between_boundaries(half: Column, mark: Column) -> Column:
+    """What stands between the boundaries of a multipart body without its closing boundary; the preamble comes first."""
+    return F.split(half, _boundary_line(mark, False))
+
+
+def parts_found(halves: Column, pieces: Column) -> Column:
+    """preamble, parts, epilogue and closed, of what around_end and between_boundaries give."""
+    start = lambda p: F.when(F.startswith(p, F.lit("\r\n")), F.substring(p, 3, 1 << 30)).when(F.startswith(p, F.lit("\n")), F.substring(p, 2, 1 << 30)).otherwise(p)
+    parts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start)
+    return F.struct(F.element_at(pieces, 1).alias("preamble"), parts.alias("parts"), start(F.try_element_at(halves, F.lit(2))).alias("epilogue"), (F.size(halves) > 1).alias("closed"))
+
+
 def split_parts(body: Column, mark: Column) -> Column:
     """preamble, parts, epilogue and closed of a multipart body. A boundary is a line of its own, blanks behind it aside; the line
     end before it is part of it. What stands behind the closing boundary is the epilogue, null if there is no closing boundary
     (closed is false then). Of a null body all are null."""
-    quoted = F.concat(F.lit("(?:\\A|\r?\n)--\\Q"), F.replace(mark, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    line_end = F.lit("[ \t]*(?=\r?\n|\\z)")
-    halves = F.split(body, F.concat(quoted, F.lit("--"), line_end), 2)
-    pieces = F.split(F.element_at(halves, 1), F.concat(quoted, line_end))
-    start = lambda p: F.regexp_replace(p, r"\A\r?\n", "")
-    parts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start)
-    return F.struct(F.element_at(pieces, 1).alias("preamble"), parts.alias("parts"), start(F.try_element_at(halves, F.lit(2))).alias("epilogue"), (F.size(halves) > 1).alias("closed"))
+    halves = around_end(body, mark)
+    return parts_found(halves, between_boundaries(F.element_at(halves, 1), mark))
 
 
 def split_multipart(body: Column, mark: Column, built: bool = True) -> Column:

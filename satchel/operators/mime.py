@@ -10,14 +10,18 @@ from .scratch import written_counting
 
 
 def _level(raw: DataFrame, keys: list[str]) -> DataFrame:
-    """Parts (keys, path, raw) taken apart: what is no multipart has a body, a multipart its pieces."""
+    """Parts (keys, path, raw) taken apart: what is no multipart has a body, a multipart its pieces. Each cut is a column of its own, so
+    that no text is searched twice."""
     whole = F.concat(F.lit("\n"), "raw")  # so that a part without headers starts with its empty line
-    out = raw.select(*keys, "path", text.parse_headers(text.header_block(whole)).alias("headers"), text.message_body(whole).alias("body"))
+    out = raw.select(*keys, "path", F.split(whole, "\r?\n\r?\n", 2).alias("_cut"))
+    out = out.select(*keys, "path", text.parse_headers(F.element_at("_cut", 1)).alias("headers"), F.coalesce(F.try_element_at("_cut", F.lit(2)), F.lit("")).alias("body"))
     kind = F.try_element_at(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "content-type"), lambda h: h["value"]), F.lit(1))
     out = out.withColumn("kind", kind)
-    multi = text.is_multipart(F.lower(F.trim("kind")))
-    mark = text.boundary_of(F.col("kind"))
-    out = out.withColumn("split", F.when(multi & mark.isNotNull(), text.split_parts(F.col("body"), mark)))
+    out = out.withColumns({"_multi": text.is_multipart(F.lower(F.trim("kind"))), "_mark": text.boundary_of(F.col("kind"))})
+    multi, mark = F.col("_multi"), F.col("_mark")
+    out = out.withColumn("_halves", text.around_end(F.when(multi, F.col("body")), mark))
+    out = out.withColumn("_pieces", text.between_boundaries(F.element_at("_halves", 1), mark))
+    out = out.withColumn("split", F.when(F.col("_halves").isNotNull(), text.parts_found(F.col("_halves"), F.col("_pieces"))))
     note = F.when(multi & mark.isNull(), "no boundary").when(F.col("split").isNotNull() & ~F.col("split.closed"), "not closed")
     return out.select(
         *keys, "path", F.lower(text.header_main(F.col("kind"))).alias("content_type"), "headers", F.when(F.col("split").isNull(), F.col("body")).alias("body"),

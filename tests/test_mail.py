@@ -100,3 +100,12 @@ def test_drawn_tree(spark):
     parts = mime.part_tree(spark.createDataFrame([(1, _nested(1))], "id int, text string"), ["id"])
     assert [r.line for r in parts.orderBy("path").select(mime.tree_lines(parts).alias("line")).collect()] == ['- #<Mime content_type="multipart/mixed">', '  - #<Mime content_type="text/html">', '  - #<Mime content_type="text/plain">']
     assert spark.range(1).select(text.boundary_of(F.lit("multipart/x; Boundary = abc; c=d")).alias("b")).first().b == "abc"
+
+
+def test_texts_are_cut_once(spark):
+    """A level's plan has each search of a text once: for the empty line, the closing boundary and the boundaries."""
+    from satchel.operators import mime
+
+    raw = spark.createDataFrame([(1, [1], "x")], "k int, path array<int>, raw string")
+    plan = mime._level(raw, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("--\\Q") == 2
