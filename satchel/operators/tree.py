@@ -67,27 +67,48 @@ def preorder(nodes: DataFrame, roots: DataFrame, walked: DataFrame | None = None
     """(node_id, place) of the nodes that a walk comes to: place is the node's number, from 1, in the order in which each node stands
     before its children and these stand by ord and node_id; roots by ord and node_id, each before the next one's tree.
 
-    Ranks of a tour of the tree: each node is entered and left, the event after each is known from its first child, next sibling
-    or parent, and the events behind each are counted by pointer doubling in log2 of their number rounds. No key of the length of
-    a path is made and nothing is sorted as a whole; the children of one node are ordered by a window."""
+    Ranks of a tour of each root's tree: each node is entered and left, the event after each is known from its first child, next
+    sibling or parent, and the events behind each are counted by pointer doubling in log2 of their number rounds, those of the largest
+    tree. Trees then stand behind one another by the sums of their sizes. No key of the length of a path is made, and no task gets all
+    roots; the children of one node are ordered by a window."""
     from pyspark.sql import Window
 
     reached = (walk(nodes, roots) if walked is None else walked).select("node_id")
-    own = _parents(nodes, roots).join(reached, "node_id", "left_semi")
-    beside = Window.partitionBy("parent_id").orderBy("ord", "node_id")  # roots stand beside one another: their parent is null
-    own = written(own.select("node_id", "parent_id", F.lead("node_id").over(beside).alias("_next"), (F.row_number().over(beside) == 1).alias("_first")), "siblings")
-    first = own.where("_first and parent_id is not null").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"))
+    own = written(_parents(nodes, roots).join(reached, "node_id", "left_semi").select("node_id", "parent_id", "ord"), "reached")
+    tops, inner = own.where("parent_id is null"), own.where("parent_id is not null")
+    beside = Window.partitionBy("parent_id").orderBy("ord", "node_id")
+    inner = inner.select("node_id", "parent_id", F.lead("node_id").over(beside).alias("_next"), (F.row_number().over(beside) == 1).alias("_first"))
+    none = F.lit(None).cast(own.schema["node_id"].dataType)
+    own = written(inner.unionByName(tops.select("node_id", "parent_id", none.alias("_next"), F.lit(False).alias("_first"))), "siblings")
+    first = own.where("_first").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"))
     enter = own.join(first, "node_id", "left").select("node_id", F.lit(True).alias("enter"), F.coalesce("_child", "node_id").alias("to"), F.col("_child").isNotNull().alias("to_enter"))
     leave = own.select("node_id", F.lit(False).alias("enter"), F.coalesce("_next", "parent_id").alias("to"), F.col("_next").isNotNull().alias("to_enter"))
-    # behind: entries from this event up to the one pointed at, itself included
-    events, seen = written_counting(enter.unionByName(leave).withColumn("behind", F.col("enter").cast("long")), "tour", open="to is not null")
+    # behind: entries from this event up to the one pointed at, itself included; root: once the tour's end is reached, whose tree it is
+    tour = enter.unionByName(leave).withColumn("behind", F.col("enter").cast("long")).withColumn("root", F.when(F.col("to").isNull(), F.col("node_id")))
+    events, seen = written_counting(tour, "tour", open="to is not null")
+    done, open_ = events.where("to is null"), events.where("to is not null")
     while seen["open"]:
-        ahead = events.select(F.col("node_id").alias("to"), F.col("enter").alias("to_enter"), F.col("to").alias("_to"), F.col("to_enter").alias("_to_enter"), F.col("behind").alias("_behind"))
-        moved = events.join(ahead, ["to", "to_enter"], "left")
-        moved = moved.select("node_id", "enter", F.col("_to").alias("to"), F.coalesce("_to_enter", F.lit(False)).alias("to_enter"), (F.col("behind") + F.coalesce("_behind", F.lit(0))).alias("behind"))
-        events, seen = written_counting(moved, "tour", open="to is not null")
-    total = events.agg(F.max("behind")).first()[0] or 0
-    return events.where("enter").select("node_id", (F.lit(total + 1) - F.col("behind")).cast("long").alias("place"))
+        ahead = done.unionByName(open_).select(F.col("node_id").alias("to"), F.col("enter").alias("to_enter"), F.col("to").alias("_to"), F.col("to_enter").alias("_to_enter"), F.col("behind").alias("_behind"), F.col("root").alias("_root"))
+        moved = open_.join(ahead, ["to", "to_enter"])
+        moved = moved.select("node_id", "enter", F.col("_to").alias("to"), F.col("_to_enter").alias("to_enter"), (F.col("behind") + F.col("_behind")).alias("behind"), F.col("_root").alias("root"))
+        moved, seen = written_counting(moved, "tour", open="to is not null")
+        done, open_ = done.unionByName(moved.where("to is null")), moved.where("to is not null")
+    done = done.where("enter").select("node_id", "root", "behind")
+    sizes = tops.select("node_id", "ord").join(done.where("node_id = root").select("node_id", F.col("behind").alias("size")), "node_id")
+    return done.join(_starts(sizes).withColumnRenamed("node_id", "root"), "root").select("node_id", (F.col("start") - F.col("behind") + 1).cast("long").alias("place"))
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(node_id, start): the sum of the sizes up to each row, itself included, in order of ord and node_id. Ranges of rows are summed
+    by themselves and then shifted by the sums of the ranges before them, one number each."""
+    from pyspark.sql import Window
+
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(sizes.repartitionByRange(parts, "ord", "node_id").withColumn("_part", F.spark_partition_id()), "sizes")
+    totals = ranged.groupBy("_part").agg(F.sum("size").alias("_sum"))
+    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
+    within = F.sum("size").over(Window.partitionBy("_part").orderBy("ord", "node_id"))
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").select("node_id", (F.col("_within") + F.col("_before")).alias("start"))
 
 
 def item_type(special, mask, content_count, subfolders, is_subtree):
